@@ -47,7 +47,7 @@ def select_top(df: DataFrame, score: str, ids: list[str], k: int | None = None,
     rows = _ranked(df, -F.col(score), ids)
     if k is not None:
         return _plain(lowest(rows, ORDER, TIE, k))
-    quota = cuts_of((0, lambda n: (F.lit(float(frac)) * n.cast("double")).cast("bigint")))
+    quota = cuts_of((0, f"CAST({float(frac)!r}D * n_total AS BIGINT)"))
     return _plain(first_ranks(rows, ORDER, TIE, quota))
 
 
@@ -91,11 +91,9 @@ def select_oracle_matched(df: DataFrame, bad: str, reference: DataFrame, seed: i
 def with_decile(df: DataFrame, score: str, ids: list[str], parts: int = 10) -> DataFrame:
     """Add ``decile``, equal blocks by score, 0 = best; earlier blocks take the remainder."""
 
-    def end(i: int):
-        return lambda n: F.lit(i) * F.floor(n / parts) + F.least(F.lit(i).cast("bigint"), n % parts)
-
     rows = _ranked(df, -F.col(score), ids)
-    bounds = rank_cuts(rows, ORDER, TIE, cuts_of(*[(i, end(i)) for i in range(1, parts)]))
+    ends = [(i, f"{i} * (n_total div {parts}) + least({i}, n_total % {parts})") for i in range(1, parts)]
+    bounds = rank_cuts(rows, ORDER, TIE, cuts_of(*ends))
     return _plain(rank_slots(rows, bounds, ORDER, TIE).withColumnRenamed("slot", "decile"))
 
 
@@ -119,7 +117,7 @@ def select_dose(
 def with_rank_band(df: DataFrame, score: str, ids: list[str], bands: int = 3) -> DataFrame:
     """Add ``band`` by score rank, best first; the last band takes the remainder."""
     rows = _ranked(df, -F.col(score), ids)
-    ends = cuts_of(*[(i, lambda n, i=i: F.lit(i) * F.floor(n / bands)) for i in range(1, bands)])
+    ends = cuts_of(*[(i, f"{i} * (n_total div {bands})") for i in range(1, bands)])
     bounds = rank_cuts(rows, ORDER, TIE, ends)
     return _plain(rank_slots(rows, bounds, ORDER, TIE).withColumnRenamed("slot", "band"))
 
@@ -143,13 +141,10 @@ def select_top_per_stratum(
 def decile_edges(lengths: DataFrame, col: str, parts: int = 10) -> list[float]:
     """The inner quantile edges of a length column, linearly interpolated."""
 
-    def low(d: int):
-        return lambda n: F.expr(f"((n_total - 1) * {d}) div {parts} + 1")
-
-    def high(d: int):
-        return lambda n: F.least(n, F.expr(f"((n_total - 1) * {d}) div {parts} + 2"))
-
-    cuts = [c for d in range(1, parts) for c in ((2 * d, low(d)), (2 * d + 1, high(d)))]
+    cuts = []
+    for d in range(1, parts):
+        below = f"((n_total - 1) * {d}) div {parts}"
+        cuts += [(2 * d, f"{below} + 1"), (2 * d + 1, f"least(n_total, {below} + 2)")]
     rows = value_cuts(lengths.select(F.col(col).cast("double").alias(col)), col, cuts_of(*cuts))
     at = {r["cut"]: (r["value"], r["n_total"]) for r in rows.collect()}
     edges = []

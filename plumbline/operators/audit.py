@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators.ranking import value_cuts, cuts_of
+from plumbline.operators.ranking import cuts_of, value_cuts
 
 
 def first_contrast(
@@ -48,7 +48,7 @@ def first_contrast(
 
 def group_medians(df: DataFrame, group: str, score: str) -> DataFrame:
     """Median of each group (middle values averaged), exact and without collecting a group."""
-    cuts = cuts_of((0, lambda n: F.floor((n + 1) / 2)), (1, lambda n: F.floor(n / 2) + 1))
+    cuts = cuts_of((0, "(n_total + 1) div 2"), (1, "n_total div 2 + 1"))
     mids = value_cuts(df.select(group, F.col(score).cast("double").alias(score)), score, cuts, [group])
     return mids.groupBy(group).agg(F.avg("value").alias("median"))
 

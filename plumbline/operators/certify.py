@@ -42,12 +42,8 @@ def grid_thresholds(
     ceil((n-1) q), computed in integers. Ties at the cut are kept.
     """
     strata = strata or []
-
-    def position(q: int):
-        return lambda n: F.expr(f"((n_total - 1) * {q} + 99) div 100 + 1")
-
     rows, keys = with_strata(df.select(*strata, score), strata)
-    at = value_cuts(rows, score, cuts_of(*[(q, position(q)) for q in grid]), keys)
+    at = value_cuts(rows, score, cuts_of(*[(q, f"((n_total - 1) * {q} + 99) div 100 + 1") for q in grid]), keys)
     out = at.select(
         *keys,
         F.col("cut").alias("q100"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from plumbline.operators.ranking import value_curve
 from plumbline.session import pin
@@ -98,7 +99,7 @@ def _lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """LCS F1 of two whole texts on lower-cased white-space tokens."""
 

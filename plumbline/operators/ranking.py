@@ -49,8 +49,8 @@ def value_edges(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
     One pass with a mergeable sketch; at most ``buckets`` numbers reach the
     driver. The edges steer the work only, results never depend on them.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.stat.approxQuantile(col, probs, 1.0 / (4 * buckets))
+    probs = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
+    found = df.agg(F.expr(f"percentile_approx(`{col}`, array({probs}), {4 * buckets})")).first()[0] or []
     return sorted({float(v) for v in found if v == v and abs(v) != float("inf")}) or [0.0]
 
 
@@ -59,16 +59,13 @@ def bucketed(df: DataFrame, col: str, edges: list[float]) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=col, outputCol="_b").transform(df)
 
 
-def cuts_of(*cuts: tuple[int, Callable[[Column], Column]]) -> Callable[[DataFrame], DataFrame]:
-    """Cuts as functions of the stratum size, e.g. ``(0, lambda n: n - 5)``."""
+def cuts_of(*cuts: tuple[int, str]) -> Callable[[DataFrame], DataFrame]:
+    """Cuts as SQL over the stratum size, e.g. ``(0, "n_total div 2")``."""
+    rows = ", ".join(f"struct({c} AS cut, CAST({rank} AS BIGINT) AS rank)" for c, rank in cuts)
 
     def make(totals: DataFrame) -> DataFrame:
-        keys = [c for c in totals.columns if c != "n_total"]
-        n = F.col("n_total")
-        rows = F.array(
-            *[F.struct(F.lit(c).alias("cut"), f(n).cast("bigint").alias("rank")) for c, f in cuts]
-        )
-        return totals.select(*keys, "n_total", F.inline(rows))
+        keys = [f"`{c}`" for c in totals.columns]
+        return totals.selectExpr(*keys, f"inline(array({rows}))")
 
     return make
 
@@ -276,7 +273,7 @@ def lowest(df: DataFrame, order: str | None, key: str, n: int) -> DataFrame:
     if n <= TOP_K_LIMIT:
         by = [order, key] if order else [key]
         return df.orderBy(*by).limit(n)
-    return first_ranks(df, order, key, cuts_of((0, lambda _: F.lit(n))))
+    return first_ranks(df, order, key, cuts_of((0, str(int(n)))))
 
 
 def first_ranks(

@@ -263,7 +263,7 @@ def label_complexity(
 ) -> DataFrame:
     """Measured rate, false rate and exact prediction for every pool, scorer, target and budget."""
     measured = certification_rate(segments, keys, ns, draws, alphas, delta).select(
-        *keys, "alpha", "n", F.col("cert_rate").alias("rate"), F.col("false_rate").alias("false")
+        *keys, "alpha", "n", F.col("cert_rate").alias("rate"), F.col("false_rate").alias("false_cert")
     )
     cells = pin(first_cells(segments, keys, alphas))
     budgets = F.array(*[F.lit(int(n)) for n in ns])
@@ -281,7 +281,7 @@ def prediction_quality(sweep: DataFrame) -> DataFrame:
     size = sweep.agg(
         F.count(F.lit(1)).alias("cells"),
         F.avg(F.abs(F.col("pred") - F.col("rate"))).alias("mae"),
-        F.max("false").alias("max_false"),
+        F.max("false_cert").alias("max_false"),
     )
     one = F.lit(0).alias("_one")
     return size.select("*", one).join(rho.select("spearman", one), "_one").drop("_one")
