@@ -1,12 +1,14 @@
 """Exact finite-population tails as Spark column expressions.
 
-Sums run in log space, term by term from the start of the support, so they
-neither overflow nor lose the tail when the first term underflows. Each fold
-is at most as long as the number of labels, never as long as the pool.
+Sums run in log space, term by term, so they neither overflow nor lose the
+tail when the first term underflows. A fold is at most as long as the number of
+labels, never as long as the pool; binomial coefficients take constant time.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +21,49 @@ def _dbl(c: Column | float) -> Column:
     return (c if isinstance(c, Column) else F.lit(float(c))).cast("double")
 
 
+# ln n! below the range where the series is exact to the last digits
+_SMALL = 20
+_SMALL_LN = [math.lgamma(i + 1) for i in range(_SMALL)]
+
+
+def _series(x: Column) -> Column:
+    """Stirling's correction to ln x!, x >= 20."""
+    inv = 1.0 / x
+    sq = inv * inv
+    return inv * (1.0 / 12 - sq * (1.0 / 360 - sq * (1.0 / 1260 - sq / 1680)))
+
+
+def ln_factorial(n: Column) -> Column:
+    x = F.greatest(n, F.lit(_SMALL)).cast("double")
+    big = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + _series(x)
+    table = F.array(*[F.lit(v) for v in _SMALL_LN])
+    return F.when(n < _SMALL, table[n.cast("int")]).otherwise(big)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` many times.
+
+    A one-element array plays the variable; without it every use would repeat
+    the whole expression and the generated code would explode.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def ln_choose(a: Column, b: Column) -> Column:
-    """ln C(a, b) for 0 <= b <= a, as a product of min(b, a-b) ratios."""
-    r = F.least(b, a - b)
-    fold = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), r),
-        F.lit(0.0),
-        lambda z, i: z + F.ln((a - r + i).cast("double")) - F.ln(i.cast("double")),
-    )
-    return F.when(r >= 1, fold).otherwise(F.lit(0.0))
+    """ln C(a, b) for 0 <= b <= a, accurate for pools of any size.
+
+    ln a!/(a-r)! is evaluated as one expression: the difference of two
+    log-factorials would lose the digits that matter when a is large.
+    """
+
+    def value(z: Column) -> Column:
+        n, r = z["n"], z["r"]
+        x, y, rr = n.cast("double"), F.greatest(n - r, F.lit(_SMALL)).cast("double"), r.cast("double")
+        falling = rr * F.ln(x) - (y + 0.5) * F.log1p(-rr / x) - rr + _series(x) - _series(y)
+        top = F.when(n - r < _SMALL, ln_factorial(n) - ln_factorial(n - r)).otherwise(falling)
+        return F.when(r >= 1, top - ln_factorial(r)).otherwise(F.lit(0.0))
+
+    return _let(F.struct(a.alias("n"), F.least(b, a - b).alias("r")), value)
 
 
 def ln_hypergeom(j: Column, pop: Column, bad: Column, draws: Column) -> Column:
@@ -110,8 +146,12 @@ def critical_count(m, n_sel, alpha, delta) -> Column:
     """Largest k that still rejects at ``delta``; below the support when none does."""
     m, n_sel, delta = _long(m), _long(n_sel), _dbl(delta)
     ks = least_bad(alpha, n_sel)
-    lo = F.greatest(F.lit(0).cast("bigint"), m - (n_sel - ks))
-    hi = F.least(m, ks)
+    least = F.greatest(F.lit(0).cast("bigint"), m - (n_sel - ks))
+    # the answer lies below the median, and 12 deviations down nothing adds to ``delta``
+    mean = _dbl(m) * _dbl(ks) / _dbl(n_sel)
+    dev = F.sqrt(F.greatest(mean * (1 - _dbl(ks) / _dbl(n_sel)), F.lit(0.0)))
+    lo = F.greatest(least, F.floor(mean - 12 * dev - 12).cast("bigint"))
+    hi = F.least(m, ks, F.ceil(mean + dev + 2).cast("bigint"))
     start = F.struct(
         ln_hypergeom(lo, n_sel, ks, m).alias("t"), F.lit(0.0).alias("s"), (lo - 1).alias("k")
     )
@@ -121,7 +161,7 @@ def critical_count(m, n_sel, alpha, delta) -> Column:
         return F.struct(
             F.when(j < hi, _step(z["t"], j, n_sel, ks, m)).otherwise(z["t"]).alias("t"),
             s.alias("s"),
-            F.when((s <= delta) & (j < hi), j).otherwise(z["k"]).alias("k"),
+            F.when((s <= delta) & (j < F.least(m, ks)), j).otherwise(z["k"]).alias("k"),
         )
 
     found = F.aggregate(F.sequence(lo, hi), start, fold, lambda z: z["k"])
