@@ -268,27 +268,30 @@ def any_category_rate(df: DataFrame, probs: str, cut: float = 0.5, by: list[str]
     return df.groupBy(*(by or [])).agg(share(F.array_max(probs) > cut).alias("any_flag_rate"))
 
 
-def tension(selected: DataFrame, keys: list[str], bad: str, req: str, kept: str, alpha: float) -> DataFrame:
+def tension(selected: DataFrame, pool: DataFrame, keys: list[str], bad: str, req: str, alpha: float) -> DataFrame:
     """retention of bad, demo and benign rows, their ratio, and the bound it implies.
 
-    ``selected``: the pool with a ``kept`` flag per ``keys`` (arm, seed).
+    ``selected``: the kept rows per ``keys`` (arm, seed) with their labels. The
+    pool is counted once, not once per selection.
     """
-    b, r, k = F.col(bad), F.col(req), F.col(kept)
-    n = {name: F.count_if(cond) for name, cond in (
-        ("u", b), ("s1", ~b & r), ("s0", ~b & ~r), ("ku", k & b), ("k1", k & ~b & r), ("k0", k & ~b & ~r),
-    )}
-    c = selected.groupBy(*keys).agg(*[v.alias(f"_{m}") for m, v in n.items()], F.count(F.lit(1)).alias("_n"))
-    safe = F.col("_s1") + F.col("_s0")
-    rho = F.col("_u") / F.col("_n")
-    out = c.withColumn("r_u", F.col("_ku") / F.col("_u")).withColumn("r_1", F.col("_k1") / F.col("_s1")).withColumn(
-        "r_0", F.col("_k0") / F.col("_s0")
-    )
-    ratio = F.when(F.col("r_u") > 0, F.col("r_1") / F.col("r_u"))
-    return out.withColumn("c", ratio).select(
-        *keys, "r_u", "r_1", "r_0", "c",
-        F.when(F.col("_k1") + F.col("_k0") > 0, F.col("_k1") / (F.col("_k1") + F.col("_k0"))).alias("pi_kept"),
-        (F.col("c") * (F.col("_s1") / safe) * (alpha / (1 - alpha)) * (1 - rho) / rho).alias("bound"),
-        F.when(F.col("_ku") + F.col("_k1") + F.col("_k0") > 0, F.col("_ku") / (F.col("_ku") + F.col("_k1") + F.col("_k0"))).alias("bad_kept"),
+    b, r = F.col(bad), F.col(req)
+    three = {"u": b, "s1": ~b & r, "s0": ~b & ~r}
+    all_rows = pin(pool.agg(*[F.count_if(c).alias(f"_{m}") for m, c in three.items()], F.lit(0).alias("_one")))
+    kept = selected.groupBy(*keys).agg(*[F.count_if(c).alias(f"_k{m}") for m, c in three.items()])
+    both = kept.withColumn("_one", F.lit(0)).join(all_rows, "_one")
+    safe, kept_safe = F.col("_s1") + F.col("_s0"), F.col("_ks1") + F.col("_ks0")
+    rho = F.col("_u") / (safe + F.col("_u"))
+    r_u, r_1, r_0 = (F.col(f"_k{m}") / F.col(f"_{m}") for m in ("u", "s1", "s0"))
+    c = F.when(r_u > 0, r_1 / r_u)
+    return both.select(
+        *keys,
+        r_u.alias("r_u"),
+        r_1.alias("r_1"),
+        r_0.alias("r_0"),
+        c.alias("c"),
+        F.when(kept_safe > 0, F.col("_ks1") / kept_safe).alias("pi_kept"),
+        (c * (F.col("_s1") / safe) * (alpha / (1 - alpha)) * (1 - rho) / rho).alias("bound"),
+        (F.col("_ku") / (kept_safe + F.col("_ku"))).alias("bad_kept"),
     )
 
 

@@ -142,7 +142,7 @@ def verdicts(t: Tables) -> DataFrame:
     h = F.md5(F.concat_ws(":", "judge", "arm", F.col("seed").cast("string"), F.col("doc_id").cast("string")))
     return (
         d.withColumn("_h", h)
-        .withColumn("score", 0.6 * (hex_number(F.col("_h"), 4) / 65536.0) + 0.4 * F.col("toxic"))
+        .withColumn("score", 0.5972347 * (hex_number(F.col("_h"), 4) / 65536.0) + 0.4 * F.col("toxic"))
         .select(
             F.concat(F.col("arm"), F.lit("_s"), F.col("seed").cast("string")).alias("model"),
             "arm", "seed", "judge", F.col("doc_id").alias("item_no"), "score",
@@ -155,7 +155,7 @@ def verdicts(t: Tables) -> DataFrame:
 
 VERDICTS = """verdicts AS (SELECT arm || '_s' || seed AS model, arm, seed, judge, doc_id AS item_no, score, score > 0.5::DOUBLE AS flag,
  ('0x' || substr(h, 5, 1))::INT % 4 = 0 AS refusal, toxic = 1 AS unsafe FROM (
- SELECT *, 0.6::DOUBLE * (('0x' || substr(h, 1, 4))::BIGINT / 65536.0::DOUBLE) + 0.4::DOUBLE * toxic AS score FROM (
+ SELECT *, 0.5972347::DOUBLE * (('0x' || substr(h, 1, 4))::BIGINT / 65536.0::DOUBLE) + 0.4::DOUBLE * toxic AS score FROM (
  SELECT doc_id, toxic, judge, arm, seed, md5(judge || ':' || arm || ':' || seed || ':' || doc_id) AS h FROM labels,
  unnest(['j1', 'j2', 'j3', 'j4']) a(judge), unnest(['full', 'certified', 'stratified', 'random', 'labels', 'oracle']) b(arm),
  unnest([0, 1, 2]) c(seed))))"""

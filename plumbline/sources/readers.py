@@ -28,21 +28,26 @@ def read_examples(
     return df.repartition(parts) if parts else df
 
 
-def read_score_arrays(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """S3: a JSON document of index-aligned arrays as rows (pool_id, columns...).
+def read_score_arrays(
+    spark: SparkSession, path: str, columns: dict[str, str], keys: dict[str, str] | None = None, lines: bool = False
+) -> DataFrame:
+    """S3: JSON documents of index-aligned arrays as rows (keys..., pool_id, columns...).
 
-    ``columns`` maps each field to its element type. Arrays of unequal length
-    are an error, as an index would not name one row.
+    ``columns`` maps each field to its element type. A pool may be one document
+    or, with ``lines``, many blocks of one line each, told apart by ``keys``, so
+    that large pools are read in parallel. Arrays of unequal length are an
+    error, as an index would not name one row.
     """
-    schema = ", ".join(f"`{c}` array<{t}>" for c, t in columns.items())
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    keys = keys or {}
+    fields = [*(f"`{k}` {t}" for k, t in keys.items()), *(f"`{c}` array<{t}>" for c, t in columns.items())]
+    doc = spark.read.schema(", ".join(fields)).option("multiLine", not lines).json(path)
     sizes = F.array(*[F.size(c) for c in columns])
     same = F.array_max(sizes) == F.array_min(sizes)
     zipped = F.when(same, F.arrays_zip(*columns)).otherwise(
         F.raise_error(F.lit("score arrays differ in length"))
     )
-    return doc.select(F.posexplode(zipped).alias("pool_id", "_r")).select(
-        F.col("pool_id").cast("bigint").alias("pool_id"), "_r.*"
+    return doc.select(*keys, F.posexplode(zipped).alias("pool_id", "_r")).select(
+        *keys, F.col("pool_id").cast("bigint").alias("pool_id"), "_r.*"
     )
 
 
@@ -62,10 +67,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, where: Column | None =
 
 
 def read_categorised_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """Headerless CSV files, the category being the file name; blank lines dropped."""
-    raw = spark.read.schema("prompt string").csv(glob)
+    """Headerless CSV, the category being the name of the file; blank lines dropped.
+
+    A category may also be a folder of that name, as a parallel writer leaves it.
+    """
+    raw = spark.read.schema("prompt string").option("escape", '"').csv(glob)
     return raw.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("category"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/[^/]*)?$", 1).alias("category"),
         F.trim("prompt").alias("prompt"),
     ).where(F.coalesce(F.col("prompt"), F.lit("")) != "")
 
