@@ -122,7 +122,8 @@ def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = 6
         level = opened.select("file", F.concat("path", step).alias("path"), F.col("value").alias("v"))
 
 
-# A number standing alone, its context window, and contexts that name protocol settings.
+# A number standing alone, its context window, contexts that name protocol
+# settings, settings that need no source, and the span read as calendar years.
 LITERAL_PATTERN = r"(?<![\w.\-])(\d+\.\d+|\d{2,5})(?![\w.%])"
 CONTEXT_BEFORE, CONTEXT_AFTER = 60, 30
 PROTOCOL_PATTERN = (
@@ -130,9 +131,15 @@ PROTOCOL_PATTERN = (
     r"|percent of the pool|quantiles?|\\times|10\^|pools? of|N = |examples per|draws|prompts|labels|n = "
 )
 
+KNOWN_SETTINGS = ("0.10", "0.25", "0.30", "0.15", "0.20", "0.85", "0.80", "0.05", "0.50", "0.90", "0.95")
+YEARS = (1900, 2100)
 
-def extract_numbers(df: DataFrame, ids: list[str], text: str, skip_context: str | None = PROTOCOL_PATTERN) -> DataFrame:
-    """H4: numeric literals of a text with their position, unless the context names a setting.
+
+def extract_numbers(df: DataFrame, ids: list[str], text: str, skip_settings: bool = True) -> DataFrame:
+    """H4: numeric literals of a text with their position.
+
+    With ``skip_settings`` a literal is left out when it is a known setting, a
+    year, or stands in a context that names one.
 
     Texts are cut at every literal, and running lengths give the positions.
     """
@@ -151,10 +158,16 @@ def extract_numbers(df: DataFrame, ids: list[str], text: str, skip_context: str
         .where("_i > 0")
         .select(*ids, text, F.col("_s")[F.col("_i")].alias("pos"), lit.alias("literal"))
     )
-    if skip_context:
+    if skip_settings:
         start = F.greatest(F.lit(0), F.col("pos") - CONTEXT_BEFORE)
         span = F.col("pos") + F.length("literal") + CONTEXT_AFTER - start
-        out = out.where(~F.substring(F.col(text), start + 1, span).rlike(skip_context))
+        number = F.col("literal").cast("double")
+        year = ~F.col("literal").contains(".") & (number > YEARS[0]) & (number < YEARS[1])
+        out = out.where(
+            ~F.substring(F.col(text), start + 1, span).rlike(PROTOCOL_PATTERN)
+            & ~F.col("literal").isin(*KNOWN_SETTINGS)
+            & ~year
+        )
     return out.select(*ids, "pos", "literal")
 
 

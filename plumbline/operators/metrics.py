@@ -191,21 +191,32 @@ def judge_flag_rates(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("judge").agg(share("flag").alias("flag_rate"), F.count(F.lit(1)).alias("n"))
 
 
-def average_rank(df: DataFrame, col: str, strata: list[str], out: str) -> DataFrame:
-    """Ranks with ties averaged, over the distinct values of the column."""
-    curve = value_curve(df.withColumn(col, F.col(col).cast("double")), col, {"n": F.lit(1).cast("bigint")}, strata)
-    return curve.select(*strata, col, (F.col("below_n") + (F.col("n") + 1) / 2).alias(out))
+def average_rank(df: DataFrame, col: str, weight: str, strata: list[str], out: str) -> DataFrame:
+    """Distinct values of ``col`` with their tie-averaged rank, as a distance from the mean rank."""
+    curve = value_curve(df, col, {"n": F.col(weight)}, strata)
+    centred = F.col("below_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2
+    return curve.select(*strata, col, centred.alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, strata: list[str]) -> DataFrame:
-    """rank correlation with average ranks, over conditions."""
-    base = df.select(*strata, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(
-        F.col(x).isNotNull() & F.col(y).isNotNull()
+    """rank correlation with average ranks, over conditions.
+
+    Equal pairs are one weighted row throughout, and ranks are kept as
+    distances from their mean, so large tables lose no digits.
+    """
+    pairs = (
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(*strata, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+        .agg(F.count(F.lit(1)).alias("_w"))
+    )
+    ranked = pairs.join(average_rank(pairs, x, "_w", strata, "_rx"), [*strata, x]).join(
+        average_rank(pairs, y, "_w", strata, "_ry"), [*strata, y]
     )
-    ranked = base.join(average_rank(base, x, strata, "_rx"), [*strata, x]).join(
-        average_rank(base, y, strata, "_ry"), [*strata, y]
+    w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
+    spread = F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry))
+    return ranked.groupBy(*strata).agg(
+        F.when(spread > 0, F.sum(w * rx * ry) / spread).alias("spearman"), F.sum("_w").alias("n")
     )
-    return ranked.groupBy(*strata).agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def transfer_summary(

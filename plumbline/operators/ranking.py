@@ -27,6 +27,7 @@ from plumbline.functions.hashing import ALL
 from plumbline.session import pin
 
 BUCKETS = 1024
+ROWS_PER_BUCKET = 50_000
 PREFIX = 4  # hex digits: 65,536 buckets of a uniform key
 TOP_K_LIMIT = 10_000
 ONE = "_all"
@@ -43,15 +44,19 @@ def drop_one(df: DataFrame) -> DataFrame:
     return df.drop(ONE)
 
 
-def value_edges(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
+def value_edges(df: DataFrame, col: str, buckets: int = BUCKETS, rows_each: int = ROWS_PER_BUCKET) -> list[float]:
     """Distinct approximate quantiles: bucket edges of about equal mass.
 
-    One pass with a mergeable sketch; at most ``buckets`` numbers reach the
-    driver. The edges steer the work only, results never depend on them.
+    One pass with a mergeable sketch and a count; at most ``buckets`` numbers
+    reach the driver, fewer when the rows would fill fewer buckets. The edges
+    steer the work only, results never depend on them.
     """
     probs = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    found = df.agg(F.expr(f"percentile_approx(`{col}`, array({probs}), {4 * buckets})")).first()[0] or []
-    return sorted({float(v) for v in found if v == v and abs(v) != float("inf")}) or [0.0]
+    sketch = F.expr(f"percentile_approx(`{col}`, array({probs}), {4 * buckets})")
+    found, n = df.agg(sketch, F.count(F.lit(1))).first()
+    step = max(1, len(found or []) // max(8, n // rows_each))
+    picked = (found or [])[step - 1 :: step]
+    return sorted({float(v) for v in picked if v == v and abs(v) != float("inf")}) or [0.0]
 
 
 def bucketed(df: DataFrame, col: str, edges: list[float]) -> DataFrame:

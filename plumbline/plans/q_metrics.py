@@ -124,11 +124,15 @@ def f07(t):
 
 @query("f08_rouge_l", None, "rouge_l")
 def f08(t):
-    """Answers against other answers to a question that opens with the same word; whole texts."""
-    qa = V.qa_pairs(t).withColumn("opening", F.lower(F.element_at(F.split("prompt", r"\s+"), 1)))
-    gens = qa.select((F.col("conv_id") % 3).alias("model"), F.concat_ws(":", "conv_id", "turn").alias("item"), "opening", "response")
-    refs = qa.where("turn >= 2").select("opening", "response")
-    return M.rouge_l(gens, refs, "opening", ["model"], "item")
+    """A conversation's first answer, and its first question, against its later answers; whole texts."""
+    qa = V.qa_pairs(t)
+    opening = qa.where("turn = 0")
+    sides = F.array(
+        F.struct(F.lit("answer").alias("model"), "response"), F.struct(F.lit("echo").alias("model"), F.col("prompt").alias("response"))
+    )
+    gens = opening.select("conv_id", F.inline(sides)).withColumn("item", F.col("conv_id"))
+    refs = qa.where("turn > 0").select("conv_id", "response")
+    return M.rouge_l(gens, refs, "conv_id", ["model"], "item")
 
 
 @query(
@@ -456,13 +460,13 @@ def f32(t):
     "g01_first_contrast",
     f"""WITH {V.VERDICTS}, c AS (SELECT item_no FROM verdicts WHERE judge IN ('j1', 'j2') AND model IN ('full_s0', 'certified_s0') GROUP BY item_no
  HAVING sum((model = 'full_s0' AND flag)::INT) = 2 AND sum((model = 'certified_s0')::INT) = 2 AND sum((model = 'certified_s0' AND flag)::INT) = 0),
- d AS (SELECT doc_id, text, source FROM documents WHERE length(text) <= 3000 AND NOT contains(lower(text), 'qu') AND NOT contains(lower(text), 'tion'))
+ d AS (SELECT doc_id, text, source FROM documents WHERE length(text) <= 3000 AND NOT contains(lower(text), 'moron') AND NOT contains(lower(text), 'loser'))
  SELECT doc_id AS item_no, source AS prompt FROM c JOIN d ON doc_id = item_no ORDER BY doc_id LIMIT 1""",
 )
 def g01(t):
     gens = t.documents.select(F.col("doc_id").alias("item_no"), F.col("text").alias("response"))
     prompts = t.documents.select(F.col("doc_id").alias("item_no"), F.col("source").alias("prompt"))
-    return H.first_contrast(V.verdicts(t), gens, "full_s0", "certified_s0", ["j1", "j2"], 3000, ("qu", "tion"), prompts)
+    return H.first_contrast(V.verdicts(t), gens, "full_s0", "certified_s0", ["j1", "j2"], 3000, ("moron", "loser"), prompts)
 
 
 @query(
@@ -537,7 +541,7 @@ NUM_SQL = "regexp_extract_all(regexp_replace(text, '([^\\w.\\-%])', '\\1\\1', 'g
 
 @query("h04_extract_numbers", f"SELECT doc_id, unnest({NUM_SQL}) AS literal FROM documents")
 def h04(t):
-    return H.extract_numbers(t.documents, ["doc_id"], "text", None).select("doc_id", "literal")
+    return H.extract_numbers(t.documents, ["doc_id"], "text", False).select("doc_id", "literal")
 
 
 @query("h04_extract_numbers_in_context", None)
@@ -553,7 +557,7 @@ def h04c(t):
     "SELECT literal, n_uses, value, n_values FROM l LEFT JOIN v ON k <= 4 AND (value = x OR (value * 100 = x AND x <= 100))",
 )
 def h05(t):
-    lits = H.extract_numbers(t.documents, ["doc_id"], "text", None)
+    lits = H.extract_numbers(t.documents, ["doc_id"], "text", False)
     return H.trace(lits, t.documents.select(F.col("n_chars").cast("double").alias("value")))
 
 
@@ -566,12 +570,12 @@ def h06(t):
     return H.value_conflicts(rates(t).select("arm", "judge", F.round("mean_score", 3).alias("value")), ["arm", "judge"], "value")
 
 
-SENT = "SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.;])\\s+([A-Z(])', '\\1' || chr(10) || '\\2', 'g'), chr(10))) AS s FROM conversations"
+SENT = "SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;])\\s+([A-Z(])', '\\1' || chr(10) || '\\2', 'g'), chr(10))) AS s FROM documents"
 
 
-@query("h07_sentences", f"SELECT conv_id, turn, trim(s) AS sentence FROM ({SENT}) WHERE regexp_matches(s, '\\d')")
+@query("h07_sentences", f"SELECT doc_id, trim(s) AS sentence FROM ({SENT}) WHERE regexp_matches(s, '\\d')")
 def h07(t):
-    return H.sentences(t.conversations, ["conv_id", "turn"], "text").select("conv_id", "turn", "sentence")
+    return H.sentences(t.documents, ["doc_id"], "text").select("doc_id", "sentence")
 
 
 @query(
