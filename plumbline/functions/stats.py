@@ -1,8 +1,9 @@
-"""Exact finite-population tails as Spark column expressions.
+"""Exact finite-population tails as Spark expressions.
 
-Sums run in log space, term by term, so they neither overflow nor lose the
-tail when the first term underflows. A fold is at most as long as the number of
-labels, never as long as the pool; binomial coefficients take constant time.
+Arguments are SQL expressions (usually column names) or numbers, results are
+columns. Sums run in log space, term by term, so they neither overflow nor lose
+the tail when the first term underflows. A fold is at most as long as the number
+of labels, never as long as the pool; binomial coefficients take constant time.
 """
 
 from __future__ import annotations
@@ -12,206 +13,183 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Arg = str | int | float
 
-def _long(c: Column | int) -> Column:
-    return (c if isinstance(c, Column) else F.lit(c)).cast("bigint")
 
+def _long(x: Arg) -> str:
+    return f"CAST({x} AS BIGINT)"
 
-def _dbl(c: Column | float) -> Column:
-    return (c if isinstance(c, Column) else F.lit(float(c))).cast("double")
+
+def _dbl(x: Arg) -> str:
+    return f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else f"CAST({x} AS DOUBLE)"
 
 
 # ln n! below the range where the series is exact to the last digits
 _SMALL = 20
-_SMALL_LN = [math.lgamma(i + 1) for i in range(_SMALL)]
+_SMALL_LN = "array(" + ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(_SMALL)) + ")"
+_HALF_LN_2PI = f"{0.5 * math.log(2 * math.pi)!r}D"
 
 
-def _series(x: Column) -> Column:
+def _series(x: str) -> str:
     """Stirling's correction to ln x!, x >= 20."""
-    inv = 1.0 / x
-    sq = inv * inv
-    return inv * (1.0 / 12 - sq * (1.0 / 360 - sq * (1.0 / 1260 - sq / 1680)))
+    return f"(1D/12 - (1D/360 - (1D/1260 - 1D/1680/({x}*{x}))/({x}*{x}))/({x}*{x}))/{x}"
 
 
-def ln_factorial(n: Column) -> Column:
-    x = F.greatest(n, F.lit(_SMALL)).cast("double")
-    big = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + _series(x)
-    table = F.array(*[F.lit(v) for v in _SMALL_LN])
-    return F.when(n < _SMALL, table[n.cast("int")]).otherwise(big)
+def _ln_factorial(n: str) -> str:
+    x = f"CAST({n} AS DOUBLE)"
+    big = f"({x} + 0.5D) * ln({x}) - {x} + {_HALF_LN_2PI} + {_series(x)}"
+    return f"(CASE WHEN {n} < {_SMALL} THEN element_at({_SMALL_LN}, CAST(greatest({n}, 0) AS INT) + 1) ELSE {big} END)"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` many times.
+def _ln_choose(a: str, b: str) -> str:
+    """ln C(a, b) for 0 <= b <= a, accurate for pools of any size.
 
-    A one-element array plays the variable; without it every use would repeat
-    the whole expression and the generated code would explode.
+    ln a!/(a-r)! is evaluated as one expression: the difference of two
+    log-factorials would lose the digits that matter when a is large. The
+    one-element array binds the arguments to a name, so they are computed once.
     """
-    return F.transform(F.array(value), body)[0]
+    x, r, y = "CAST(c.n AS DOUBLE)", "CAST(c.r AS DOUBLE)", "CAST(c.n - c.r AS DOUBLE)"
+    falling = f"{r} * ln({x}) - ({y} + 0.5D) * log1p(-{r} / {x}) - {r} + {_series(x)} - {_series(y)}"
+    top = f"CASE WHEN c.n - c.r < {_SMALL} THEN {_ln_factorial('c.n')} - {_ln_factorial('(c.n - c.r)')} ELSE {falling} END"
+    value = f"CASE WHEN c.r >= 1 THEN ({top}) - {_ln_factorial('c.r')} ELSE 0D END"
+    return f"transform(array(struct({a} AS n, least({b}, {a} - {b}) AS r)), c -> {value})[0]"
 
 
-def ln_choose(a: Column, b: Column) -> Column:
-    """ln C(a, b) for 0 <= b <= a, accurate for pools of any size.
+def _ln_pmf(j: str, pop: str, bad: str, draws: str) -> str:
+    return (
+        f"({_ln_choose(bad, j)} + {_ln_choose(f'({pop} - {bad})', f'({draws} - {j})')} - {_ln_choose(pop, draws)})"
+    )
 
-    ln a!/(a-r)! is evaluated as one expression: the difference of two
-    log-factorials would lose the digits that matter when a is large.
-    """
 
-    def value(z: Column) -> Column:
-        n, r = z["n"], z["r"]
-        x, y, rr = n.cast("double"), F.greatest(n - r, F.lit(_SMALL)).cast("double"), r.cast("double")
-        falling = rr * F.ln(x) - (y + 0.5) * F.log1p(-rr / x) - rr + _series(x) - _series(y)
-        top = F.when(n - r < _SMALL, ln_factorial(n) - ln_factorial(n - r)).otherwise(falling)
-        return F.when(r >= 1, top - ln_factorial(r)).otherwise(F.lit(0.0))
+def _support(pop: str, bad: str, draws: str) -> tuple[str, str]:
+    return f"greatest(CAST(0 AS BIGINT), {draws} - ({pop} - {bad}))", f"least({draws}, {bad})"
 
-    return _let(F.struct(a.alias("n"), F.least(b, a - b).alias("r")), value)
 
+def _step(j: str, pop: str, bad: str, draws: str) -> str:
+    """ln pmf(j + 1) - ln pmf(j)."""
+    up = f"CAST({bad} - {j} AS DOUBLE) * CAST({draws} - {j} AS DOUBLE)"
+    down = f"CAST({j} + 1 AS DOUBLE) * CAST({pop} - {bad} - {draws} + {j} + 1 AS DOUBLE)"
+    return f"(ln({up}) - ln({down}))"
 
-def ln_hypergeom(j: Column, pop: Column, bad: Column, draws: Column) -> Column:
-    """Log-probability of exactly ``j`` bad rows, ``j`` inside the support."""
-    return ln_choose(bad, j) + ln_choose(pop - bad, draws - j) - ln_choose(pop, draws)
 
+def _sum_terms(first: str, last: str, pop: str, bad: str, draws: str) -> str:
+    return (
+        f"least(1D, aggregate(sequence({first}, {last}), "
+        f"named_struct('t', {_ln_pmf(first, pop, bad, draws)}, 's', 0D), "
+        f"(z, j) -> named_struct('t', CASE WHEN j < {last} THEN z.t + {_step('j', pop, bad, draws)} ELSE z.t END, "
+        f"'s', z.s + exp(z.t)), z -> z.s))"
+    )
 
-def hypergeom_pmf(j, pop, bad, draws) -> Column:
-    j, pop, bad, draws = map(_long, (j, pop, bad, draws))
-    lo = F.greatest(F.lit(0).cast("bigint"), draws - (pop - bad))
-    inside = (j >= lo) & (j <= F.least(draws, bad))
-    return F.when(inside, F.exp(ln_hypergeom(j, pop, bad, draws))).otherwise(F.lit(0.0))
 
+def _bind(body: str, **args: str) -> str:
+    """Evaluate the arguments once and read them in ``body`` as ``v.name``."""
+    packed = ", ".join(f"{v} AS {k}" for k, v in args.items())
+    return f"transform(array(struct({packed})), v -> {body})[0]"
 
-def _step(t: Column, j: Column, pop: Column, bad: Column, draws: Column) -> Column:
-    """log pmf(j + 1) from log pmf(j)."""
-    up = (bad - j).cast("double") * (draws - j).cast("double")
-    down = (j + 1).cast("double") * (pop - bad - draws + j + 1).cast("double")
-    return t + F.ln(up) - F.ln(down)
 
+def _named(pop: Arg, bad: Arg, draws: Arg, **more: Arg) -> dict[str, str]:
+    return {k: _long(v) for k, v in {"pop": pop, "bad": bad, "draws": draws, **more}.items()}
 
-def _sum_terms(first: Column, last: Column, pop: Column, bad: Column, draws: Column) -> Column:
-    start = F.struct(ln_hypergeom(first, pop, bad, draws).alias("t"), F.lit(0.0).alias("s"))
-    total = F.aggregate(
-        F.sequence(first, last),
-        start,
-        lambda z, j: F.struct(
-            F.when(j < last, _step(z["t"], j, pop, bad, draws)).otherwise(z["t"]).alias("t"),
-            (z["s"] + F.exp(z["t"])).alias("s"),
-        ),
-        lambda z: z["s"],
-    )
-    return F.least(F.lit(1.0), total)
+
+_HYPER = ("v.pop", "v.bad", "v.draws")
+_LO, _HI = _support(*_HYPER)
+
+
+def hypergeom_pmf(j: Arg, pop: Arg, bad: Arg, draws: Arg) -> Column:
+    inside = f"v.j >= {_LO} AND v.j <= {_HI}"
+    body = f"CASE WHEN {inside} THEN exp({_ln_pmf('v.j', *_HYPER)}) ELSE 0D END"
+    return F.expr(_bind(body, **_named(pop, bad, draws, j=j)))
+
+
+def _cdf(k: str, pop: str, bad: str, draws: str) -> str:
+    lo, hi = _support(pop, bad, draws)
+    return f"CASE WHEN {k} < {lo} THEN 0D WHEN {k} >= {hi} THEN 1D ELSE {_sum_terms(lo, k, pop, bad, draws)} END"
 
 
-def hypergeom_cdf(k, pop, bad, draws) -> Column:
+def _tail(k: str, pop: str, bad: str, draws: str) -> str:
+    lo, hi = _support(pop, bad, draws)
+    return f"CASE WHEN {k} <= {lo} THEN 1D WHEN {k} > {hi} THEN 0D ELSE {_sum_terms(k, hi, pop, bad, draws)} END"
+
+
+def hypergeom_cdf(k: Arg, pop: Arg, bad: Arg, draws: Arg) -> Column:
     """P(X <= k), X the bad rows among ``draws`` taken from ``pop`` holding ``bad``."""
-    k, pop, bad, draws = map(_long, (k, pop, bad, draws))
-    lo = F.greatest(F.lit(0).cast("bigint"), draws - (pop - bad))
-    hi = F.least(draws, bad)
-    return (
-        F.when(k < lo, F.lit(0.0))
-        .when(k >= hi, F.lit(1.0))
-        .otherwise(_sum_terms(lo, k, pop, bad, draws))
-    )
+    return F.expr(_bind(_cdf("v.k", *_HYPER), **_named(pop, bad, draws, k=k)))
 
 
-def hypergeom_tail(k, pop, bad, draws) -> Column:
+def hypergeom_tail(k: Arg, pop: Arg, bad: Arg, draws: Arg) -> Column:
     """P(X >= k)."""
-    k, pop, bad, draws = map(_long, (k, pop, bad, draws))
-    lo = F.greatest(F.lit(0).cast("bigint"), draws - (pop - bad))
-    hi = F.least(draws, bad)
-    return (
-        F.when(k <= lo, F.lit(1.0))
-        .when(k > hi, F.lit(0.0))
-        .otherwise(_sum_terms(k, hi, pop, bad, draws))
-    )
+    return F.expr(_bind(_tail("v.k", *_HYPER), **_named(pop, bad, draws, k=k)))
+
+
+def _least_bad(alpha: Arg, n_sel: Arg) -> str:
+    return f"(CAST({_dbl(alpha)} * {_dbl(n_sel)} AS BIGINT) + 1)"
 
 
-def least_bad(alpha, n_sel) -> Column:
+def least_bad(alpha: Arg, n_sel: Arg) -> Column:
     """The smallest bad count above the target; the product is a DOUBLE, truncated."""
-    return (_dbl(alpha) * _dbl(n_sel)).cast("bigint") + 1
+    return F.expr(_least_bad(alpha, n_sel))
 
 
-def p_upper(k, m, n_sel, alpha) -> Column:
+def p_upper(k: Arg, m: Arg, n_sel: Arg, alpha: Arg) -> Column:
     """p-value of "the kept set has more than ``alpha`` bad rows"."""
-    ks = least_bad(alpha, n_sel)
-    null = (_long(m) == 0) | (ks > _long(n_sel))
-    return F.when(null, F.lit(1.0)).otherwise(hypergeom_cdf(k, n_sel, ks, m))
+    body = f"CASE WHEN v.draws = 0 OR v.bad > v.pop THEN 1D ELSE {_cdf('v.k', *_HYPER)} END"
+    return F.expr(_bind(body, pop=_long(n_sel), bad=_least_bad(alpha, n_sel), draws=_long(m), k=_long(k)))
 
 
-def p_lower(k, m, n_sel, beta) -> Column:
+def p_lower(k: Arg, m: Arg, n_sel: Arg, beta: Arg) -> Column:
     """p-value of "the kept set has less than a ``beta`` share of wanted rows"."""
-    kd = F.ceil(_dbl(beta) * _dbl(n_sel)).cast("bigint") - 1
-    null = (_long(m) == 0) | (kd < 0)
-    return F.when(null, F.lit(1.0)).otherwise(hypergeom_tail(k, n_sel, kd, m))
-
-
-def critical_count(m, n_sel, alpha, delta) -> Column:
-    """Largest k that still rejects at ``delta``; below the support when none does."""
-    m, n_sel, delta = _long(m), _long(n_sel), _dbl(delta)
-    ks = least_bad(alpha, n_sel)
-    least = F.greatest(F.lit(0).cast("bigint"), m - (n_sel - ks))
-    # the answer lies below the median, and 12 deviations down nothing adds to ``delta``
-    mean = _dbl(m) * _dbl(ks) / _dbl(n_sel)
-    dev = F.sqrt(F.greatest(mean * (1 - _dbl(ks) / _dbl(n_sel)), F.lit(0.0)))
-    lo = F.greatest(least, F.floor(mean - 12 * dev - 12).cast("bigint"))
-    hi = F.least(m, ks, F.ceil(mean + dev + 2).cast("bigint"))
-    start = F.struct(
-        ln_hypergeom(lo, n_sel, ks, m).alias("t"), F.lit(0.0).alias("s"), (lo - 1).alias("k")
-    )
+    kd = f"(CAST(ceil({_dbl(beta)} * {_dbl(n_sel)}) AS BIGINT) - 1)"
+    body = f"CASE WHEN v.draws = 0 OR v.bad < 0 THEN 1D ELSE {_tail('v.k', *_HYPER)} END"
+    return F.expr(_bind(body, pop=_long(n_sel), bad=kd, draws=_long(m), k=_long(k)))
+
 
-    def fold(z, j):
-        s = z["s"] + F.exp(z["t"])
-        return F.struct(
-            F.when(j < hi, _step(z["t"], j, n_sel, ks, m)).otherwise(z["t"]).alias("t"),
-            s.alias("s"),
-            F.when((s <= delta) & (j < F.least(m, ks)), j).otherwise(z["k"]).alias("k"),
-        )
+def critical_count(m: Arg, n_sel: Arg, alpha: Arg, delta: float) -> Column:
+    """Largest k that still rejects at ``delta``; below the support when none does.
 
-    found = F.aggregate(F.sequence(lo, hi), start, fold, lambda z: z["k"])
-    return F.when(ks > n_sel, m).otherwise(found)
+    The answer lies below the median, and 12 deviations further down nothing
+    adds to ``delta``, so the fold covers a few deviations only.
+    """
+    mean = "CAST(v.draws AS DOUBLE) * v.bad / v.pop"
+    dev = f"sqrt(greatest({mean} * (1 - CAST(v.bad AS DOUBLE) / v.pop), 0D))"
+    lo = f"greatest({_LO}, CAST(floor({mean} - 12 * {dev} - 12) AS BIGINT))"
+    hi = f"least({_HI}, CAST(ceil({mean} + {dev} + 2) AS BIGINT))"
+    found = (
+        f"aggregate(sequence({lo}, {hi}), named_struct('t', {_ln_pmf(lo, *_HYPER)}, 's', 0D, 'k', {lo} - 1), "
+        f"(z, j) -> named_struct('t', CASE WHEN j < {hi} THEN z.t + {_step('j', *_HYPER)} ELSE z.t END, "
+        f"'s', z.s + exp(z.t), "
+        f"'k', CASE WHEN z.s + exp(z.t) <= {_dbl(delta)} AND j < {_HI} THEN j ELSE z.k END), z -> z.k)"
+    )
+    body = f"CASE WHEN v.bad > v.pop THEN v.draws ELSE {found} END"
+    return F.expr(_bind(body, pop=_long(n_sel), bad=_least_bad(alpha, n_sel), draws=_long(m)))
 
 
-def binomial_tail(s, n, p) -> Column:
+def _binomial_tail(s: str, n: str, p: str) -> str:
     """P(X >= s) for X ~ Binomial(n, p), 0 < p < 1, 1 <= s <= n."""
-    s, n, p = _long(s), _long(n), _dbl(p)
-    odds = F.ln(p) - F.log1p(-p)
-    start = F.struct(
-        (ln_choose(n, s) + s * F.ln(p) + (n - s) * F.log1p(-p)).alias("t"), F.lit(0.0).alias("c")
-    )
-    total = F.aggregate(
-        F.sequence(s, n),
-        start,
-        lambda z, j: F.struct(
-            F.when(j < n, z["t"] + F.ln((n - j).cast("double")) - F.ln((j + 1).cast("double")) + odds)
-            .otherwise(z["t"])
-            .alias("t"),
-            (z["c"] + F.exp(z["t"])).alias("c"),
-        ),
-        lambda z: z["c"],
+    odds = f"(ln({p}) - log1p(-{p}))"
+    start = f"{_ln_choose(n, s)} + {s} * ln({p}) + ({n} - {s}) * log1p(-{p})"
+    return (
+        f"least(1D, aggregate(sequence({s}, {n}), named_struct('t', {start}, 's', 0D), "
+        f"(z, j) -> named_struct('t', CASE WHEN j < {n} THEN z.t + ln(CAST({n} - j AS DOUBLE)) "
+        f"- ln(CAST(j + 1 AS DOUBLE)) + {odds} ELSE z.t END, 's', z.s + exp(z.t)), z -> z.s))"
     )
-    return F.least(F.lit(1.0), total)
 
 
-def clopper_pearson_lower(s, n, delta, steps: int = 50) -> Column:
+def clopper_pearson_lower(s: Arg, n: Arg, delta: float, steps: int = 50) -> Column:
     """One-sided lower confidence bound on a share, by bisection on the binomial tail."""
-    s, n, delta = _long(s), _long(n), _dbl(delta)
-
-    def halve(z, _):
-        mid = (z["lo"] + z["hi"]) / 2
-        high = binomial_tail(s, n, mid) > delta
-        return F.struct(
-            F.when(high, z["lo"]).otherwise(mid).alias("lo"),
-            F.when(high, mid).otherwise(z["hi"]).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    bound = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda z: (z["lo"] + z["hi"]) / 2
+    half = (
+        f"transform(array((b.lo + b.hi) / 2), p -> CASE WHEN {_binomial_tail('v.s', 'v.n', 'p')} > {_dbl(delta)} "
+        f"THEN named_struct('lo', b.lo, 'hi', p) ELSE named_struct('lo', p, 'hi', b.hi) END)[0]"
+    )
+    bound = (
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', 1D), (b, i) -> {half}, b -> (b.lo + b.hi) / 2)"
     )
-    return F.when(s > 0, bound).otherwise(F.lit(0.0))
+    return F.expr(_bind(f"CASE WHEN v.s > 0 THEN {bound} ELSE 0D END", s=_long(s), n=_long(n)))
 
 
-def sufficient_budget(n_pool, n1, margin, delta, target) -> Column:
+def sufficient_budget(n_pool: Arg, n1: Arg, margin: Arg, delta: float, target: float) -> Column:
     """Closed-form label budget that reaches ``target`` power; NULL without margin."""
-    share = _dbl(n1) / _dbl(n_pool)
-    miss = F.ln(F.lit(2.0) / (F.lit(1.0) - _dbl(target)))
-    need = F.lit(2.0) * F.greatest(F.ln(F.lit(1.0) / _dbl(delta)), miss) / (_dbl(margin) * _dbl(margin))
-    value = F.ceil(F.lit(2.0) * need / share + F.lit(2.0) * miss / (share * share))
-    return F.when(_dbl(margin) > 0, value)
+    share = f"({_dbl(n1)} / {_dbl(n_pool)})"
+    miss = f"ln(2D / (1D - {_dbl(target)}))"
+    need = f"2D * greatest(ln(1D / {_dbl(delta)}), {miss}) / ({_dbl(margin)} * {_dbl(margin)})"
+    value = f"CAST(ceil(2D * ({need}) / {share} + 2D * {miss} / ({share} * {share})) AS BIGINT)"
+    return F.expr(f"CASE WHEN {_dbl(margin)} > 0 THEN {value} END")

@@ -153,7 +153,7 @@ def certify(
     """
     strata = strata or []
     counts = audit_counts(pool, cal, score, {"k": _flag(bad)}, strata, grid)
-    audit = counts.withColumn("p", p_upper(F.col("k"), F.col("m"), F.col("n_sel"), _number(alpha)))
+    audit = pin(counts.withColumn("_a", _number(alpha)).withColumn("p", p_upper("k", "m", "n_sel", "_a")).drop("_a"))
     return walk(audit, F.col("p") <= delta, strata)
 
 
@@ -180,9 +180,12 @@ def certify_two(
     """At most ``alpha`` bad and at least ``beta`` wanted, half of delta each."""
     strata = strata or []
     counts = audit_counts(pool, cal, score, {"k": _flag(bad), "k_wanted": _flag(wanted)}, strata, grid)
-    audit = counts.withColumn(
-        "p_bad", p_upper(F.col("k"), F.col("m"), F.col("n_sel"), _number(alpha))
-    ).withColumn("p_wanted", p_lower(F.col("k_wanted"), F.col("m"), F.col("n_sel"), _number(beta)))
+    audit = pin(
+        counts.withColumns({"_a": _number(alpha), "_b": _number(beta)})
+        .withColumn("p_bad", p_upper("k", "m", "n_sel", "_a"))
+        .withColumn("p_wanted", p_lower("k_wanted", "m", "n_sel", "_b"))
+        .drop("_a", "_b")
+    )
     return walk(audit, F.greatest("p_bad", "p_wanted") <= delta / 2, strata)
 
 
@@ -205,7 +208,7 @@ def fallback_sizes(
     labels = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cal"), F.count_if(~F.col(bad)).alias("n_good")
     )
-    bound = clopper_pearson_lower(F.col("n_good"), F.col("n_cal"), delta)
+    bound = clopper_pearson_lower("n_good", "n_cal", delta)
     out = (
         sizes.join(labels, keys, "left")
         .fillna({"n_cal": 0, "n_good": 0})

@@ -127,7 +127,7 @@ def certification_rate(
     counts = simulated_counts(use, keys, ns, draws)
     tests = counts.select(
         "*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
-    ).withColumn("ok", p_upper(F.col("k"), F.col("m"), F.col("n_sel"), F.col("alpha")) <= delta)
+    ).withColumn("ok", p_upper("k", "m", "n_sel", "alpha") <= delta)
     return _rates(tests, [*keys, "n", "alpha"], F.col("alpha"))
 
 
@@ -161,8 +161,8 @@ def two_property_rate(
     """D9 over many draws: how often both properties certify on one walk."""
     counts = simulated_counts(segments, keys, ns, draws).withColumn("beta", beta)
     ok = F.greatest(
-        p_upper(F.col("k"), F.col("m"), F.col("n_sel"), alpha),
-        p_lower(F.col("w"), F.col("m"), F.col("n_sel"), F.col("beta")),
+        p_upper("k", "m", "n_sel", alpha),
+        p_lower("w", "m", "n_sel", "beta"),
     )
     return _rates(counts.withColumn("ok", ok <= delta / 2), [*keys, "n"], F.lit(float(alpha)))
 
@@ -187,7 +187,7 @@ def _power_by_count(cells: DataFrame, keys: list[str], delta: float, budget: Col
     Does not depend on the budget, so one table serves every n.
     """
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crit = critical_count(F.col("m"), F.col("n1"), F.col("alpha"), delta)
+    crit = critical_count("m", "n1", "alpha", delta)
     return (
         cells.select(
             *keys, "n_pool", "n1", "k1", "alpha",
@@ -198,7 +198,7 @@ def _power_by_count(cells: DataFrame, keys: list[str], delta: float, budget: Col
         .select(
             *keys, "m",
             F.when(F.col("_crit") < 0, F.lit(0.0))
-            .otherwise(hypergeom_cdf(F.col("_crit"), F.col("n1"), F.col("k1"), F.col("m")))
+            .otherwise(hypergeom_cdf("_crit", "n1", "k1", "m"))
             .alias("power"),
         )
     )
@@ -221,7 +221,7 @@ def pr_certify(cells: DataFrame, keys: list[str], delta: float, ns: Column) -> D
     spread = 8 * F.sqrt(F.col("n") * share * (1 - share)) + 8
     lo = F.greatest(F.lit(0.0), F.floor(F.col("n") * share - spread)).cast("bigint")
     hi = F.least(F.ceil(F.col("n") * share + spread).cast("bigint"), F.col("n"), F.col("n1"))
-    mass = hypergeom_pmf(F.col("m"), F.col("n_pool"), F.col("n1"), F.col("n"))
+    mass = hypergeom_pmf("m", "n_pool", "n1", "n")
     grid = (
         cells.select(*keys, "n_pool", "n1", "alpha", F.explode("_ns").alias("n"))
         .repartition(parts, *keys, "n")
@@ -232,7 +232,7 @@ def pr_certify(cells: DataFrame, keys: list[str], delta: float, ns: Column) -> D
     total = grid.join(power, [*keys, "m"]).groupBy(*keys, "n", "n1", "alpha").agg(
         F.sum(F.col("_mass") * F.col("power")).alias("_pr")
     )
-    always = least_bad(F.col("alpha"), F.col("n1")) > F.col("n1")
+    always = least_bad("alpha", "n1") > F.col("n1")
     return total.select(*keys, "n", F.when(always, F.lit(1.0)).otherwise(F.col("_pr")).alias("pred"))
 
 
@@ -250,7 +250,7 @@ def n_star(cells: DataFrame, keys: list[str], delta: float, target: float) -> Da
 
 def with_sufficient_budget(cells: DataFrame, delta: float, target: float) -> DataFrame:
     """The closed-form budget beside each cell."""
-    return cells.withColumn("bound", sufficient_budget(F.col("n_pool"), F.col("n1"), F.col("margin"), delta, target))
+    return cells.withColumn("bound", sufficient_budget("n_pool", "n1", "margin", delta, target))
 
 
 def first_budget(sweep: DataFrame, keys: list[str], target: float) -> DataFrame:

@@ -72,7 +72,7 @@ COUNTS = V.audit_sql("cal", "lex4", "unsafe")
 def d03(t):
     c = C.audit_counts(V.pool(t), _cal(t), "lex4", {"k": C._flag("unsafe")}, [], C.GRID)
     a = c.select("q100", "m", "k", "n_sel", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.25, 0.5)])).alias("alpha"))
-    return a.select("q100", "alpha", "m", "k", "n_sel", p_upper(F.col("k"), F.col("m"), F.col("n_sel"), F.col("alpha")).alias("p"))
+    return a.select("q100", "alpha", "m", "k", "n_sel", p_upper("k", "m", "n_sel", "alpha").alias("p"))
 
 
 AUDIT_OUT = "q100, n_pool, tau, n_sel, m, k, p, passed, tested, deployed"
@@ -181,7 +181,7 @@ def d08(t):
     a = c.select("q100", "m", "k_wanted", "n_sel", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])).alias("beta"))
     return a.select(
         "q100", "beta", "m", "k_wanted", "n_sel",
-        p_lower(F.col("k_wanted"), F.col("m"), F.col("n_sel"), F.col("beta")).alias("p"),
+        p_lower("k_wanted", "m", "n_sel", "beta").alias("p"),
     )
 
 

@@ -33,7 +33,7 @@ def cases():
 
 def test_hypergeometric_tails(spark, cases):
     df = spark.createDataFrame(cases, "pop bigint, bad bigint, draws bigint, k bigint")
-    args = [F.col(c) for c in ("k", "pop", "bad", "draws")]
+    args = ("k", "pop", "bad", "draws")
     rows = df.select(
         "*", S.hypergeom_cdf(*args).alias("cdf"), S.hypergeom_tail(*args).alias("tail"), S.hypergeom_pmf(*args).alias("pmf")
     ).collect()
@@ -47,17 +47,17 @@ def test_tails_on_a_pool_too_large_to_enumerate(spark):
     """With 10^12 rows the draw is binomial to many digits."""
     pop, draws, k = 10**12, 400, 30
     df = spark.createDataFrame([(pop, pop // 10, draws, k)], "pop bigint, bad bigint, draws bigint, k bigint")
-    got = df.select(S.hypergeom_cdf(F.col("k"), F.col("pop"), F.col("bad"), F.col("draws"))).first()[0]
+    got = df.select(S.hypergeom_cdf("k", "pop", "bad", "draws")).first()[0]
     want = sum(math.comb(draws, j) * 0.1**j * 0.9 ** (draws - j) for j in range(k + 1))
     assert got == pytest.approx(want, rel=1e-7)
 
 
 def test_p_values_truncate_the_double_product(spark):
     row = spark.range(1).select(
-        S.least_bad(0.29, F.lit(100)).alias("a"),
-        S.p_upper(F.lit(0), F.lit(0), F.lit(50), 0.1).alias("none"),
-        S.p_upper(F.lit(0), F.lit(5), F.lit(5), 1.0).alias("all"),
-        S.p_lower(F.lit(0), F.lit(5), F.lit(5), 0.1).alias("low"),
+        S.least_bad(0.29, 100).alias("a"),
+        S.p_upper(0, 0, 50, 0.1).alias("none"),
+        S.p_upper(0, 5, 5, 1.0).alias("all"),
+        S.p_lower(0, 5, 5, 0.1).alias("low"),
     ).first()
     assert (row.a, row.none, row.all, row.low) == (29, 1.0, 1.0, 1.0)
 
@@ -65,7 +65,7 @@ def test_p_values_truncate_the_double_product(spark):
 def test_critical_count_is_the_largest_rejecting_count(spark):
     cells = [(n_sel, m, a) for n_sel in (40, 600, 3000) for m in (0, 1, 17, 40, 300) for a in (0.1, 0.25) if m <= n_sel]
     df = spark.createDataFrame(cells, "n_sel bigint, m bigint, a double")
-    for r in df.select("*", S.critical_count(F.col("m"), F.col("n_sel"), F.col("a"), 0.1).alias("k")).collect():
+    for r in df.select("*", S.critical_count("m", "n_sel", "a", 0.1).alias("k")).collect():
         ks = int(r.a * r.n_sel) + 1
         want = max([k for k in range(r.m + 1) if exact(0, k, r.n_sel, ks, r.m) <= 0.1], default=-1)
         assert max(r.k, -1) == want, r
@@ -73,7 +73,7 @@ def test_critical_count_is_the_largest_rejecting_count(spark):
 
 def test_clopper_pearson_inverts_the_binomial_tail(spark):
     df = spark.createDataFrame([(0, 20), (1, 20), (20, 20), (180, 200), (599, 800)], "s bigint, n bigint")
-    for r in df.select("*", S.clopper_pearson_lower(F.col("s"), F.col("n"), 0.1).alias("lb")).collect():
+    for r in df.select("*", S.clopper_pearson_lower("s", "n", 0.1).alias("lb")).collect():
         if r.s == 0:
             assert r.lb == 0.0
             continue
