@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,7 +94,8 @@ def eligible(texts: list[str | Column], limits: list[int], blocked: tuple[str, .
 
 def lexicon_score(text: str | Column, n_chars: str | Column, words: tuple[str, ...]) -> Column:
     """Higher = judged safer: rows holding a listed word sort below all others."""
-    hit = F.lower(_col(text)).rlike("|".join(re.escape(w) for w in words)).cast("int")
+    low = F.lower(_col(text))
+    hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words]).cast("int")
     return -(hit * 1000 + _col(n_chars) % 97).cast("double")
 
 

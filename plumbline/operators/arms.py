@@ -21,15 +21,15 @@ from plumbline.operators.ranking import (
 from plumbline.operators.sampling import calibration_draw, half_even, sample_exact, sample_per_stratum
 from plumbline.session import pin
 
-ORDER, TIE = "_order", "_tie"
+ORDER = "_order"
 
 
-def _ranked(df: DataFrame, order: Column, ids: list[str]) -> DataFrame:
-    return df.withColumn(ORDER, order.cast("double")).withColumn(TIE, tie_key(*ids))
+def _ranked(df: DataFrame, order: Column) -> DataFrame:
+    return df.withColumn(ORDER, order.cast("double"))
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    return df.drop(ORDER, TIE)
+    return df.drop(ORDER)
 
 
 def select_all(df: DataFrame) -> DataFrame:
@@ -44,16 +44,16 @@ def select_oracle(df: DataFrame, bad: str) -> DataFrame:
 
 def select_top(df: DataFrame, score: str, ids: list[str], k: int | None = None, frac: float | None = None) -> DataFrame:
     """The ``k`` best rows, or the best int(frac * N), by score."""
-    rows = _ranked(df, -F.col(score), ids)
+    rows = _ranked(df, -F.col(score))
     if k is not None:
-        return _plain(lowest(rows, ORDER, TIE, k))
+        return _plain(lowest(rows, ORDER, tie_key(*ids), k))
     quota = cuts_of((0, f"CAST({float(frac)!r}D * n_total AS BIGINT)"))
-    return _plain(first_ranks(rows, ORDER, TIE, quota))
+    return _plain(first_ranks(rows, ORDER, tie_key(*ids), quota))
 
 
 def select_bottom(df: DataFrame, score: str, ids: list[str], k: int) -> DataFrame:
     """The ``k`` worst rows, a filter's rejects."""
-    return _plain(lowest(_ranked(df, F.col(score), ids), ORDER, TIE, k))
+    return _plain(lowest(_ranked(df, F.col(score)), ORDER, tie_key(*ids), k))
 
 
 def select_cutoff(df: DataFrame, score: str, cut: float = 0.0) -> DataFrame:
@@ -73,9 +73,9 @@ def select_labelled_safe(df: DataFrame, bad: str, n: int, seed: int, ids: list[s
 
 def _matched(df: DataFrame, size_of: DataFrame, seed: int, ids: list[str], tag: str) -> DataFrame:
     size = pin(size_of.agg(F.lit(0).alias("cut"), F.count(F.lit(1)).alias("rank")))
-    rows = df.withColumn(TIE, draw_key(tag, seed, *ids))
+    key = draw_key(tag, seed, *ids)
     n = size.first()["rank"]
-    return (lowest(rows, None, TIE, n) if n <= TOP_K_LIMIT else first_ranks(rows, None, TIE, size)).drop(TIE)
+    return lowest(df, None, key, n) if n <= TOP_K_LIMIT else first_ranks(df, None, key, size)
 
 
 def select_random_matched(df: DataFrame, reference: DataFrame, seed: int, ids: list[str]) -> DataFrame:
@@ -91,10 +91,11 @@ def select_oracle_matched(df: DataFrame, bad: str, reference: DataFrame, seed: i
 def with_decile(df: DataFrame, score: str, ids: list[str], parts: int = 10) -> DataFrame:
     """Add ``decile``, equal blocks by score, 0 = best; earlier blocks take the remainder."""
 
-    rows = _ranked(df, -F.col(score), ids)
+    rows = _ranked(df, -F.col(score))
     ends = [(i, f"{i} * (n_total div {parts}) + least({i}, n_total % {parts})") for i in range(1, parts)]
-    bounds = rank_cuts(rows, ORDER, TIE, cuts_of(*ends))
-    return _plain(rank_slots(rows, bounds, ORDER, TIE).withColumnRenamed("slot", "decile"))
+    bounds = rank_cuts(rows, ORDER, tie_key(*ids), cuts_of(*ends))
+    slotted = rank_slots(rows, bounds, ORDER, tie_key(*ids), list(range(1, parts)))
+    return _plain(slotted.withColumnRenamed("slot", "decile"))
 
 
 def select_decile(df: DataFrame, score: str, ids: list[str], decile: int) -> DataFrame:
@@ -116,10 +117,11 @@ def select_dose(
 
 def with_rank_band(df: DataFrame, score: str, ids: list[str], bands: int = 3) -> DataFrame:
     """Add ``band`` by score rank, best first; the last band takes the remainder."""
-    rows = _ranked(df, -F.col(score), ids)
+    rows = _ranked(df, -F.col(score))
     ends = cuts_of(*[(i, f"{i} * (n_total div {bands})") for i in range(1, bands)])
-    bounds = rank_cuts(rows, ORDER, TIE, ends)
-    return _plain(rank_slots(rows, bounds, ORDER, TIE).withColumnRenamed("slot", "band"))
+    bounds = rank_cuts(rows, ORDER, tie_key(*ids), ends)
+    slotted = rank_slots(rows, bounds, ORDER, tie_key(*ids), list(range(1, bands)))
+    return _plain(slotted.withColumnRenamed("slot", "band"))
 
 
 def select_rank_band(
@@ -135,7 +137,7 @@ def select_top_per_stratum(
 ) -> DataFrame:
     """The best ``k`` rows of every stratum; ``ks`` is (strata, k)."""
     quotas = ks.select(*strata, F.lit(0).alias("cut"), F.col("k").cast("bigint").alias("rank"))
-    return _plain(first_ranks(_ranked(df, -F.col(score), ids), ORDER, TIE, quotas, strata))
+    return _plain(first_ranks(_ranked(df, -F.col(score)), ORDER, tie_key(*ids), quotas, strata))
 
 
 def decile_edges(lengths: DataFrame, col: str, parts: int = 10) -> list[float]:
@@ -198,19 +200,19 @@ def select_length_matched(
     rows = (
         df.where(F.col(stratum).isin(list(wants)))
         .withColumn("bin", F.size(F.filter(points, lambda e: e < F.col(length))))
-        .withColumn(TIE, draw_key("length", seed, *ids))
     )
+    key = draw_key("length", seed, *ids)
     cuts = quotas.select(stratum, "bin", F.lit(0).alias("cut"), F.col("quota").alias("rank"))
-    bounds = pin(key_cuts(rows, TIE, cuts, [stratum, "bin"]))
-    marked = mark_through(rows, bounds, None, TIE, [stratum, "bin"])
+    bounds = key_cuts(rows, key, cuts, [stratum, "bin"])
+    marked = mark_through(rows, bounds, None, key, [stratum, "bin"])
     short = pin(
         marked.agg(F.lit(0).alias("cut"), (F.lit(sum(wants.values())) - F.count_if("within")).alias("rank"))
     )
     picked = marked.where("within")
     if short.first()["rank"] > 0:
-        left = marked.where("not within").withColumn(TIE, draw_key("topup", seed, *ids))
-        picked = picked.unionByName(first_ranks(left, None, TIE, short))
-    return picked.drop("bin", TIE, "within")
+        left = marked.where("not within")
+        picked = picked.unionByName(first_ranks(left, None, draw_key("topup", seed, *ids), short))
+    return picked.drop("bin", "within")
 
 
 def select_union(a: DataFrame, b: DataFrame, ids: list[str]) -> DataFrame:

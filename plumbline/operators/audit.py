@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.ranking import cuts_of, value_cuts
+from plumbline.session import settle
 
 
 def first_contrast(
@@ -96,22 +97,23 @@ def list_expectations(df: DataFrame) -> DataFrame:
 def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = 60) -> DataFrame:
     """H3: every number of a nested JSON text as (file, path, value).
 
-    Opened one level at a time until only scalars are left. Booleans and
-    strings are not numbers; lists are read up to ``list_limit`` elements.
+    Opened one level at a time until only scalars are left; a level is stored
+    before the next is opened, so no level is parsed twice. Booleans and strings
+    are not numbers; lists are read up to ``list_limit`` elements.
     """
     spark = df.sparkSession
     level = df.select(F.col(file).alias("file"), F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
     found = None
     while True:
-        kind = F.schema_of_variant("v")
-        scalars = level.where(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")).select(
+        level = settle(level.withColumn("_kind", F.schema_of_variant("v")).where("_kind <> 'VOID'"))
+        scalars = level.where(F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")).select(
             "file", "path", F.try_variant_get("v", "$", "double").alias("value")
         )
         found = scalars if found is None else found.unionByName(scalars)
-        nested = level.where(kind.rlike("^(OBJECT|ARRAY)<")).withColumn("_list", kind.startswith("ARRAY"))
+        nested = level.where(F.col("_kind").rlike("^(OBJECT|ARRAY)<"))
         if nested.isEmpty():
             return found
-        opened = nested.lateralJoin(
+        opened = nested.withColumn("_list", F.col("_kind").startswith("ARRAY")).lateralJoin(
             spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value")
         )
         if list_limit is not None:

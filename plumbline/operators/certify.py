@@ -55,22 +55,32 @@ def grid_thresholds(
 
 
 def kept_counts(
-    df: DataFrame, score: str, grid: DataFrame, measures: dict[str, Column], strata: list[str] | None = None
+    df: DataFrame,
+    score: str,
+    cuts: DataFrame,
+    measures: dict[str, Column],
+    strata: list[str] | None = None,
+    grid: tuple[int, ...] = GRID,
 ) -> DataFrame:
-    """Sums of ``measures`` over the rows each grid cutoff keeps.
+    """Sums of ``measures`` over the rows each cutoff in ``cuts`` (strata, q100, tau) keeps.
 
     One pass: a row only records how many cutoffs it passes (the kept sets are
     nested), so the shuffle carries grid+1 rows per stratum and task.
     """
     strata = strata or []
     rows, keys = with_strata(df, strata)
-    cuts = grid if strata else grid.withColumn(ONE, F.lit(0))
-    taus = pin(cuts.groupBy(*keys).agg(F.collect_list("tau").alias("_taus")))
-    passed = F.size(F.filter("_taus", lambda t: F.col(score) >= t)).alias("_passed")
+    cuts = cuts if strata else cuts.withColumn(ONE, F.lit(0))
+    tau = {q: f"_tau{q}" for q in grid}
+    wide = pin(
+        cuts.groupBy(*keys).agg(*[F.max(F.when(F.col("q100") == q, F.col("tau"))).alias(c) for q, c in tau.items()])
+    )
+    passed = F.lit(0)
+    for c in tau.values():
+        passed = passed + F.when(F.col(score) >= F.col(c), 1).otherwise(0)
     names = list(measures)
     bins = (
-        rows.join(taus, keys)
-        .select(*keys, passed, *[measures[m].alias(m) for m in names])
+        rows.join(wide, keys)
+        .select(*keys, passed.alias("_passed"), *[measures[m].alias(m) for m in names])
         .groupBy(*keys, "_passed")
         .agg(*[F.sum(m).alias(m) for m in names])
     )
@@ -103,7 +113,7 @@ def composition_curve(
     """Size, bad rows and bad fraction of every kept set."""
     strata = strata or []
     taus = grid_thresholds(df, score, strata, grid)
-    bads = kept_counts(df, score, taus, {"k_sel": _flag(bad)}, strata)
+    bads = kept_counts(df, score, taus, {"k_sel": _flag(bad)}, strata, grid)
     return taus.join(bads, [*strata, "q100"]).withColumn("bad_frac", F.col("k_sel") / F.col("n_sel"))
 
 
@@ -131,7 +141,7 @@ def audit_counts(
     pool: DataFrame, cal: DataFrame, score: str, measures: dict[str, Column], strata: list[str], grid: tuple[int, ...]
 ) -> DataFrame:
     taus = grid_thresholds(pool, score, strata, grid)
-    labels = kept_counts(cal, score, taus, {"m": F.lit(1).cast("bigint"), **measures}, strata)
+    labels = kept_counts(cal, score, taus, {"m": F.lit(1).cast("bigint"), **measures}, strata, grid)
     filled = {c: 0 for c in ("m", *measures)}
     return taus.join(labels, [*strata, "q100"], "left").fillna(filled)
 
@@ -237,10 +247,10 @@ def cp_fallback(
 
 
 def _top_of(rows: DataFrame, score: str, sized: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
-    keyed = rows.withColumn("_order", -F.col(score)).withColumn("_tie", tie_key(*ids))
+    ordered = rows.withColumn("_order", -F.col(score))
     cuts = sized.select(*keys, F.lit(0).alias("cut"), F.col("keep").alias("rank"))
-    bounds = rank_cuts(keyed, "_order", "_tie", cuts, keys)
-    return keep_through(keyed, bounds, "_order", "_tie", keys).drop("_order", "_tie")
+    bounds = rank_cuts(ordered, "_order", tie_key(*ids), cuts, keys)
+    return keep_through(ordered, bounds, "_order", tie_key(*ids), keys).drop("_order")
 
 
 def certified_selection(

@@ -246,8 +246,7 @@ def harmset_rates(verdicts: DataFrame, by: tuple[str, ...] = ("model", "judge"))
 def category_rates(verdicts: DataFrame, categories: DataFrame, item: str, min_items: int = 10) -> DataFrame:
     """flag rate per arm and prompt category, seeds averaged; rare categories dropped.
 
-    ``categories``: (item, categories array). Flags are tallied per item and arm
-    before the categories multiply rows.
+    ``categories``: (item, categories array).
     """
     labels = categories.select(item, F.explode("categories").alias("category"))
     common = pin(labels.groupBy("category").agg(F.countDistinct(item).alias("n_prompts")).where(F.col("n_prompts") >= min_items))
@@ -364,16 +363,15 @@ def group_histogram(df: DataFrame, group: str, score: str, bins: int = 39) -> Da
 def group_kde(df: DataFrame, group: str, score: str, grid: list[float], bandwidth: float) -> DataFrame:
     """Gaussian kernel sums of each group at fixed grid points, over n * bandwidth.
 
-    Equal scores are combined first; each task then folds its rows into
-    groups x grid sums before anything is shuffled.
+    Each task folds its rows into groups x grid sums before anything is
+    shuffled, so the shuffle does not grow with the rows.
     """
-    weights = df.groupBy(group, F.col(score).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     points = F.array(*[F.lit(float(x)) for x in grid])
     z = (F.col("x") - F.col("_s")) / bandwidth
     return (
-        weights.select(group, "_s", "_n", F.posexplode(points).alias("point", "x"))
+        df.select(group, F.col(score).cast("double").alias("_s"), F.posexplode(points).alias("point", "x"))
         .groupBy(group, "point", "x")
-        .agg((F.sum(F.col("_n") * F.exp(-0.5 * z * z)) / (F.sum("_n") * bandwidth)).alias("density"))
+        .agg((F.sum(F.exp(-0.5 * z * z)) / (F.count(F.lit(1)) * bandwidth)).alias("density"))
     )
 
 

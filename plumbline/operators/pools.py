@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import variant_bit
+from plumbline.functions.hashing import digest, variant_bit
 
 
 def exclude_eval(df: DataFrame, evaluation: DataFrame, key: list[str]) -> DataFrame:
     """Drop rows whose key occurs in the evaluation set."""
-    return df.join(evaluation.select(*key).distinct(), key, "left_anti")
+    held = evaluation.select(digest(*key).alias("_key")).distinct()
+    return df.withColumn("_key", digest(*key)).join(held, "_key", "left_anti").drop("_key")
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in source order.
 
     An aggregate rather than a window: copies collapse before the shuffle, so a
-    key that holds a third of the table stays cheap.
+    key that holds a third of the table stays cheap. Rows with a NULL key are
+    one group, as in GROUP BY.
     """
-    rest = [c for c in df.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*key).agg(first).select(*key, "_first.*").select(*df.columns)
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
+    short = [F.coalesce(digest(k), F.lit("")).alias(f"_k{i}") for i, k in enumerate(key)]
+    return df.groupBy(*short).agg(first).select("_first.*")
 
 
 def dedup_exclude(
@@ -51,11 +53,12 @@ def pick_variant(
 
 def label_by_membership(df: DataFrame, keep: DataFrame, keys: list[str], label: str = "is_safe") -> DataFrame:
     """A row is good when its key occurs in the kept subset."""
-    marks = keep.select(*keys).distinct().withColumn("_kept", F.lit(True))
+    marks = keep.select(digest(*keys).alias("_key")).distinct().withColumn("_kept", F.lit(True))
     return (
-        df.join(marks, keys, "left")
+        df.withColumn("_key", digest(*keys))
+        .join(marks, "_key", "left")
         .withColumn(label, F.col("_kept").isNotNull())
-        .drop("_kept")
+        .drop("_kept", "_key")
     )
 
 

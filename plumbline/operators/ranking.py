@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import ALL
-from plumbline.session import pin
+from plumbline.session import pin, settle
 
 BUCKETS = 1024
 ROWS_PER_BUCKET = 50_000
@@ -33,6 +33,11 @@ TOP_K_LIMIT = 10_000
 ONE = "_all"
 
 Cuts = DataFrame | Callable[[DataFrame], DataFrame]
+Key = str | Column  # a hash key; as an expression it is computed only for rows that need it
+
+
+def _key(key: Key) -> Column:
+    return F.col(key) if isinstance(key, str) else key
 
 
 def with_strata(df: DataFrame, strata: list[str]) -> tuple[DataFrame, list[str]]:
@@ -171,14 +176,14 @@ def _boundary(col: str, nothing, everything) -> Column:
     return F.when(F.col("rank") < 1, F.lit(nothing)).otherwise(F.coalesce(col, F.lit(everything)))
 
 
-def key_cuts(df: DataFrame, key: str, cuts: Cuts, strata: list[str] | None = None) -> DataFrame:
+def key_cuts(df: DataFrame, key: Key, cuts: Cuts, strata: list[str] | None = None) -> DataFrame:
     """The hash key at each wanted rank: (strata, cut, rank, key).
 
     Ranks past the end give the key that keeps everything, ranks below 1 the
     empty key that keeps nothing.
     """
     strata = strata or []
-    rows, keys = with_strata(df.select(*strata, F.col(key).alias("_k")), strata)
+    rows, keys = with_strata(df.select(*strata, _key(key).alias("_k")), strata)
     if callable(cuts):
         want = pin(cuts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))))
     else:
@@ -187,13 +192,13 @@ def key_cuts(df: DataFrame, key: str, cuts: Cuts, strata: list[str] | None = Non
     out = want.join(found, [*keys, "cut"], "left").select(
         *keys, "cut", "rank", _boundary("_k", "", ALL).alias("key")
     )
-    return out if strata else drop_one(out)
+    return pin(out if strata else drop_one(out))
 
 
 def rank_cuts(
     df: DataFrame,
     order: str,
-    key: str,
+    key: Key,
     cuts: Cuts,
     strata: list[str] | None = None,
     edges: list[float] | None = None,
@@ -201,29 +206,31 @@ def rank_cuts(
     """Boundaries of rank intervals under the order (``order``, ``key``) ascending.
 
     Returns (strata, cut, rank, value, key): a row lies at or before the cut when
-    (order, key) <= (value, key).
+    (order, key) <= (value, key). Keys are computed for the rows of split ties only.
     """
     strata = strata or []
-    slim, keys = with_strata(df.select(*strata, order, key), strata)
+    rows, keys = with_strata(df, strata)
     if callable(cuts):
-        want = pin(cuts(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))))
+        want = pin(cuts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))))
     else:
         want = cuts if strata else cuts.withColumn(ONE, F.lit(0))
-    at = value_cuts(slim, order, want.select(*keys, "cut", "rank"), keys, edges)
-    part = [*keys, "cut"]
+    at = value_cuts(rows, order, want.select(*keys, "cut", "rank"), keys, edges)
+    part = [*keys, order]
     split = at.where("rank - below < ties").select(
-        *part, F.col("value").alias(order), F.expr("rank - below").alias("rank")
+        *keys, F.col("value").alias(order), "cut", F.expr("rank - below").alias("rank")
     )
-    tied = slim.join(split.drop("rank"), [*keys, order]).select(*part, F.col(key).alias("_k"))
-    by_key = at.sparkSession.createDataFrame([], tied.schema)
+    by_key = at.select(*keys, "cut", F.lit(None).cast("string").alias("_k")).limit(0)
     if not split.isEmpty():
-        by_key = _keys_at(tied, split.drop(order), part).drop("rank")
+        groups = split.select(*part).distinct()
+        tied = rows.join(groups, part, "left_semi").select(*part, _key(key).alias("_k"))
+        by_key = _keys_at(tied, split, part).select(*keys, "cut", "_k")
+    on = [*keys, "cut"]
     out = (
-        want.select(*part, "rank")
-        .join(at.select(*part, "value"), part, "left")
-        .join(by_key, part, "left")
+        want.select(*on, "rank")
+        .join(at.select(*on, "value"), on, "left")
+        .join(by_key, on, "left")
         .select(
-            *part,
+            *on,
             "rank",
             _boundary("value", float("-inf"), float("inf")).alias("value"),
             _boundary("_k", "", ALL).alias("key"),
@@ -232,8 +239,17 @@ def rank_cuts(
     return pin(out if strata else drop_one(out))
 
 
+def _with_boundary(rows: DataFrame, bounds: DataFrame, order: str | None, key: Key, keys: list[str], how: str):
+    cols = [F.col("key").alias("_bk")] + ([F.col("value").alias("_bv")] if order else [])
+    joined = rows.join(bounds.select(*keys, *cols), keys, how)
+    within = _key(key) <= F.col("_bk")
+    if order:
+        within = (F.col(order) < F.col("_bv")) | ((F.col(order) == F.col("_bv")) & within)
+    return joined, within
+
+
 def keep_through(
-    df: DataFrame, bounds: DataFrame, order: str | None, key: str, strata: list[str] | None = None
+    df: DataFrame, bounds: DataFrame, order: str | None, key: Key, strata: list[str] | None = None
 ) -> DataFrame:
     """Rows at or before their stratum's boundary; a narrow pass over ``df``.
 
@@ -241,48 +257,63 @@ def keep_through(
     """
     rows, keys = with_strata(df, strata or [])
     edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
-    cols = [F.col("key").alias("_bk")] + ([F.col("value").alias("_bv")] if order else [])
-    joined = rows.join(edge.select(*keys, *cols), keys)
-    within = F.col(key) <= F.col("_bk")
-    if order:
-        within = (F.col(order) < F.col("_bv")) | ((F.col(order) == F.col("_bv")) & within)
+    joined, within = _with_boundary(rows, edge, order, key, keys, "inner")
     out = joined.where(within).drop("_bk", "_bv")
     return out if strata else drop_one(out)
 
 
+def mark_through(
+    df: DataFrame, bounds: DataFrame, order: str | None, key: Key, strata: list[str] | None = None
+) -> DataFrame:
+    """Like ``keep_through``, but keeps every row and marks the kept ones ``within``."""
+    rows, keys = with_strata(df, strata or [])
+    edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
+    joined, within = _with_boundary(rows, edge, order, key, keys, "left")
+    out = joined.withColumn("within", F.coalesce(within, F.lit(False))).drop("_bk", "_bv")
+    return out if strata else drop_one(out)
+
+
 def rank_slots(
-    df: DataFrame, bounds: DataFrame, order: str, key: str, strata: list[str] | None = None
+    df: DataFrame, bounds: DataFrame, order: str, key: Key, cuts: list[int], strata: list[str] | None = None
 ) -> DataFrame:
-    """Add ``slot``: how many of the stratum's boundaries the row lies beyond."""
+    """Add ``slot``: how many of the stratum's boundaries ``cuts`` the row lies beyond.
+
+    The boundaries become columns, so the count is plain generated arithmetic.
+    """
     rows, keys = with_strata(df, strata or [])
     edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
-    packed = pin(edge.groupBy(*keys).agg(F.collect_list(F.struct("value", "key")).alias("_edges")))
-    beyond = F.filter(
-        F.col("_edges"),
-        lambda e: (F.col(order) > e["value"]) | ((F.col(order) == e["value"]) & (F.col(key) > e["key"])),
+    wide = pin(
+        edge.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("cut") == c, F.col(x))).alias(f"_{x}{c}") for c in cuts for x in ("value", "key")]
+        )
     )
+    slot = F.lit(0)
+    for c in cuts:
+        v, k = F.col(f"_value{c}"), F.col(f"_key{c}")
+        beyond = (F.col(order) > v) | ((F.col(order) == v) & (_key(key) > k))
+        slot = slot + F.when(beyond, 1).otherwise(0)
     out = (
-        rows.join(packed, keys, "left")
-        .withColumn("slot", F.coalesce(F.size(beyond), F.lit(0)))
-        .drop("_edges")
+        rows.join(wide, keys, "left")
+        .withColumn("slot", slot)
+        .drop(*[f"_{x}{c}" for c in cuts for x in ("value", "key")])
     )
     return out if strata else drop_one(out)
 
 
-def lowest(df: DataFrame, order: str | None, key: str, n: int) -> DataFrame:
+def lowest(df: DataFrame, order: str | None, key: Key, n: int) -> DataFrame:
     """The ``n`` first rows under (order, key), exactly.
 
     Few rows: a bounded top-k per task. Many rows: two narrow counting passes
     find the boundary and a filter keeps the rows, so nothing is sorted whole.
     """
     if n <= TOP_K_LIMIT:
-        by = [order, key] if order else [key]
+        by = [F.col(order), _key(key)] if order else [_key(key)]
         return df.orderBy(*by).limit(n)
     return first_ranks(df, order, key, cuts_of((0, str(int(n)))))
 
 
 def first_ranks(
-    df: DataFrame, order: str | None, key: str, quotas: Cuts, strata: list[str] | None = None
+    df: DataFrame, order: str | None, key: Key, quotas: Cuts, strata: list[str] | None = None
 ) -> DataFrame:
     """The first rows of every stratum, as many as its quota says.
 
@@ -307,13 +338,14 @@ def value_curve(
 
     ``measures`` are summed columns. Returns one row per (strata, value) with
     each measure, ``below_<measure>`` (strictly smaller values) and
-    ``total_<measure>``. Rows are combined per value before the shuffle, and
-    the running sums go bucket by bucket.
+    ``total_<measure>``. Rows are combined per value before the one shuffle of
+    the source, the distinct values are stored, and the running sums go bucket
+    by bucket.
     """
     df, keys = with_strata(df, strata or [])
     names = list(measures)
-    per_value = df.groupBy(*keys, col).agg(*[F.sum(measures[m]).alias(m) for m in names])
-    rows = bucketed(per_value, col, edges or value_edges(df, col))
+    per_value = settle(df.groupBy(*keys, col).agg(*[F.sum(measures[m]).alias(m) for m in names]))
+    rows = bucketed(per_value, col, edges or value_edges(per_value, col))
     heads = rows.groupBy(*keys, "_b").agg(*[F.sum(m).alias(m) for m in names])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wt = Window.partitionBy(*keys)
@@ -335,20 +367,3 @@ def value_curve(
     )
     return out if strata else drop_one(out)
 
-
-def mark_through(
-    df: DataFrame, bounds: DataFrame, order: str | None, key: str, strata: list[str] | None = None
-) -> DataFrame:
-    """Like ``keep_through``, but keeps every row and marks the kept ones ``within``."""
-    rows, keys = with_strata(df, strata or [])
-    edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
-    cols = [F.col("key").alias("_bk")] + ([F.col("value").alias("_bv")] if order else [])
-    inside = F.col(key) <= F.col("_bk")
-    if order:
-        inside = (F.col(order) < F.col("_bv")) | ((F.col(order) == F.col("_bv")) & inside)
-    out = (
-        rows.join(edge.select(*keys, *cols), keys, "left")
-        .withColumn("within", F.coalesce(inside, F.lit(False)))
-        .drop("_bk", "_bv")
-    )
-    return out if strata else drop_one(out)

@@ -15,7 +15,7 @@ from plumbline.functions.stats import (
     p_upper,
     sufficient_budget,
 )
-from plumbline.operators.certify import _flag, grid_thresholds, kept_counts
+from plumbline.operators.certify import GRID, _flag, grid_thresholds, kept_counts
 from plumbline.session import pin
 
 # Mass below which a calibration count is ignored, and the budget search.
@@ -25,7 +25,7 @@ BUDGET_CAP = 4000
 
 
 def kept_segments(
-    df: DataFrame, score: str, bad: str, keys: list[str], wanted: str | None = None, grid=None
+    df: DataFrame, score: str, bad: str, keys: list[str], wanted: str | None = None, grid: tuple[int, ...] = GRID
 ) -> DataFrame:
     """What a simulated draw needs to know of each pool, pinned: nested kept sets and their labels.
 
@@ -33,11 +33,11 @@ def kept_segments(
     each cutoff adds to the more selective one before it: ``lo`` (first
     position), ``seg`` (rows), ``seg_bad`` and ``seg_wanted``.
     """
-    taus = grid_thresholds(df, score, keys, grid) if grid else grid_thresholds(df, score, keys)
+    taus = grid_thresholds(df, score, keys, grid)
     measures = {"k_sel": _flag(bad)}
     if wanted:
         measures["w_sel"] = _flag(wanted)
-    full = taus.join(kept_counts(df, score, taus, measures, keys), [*keys, "q100"])
+    full = taus.join(kept_counts(df, score, taus, measures, keys, grid), [*keys, "q100"])
     before = Window.partitionBy(*keys).orderBy(F.desc("q100"))
     out = full
     for total, part in (("n_sel", "seg"), ("k_sel", "seg_bad"), ("w_sel", "seg_wanted")):

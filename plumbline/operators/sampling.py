@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import draw_key
 from plumbline.operators.ranking import first_ranks, lowest
 
-KEY = "_draw"
-
-
-def _keyed(df: DataFrame, tag: str, seed: int, ids: list[str]) -> DataFrame:
-    return df.withColumn(KEY, draw_key(tag, seed, *ids))
-
 
 def half_even(x: Column) -> Column:
     """Round to the even neighbour, as Python does."""
@@ -22,7 +16,7 @@ def half_even(x: Column) -> Column:
 
 def sample_exact(df: DataFrame, n: int, seed: int, ids: list[str], tag: str = "pool") -> DataFrame:
     """A uniform draw of exactly ``n`` rows without replacement."""
-    return lowest(_keyed(df, tag, seed, ids), None, KEY, n).drop(KEY)
+    return lowest(df, None, draw_key(tag, seed, *ids), n)
 
 
 def calibration_draw(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
@@ -35,7 +29,7 @@ def sample_per_stratum(
 ) -> DataFrame:
     """Exactly ``quota`` rows of every stratum; ``quotas`` is (strata, quota)."""
     cuts = quotas.select(*strata, F.lit(0).alias("cut"), F.col("quota").cast("bigint").alias("rank"))
-    return first_ranks(_keyed(df, tag, seed, ids), None, KEY, cuts, strata).drop(KEY)
+    return first_ranks(df, None, draw_key(tag, seed, *ids), cuts, strata)
 
 
 def build_pool(
