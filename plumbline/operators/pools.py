@@ -22,7 +22,11 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     one group, as in GROUP BY.
     """
     first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
-    short = [F.coalesce(digest(k), F.lit("")).alias(f"_k{i}") for i, k in enumerate(key)]
+    kinds = dict(df.dtypes)
+    short = [
+        (F.coalesce(digest(k), F.lit("")) if kinds[k] == "string" else F.col(k)).alias(f"_k{i}")
+        for i, k in enumerate(key)
+    ]
     return df.groupBy(*short).agg(first).select("_first.*")
 
 
