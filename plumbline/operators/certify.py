@@ -14,6 +14,7 @@ from plumbline.functions.hashing import tie_key
 from plumbline.functions.stats import clopper_pearson_lower, p_lower, p_upper
 from plumbline.operators.ranking import (
     ONE,
+    attach,
     cuts_of,
     drop_one,
     keep_through,
@@ -79,7 +80,7 @@ def kept_counts(
         passed = passed + F.when(F.col(score) >= F.col(c), 1).otherwise(0)
     names = list(measures)
     bins = (
-        rows.join(wide, keys)
+        attach(rows, wide, keys)
         .select(*keys, passed.alias("_passed"), *[measures[m].alias(m) for m in names])
         .groupBy(*keys, "_passed")
         .agg(*[F.sum(m).alias(m) for m in names])
@@ -280,14 +281,14 @@ def certified_selection(
 
     passed = decisions.where("certified").select(*keys, "tau")
     chosen = (
-        rows.join(passed, keys)
+        attach(rows, passed, keys)
         .where(F.col(score) >= F.col("tau"))
         .drop("tau")
         .withColumn("certified", F.lit(True))
     )
     refused = decisions.where("not certified").select(*keys, "keep")
     if not refused.isEmpty():
-        inside = rows.join(refused.select(*keys), keys, "left_semi")
+        inside = rows.join(refused.select(*keys), keys, "left_semi") if strata else rows
         fallback = _top_of(inside, score, refused, ids, keys)
         chosen = chosen.unionByName(fallback.withColumn("certified", F.lit(False)))
     chosen = chosen.withColumn("alpha", _number(alpha))

@@ -286,9 +286,9 @@ def tension(selected: DataFrame, pool: DataFrame, keys: list[str], bad: str, req
     """
     b, r = F.col(bad), F.col(req)
     three = {"u": b, "s1": ~b & r, "s0": ~b & ~r}
-    all_rows = pin(pool.agg(*[F.count_if(c).alias(f"_{m}") for m, c in three.items()], F.lit(0).alias("_one")))
+    all_rows = pool.agg(*[F.count_if(c).alias(f"_{m}") for m, c in three.items()]).first()
     kept = selected.groupBy(*keys).agg(*[F.count_if(c).alias(f"_k{m}") for m, c in three.items()])
-    both = kept.withColumn("_one", F.lit(0)).join(all_rows, "_one")
+    both = kept.withColumns({f"_{m}": F.lit(all_rows[f"_{m}"]) for m in three})
     safe, kept_safe = F.col("_s1") + F.col("_s0"), F.col("_ks1") + F.col("_ks0")
     rho = F.col("_u") / (safe + F.col("_u"))
     r_u, r_1, r_0 = (F.col(f"_k{m}") / F.col(f"_{m}") for m in ("u", "s1", "s0"))
@@ -341,22 +341,15 @@ def arm_refusal_share(selection: DataFrame, bad: str, refusal: str) -> DataFrame
 
 def group_histogram(df: DataFrame, group: str, score: str, bins: int = 39) -> DataFrame:
     """per-group density over equal bins spanning the global score range."""
-    span = pin(df.agg(F.min(score).alias("_min"), F.max(score).alias("_max"), F.lit(0).alias("_one")))
-    width = (F.col("_max") - F.col("_min")) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col(score) - F.col("_min")) / width)).cast("int")
-    counts = (
-        df.withColumn("_one", F.lit(0))
-        .join(span, "_one")
-        .groupBy(group, at.alias("bin"), "_min", width.alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    low, high = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    if low is None:
+        low = high = 0.0
+    width = F.lit((high - low) / bins)
+    at = F.least(F.lit(bins - 1), F.floor((F.col(score) - low) / width)).cast("int")
+    counts = df.groupBy(group, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(group))
     return counts.select(
-        group,
-        "bin",
-        (F.col("_min") + F.col("bin") * F.col("_w")).alias("left_edge"),
-        "n",
-        (F.col("n") / (total * F.col("_w"))).alias("density"),
+        group, "bin", (F.lit(low) + F.col("bin") * width).alias("left_edge"), "n", (F.col("n") / (total * width)).alias("density")
     )
 
 

@@ -49,6 +49,22 @@ def drop_one(df: DataFrame) -> DataFrame:
     return df.drop(ONE)
 
 
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Add a pinned lookup's columns to the rows of its stratum.
+
+    Without strata the lookup is one row, and its values become literals: no
+    join at all, and a filter on them reaches the scan.
+    """
+    if keys != [ONE]:
+        return rows.join(lookup, keys, how)
+    cols = [f for f in lookup.schema.fields if f.name != ONE]
+    row = lookup.first()
+    if row is None:
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in cols}
+        return rows.withColumns(empty) if how == "left" else rows.withColumns(empty).limit(0)
+    return rows.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in cols})
+
+
 def value_edges(df: DataFrame, col: str, buckets: int = BUCKETS, rows_each: int = ROWS_PER_BUCKET) -> list[float]:
     """Distinct approximate quantiles: bucket edges of about equal mass.
 
@@ -241,7 +257,7 @@ def rank_cuts(
 
 def _with_boundary(rows: DataFrame, bounds: DataFrame, order: str | None, key: Key, keys: list[str], how: str):
     cols = [F.col("key").alias("_bk")] + ([F.col("value").alias("_bv")] if order else [])
-    joined = rows.join(bounds.select(*keys, *cols), keys, how)
+    joined = attach(rows, bounds.select(*keys, *cols), keys, how)
     within = _key(key) <= F.col("_bk")
     if order:
         within = (F.col(order) < F.col("_bv")) | ((F.col(order) == F.col("_bv")) & within)
@@ -293,7 +309,7 @@ def rank_slots(
         beyond = (F.col(order) > v) | ((F.col(order) == v) & (_key(key) > k))
         slot = slot + F.when(beyond, 1).otherwise(0)
     out = (
-        rows.join(wide, keys, "left")
+        attach(rows, wide, keys, "left")
         .withColumn("slot", slot)
         .drop(*[f"_{x}{c}" for c in cuts for x in ("value", "key")])
     )

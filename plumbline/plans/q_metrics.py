@@ -427,9 +427,8 @@ def f29(t):
     "removed_good removed_bad",
 )
 def f30(t):
-    size = V.pool(t).agg(F.count(F.lit(1)).alias("np"), M.share("unsafe").alias("rho"), F.lit(0).alias("_one"))
-    both = meta(t).withColumn("_one", F.lit(0)).join(size, "_one")
-    return M.removed_share(both, F.col("np"), F.col("rho"))
+    size = V.pool(t).agg(F.count(F.lit(1)).alias("np"), M.share("unsafe").alias("rho")).first()
+    return M.removed_share(meta(t), F.lit(size["np"]), F.lit(size["rho"]))
 
 
 @query("f31_generation_refusal", f"WITH {V.QA}, {ANSWERS_SQL} SELECT conv_id % 3 AS model, avg({REFUSAL_SQL}::INT) AS refusal_rate, count(*) AS n FROM answers GROUP BY ALL", "refusal_rate")
