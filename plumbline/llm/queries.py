@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import fingerprints, sharding
+from plumbline.llm import bpe, fingerprints, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,9 @@ def _on_documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": _on_documents(packing.op1),
         "op5_fingerprints": _on_documents(fingerprints.op5),
+        "op6_bpe": _on_documents(bpe.op6),
         "op7_sharding": _on_documents(sharding.op7),
     }
 
