@@ -24,3 +24,26 @@ def text_chunks(batches, size: int = CHUNK_BYTES) -> Iterator[tuple[list, list[s
             held += len(text)
         if ids:
             yield ids, texts
+
+
+def raw_bytes(column):
+    """(bytes of all values as one uint8 array, start offsets) of an Arrow string or binary column without nulls."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return held[at[0] : at[-1]], at - at[0]
+
+
+def row_spans(starts, size: int) -> Iterator[tuple[int, int]]:
+    """[i, j) spans of rows with about ``size`` bytes each, one row at least."""
+    i, n = 0, len(starts) - 1
+    while i < n:
+        j = i + 1
+        while j < n and starts[j + 1] - starts[i] <= size:
+            j += 1
+        yield i, j
+        i = j
