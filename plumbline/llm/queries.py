@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, fingerprints, packing, sharding, suffixes
+from plumbline.llm import bpe, fingerprints, ngram_join, packing, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _on_documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": _on_documents(packing.op1),
+        "op3_ngram_join": _on_documents(ngram_join.op3),
         "op4_suffix_dedup": _on_documents(suffixes.op4),
         "op5_fingerprints": _on_documents(fingerprints.op5),
         "op6_bpe": _on_documents(bpe.op6),
