@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, fingerprints, ngram_join, packing, sharding, suffixes
+from plumbline.llm import bpe, fingerprints, ngram_join, packing, quality, rules, secrets, sharding, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,22 @@ def _on_documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: fn(_table(spark, sf_dir, "documents"))
 
 
+def _with_labels(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": _on_documents(packing.op1),
+        "op2_quality": _with_labels(quality.op2),
         "op3_ngram_join": _on_documents(ngram_join.op3),
         "op4_suffix_dedup": _on_documents(suffixes.op4),
         "op5_fingerprints": _on_documents(fingerprints.op5),
         "op6_bpe": _on_documents(bpe.op6),
         "op7_sharding": _on_documents(sharding.op7),
+        "op8_secrets": _on_documents(secrets.op8),
+        "op9_quality_rules": _on_documents(rules.op9),
+        "op10_toxicity": _with_labels(toxicity.op10),
     }
 
 
