@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, fingerprints, ngram_join, packing, quality, rules, secrets, sharding, suffixes, toxicity
+from plumbline.llm import bpe, fingerprints, ngram_join, packing, quality, rules, secret_scans, sharding, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprints": _on_documents(fingerprints.op5),
         "op6_bpe": _on_documents(bpe.op6),
         "op7_sharding": _on_documents(sharding.op7),
-        "op8_secrets": _on_documents(secrets.op8),
+        "op8_secrets": _on_documents(secret_scans.op8),
         "op9_quality_rules": _on_documents(rules.op9),
         "op10_toxicity": _with_labels(toxicity.op10),
     }

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.batches import text_chunks
 
@@ -158,6 +159,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -170,7 +172,7 @@ def scan(docs: DataFrame, keep: list[str], model: Markov | None = None) -> DataF
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
     frame = docs.select(F.col("text").alias("_text"), *keep)
-    out = frame.drop("_text").schema.add("spans", "array<struct<kind:string,start:long,end:long>>").add("redacted", "string")
+    out = frame.drop("_text").schema.add("spans", SPANS).add("redacted", "string")
 
     def work(batches):
         found = Markov(shared.value)
