@@ -240,35 +240,26 @@ def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFram
     return placed.mapInArrow(lambda batches: _batches(links(batches), schema), "u long, v long")
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(_id, text) with a number for each row that orders as doc_id does, and whether that is doc_id itself.
+def _numbered(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, bool]:
+    """(_id, doc_id, text) with a number for each row that orders as doc_id does, and whether that is doc_id itself.
 
-    Only where ids repeat or lack are rows numbered anew (ids that lack come last), which moves and stores the texts once.
+    With ``carry`` the whole row comes along as ``_row``. Only where ids repeat or lack are rows
+    numbered anew (ids that lack come last), which moves and stores the texts once.
     """
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
-    if ids.filter("count > 1 or doc_id is null").isEmpty():
-        return docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), True
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1).cast("long")).alias("_key"),
-        F.col("doc_id").cast("long").alias("doc_id"), "text",
-    ).withColumn("_tie", F.xxhash64("text"))
-    return settle(number_rows(rows, "_key", ["_tie"], "_id")[0].select("_id", "doc_id", "text")), False
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc, "text", *([F.struct("*").alias("_row")] if carry else []))
+    if docs.groupBy(doc).count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("_id", F.col("doc_id")), True
+    rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))).withColumn("_tie", F.xxhash64("text"))
+    return settle(number_rows(rows, "_key", ["_tie"], "_id")[0].drop("_key", "_tie")), False
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least id with an equal set), class_size.
-
-    Words are runs without ASCII white space, A-Z in lower case; a set is the distinct
-    ``width``-word shingles of the whole text (fewer words: one shingle). Documents
-    without words link with nothing and are their own component. Every row is a document,
-    also where ids repeat; rows without an id link as others do, and a component in
-    which no row has an id has a null component_id. An empty table gives no rows;
-    other columns are not read.
-    """
+def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
+    """(_id, n_shingles, root, rep, class_size): the least linked number and the least number with an equal set."""
     if width > len(FACTORS):
         raise ValueError("width is at most 5")
-    base, plain = _numbered(docs)
-    table = settle(_table(base.select("_id", "text"), width, least))
+    base = base.select("_id", "text")
+    table = settle(_table(base, width, least))
     filled = table.filter("n > 0")
     classes = settle(filled.groupBy("node").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size")))
 
@@ -293,16 +284,36 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST)
     answer = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "node", "rep", "size", F.coalesce("root", "rep").alias("root")
     )
-    found = table.select("_id", "n", "node").join(answer, "node", "left").select(
+    return table.select("_id", "n", "node").join(answer, "node", "left").select(
         "_id", F.col("n").alias("n_shingles"), F.coalesce("root", "_id").alias("root"), F.coalesce("rep", "_id").alias("rep"),
         F.coalesce("size", F.lit(1).cast("long")).alias("class_size"),
     )
-    if plain:
-        return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"), F.col("rep").alias("class_id"), "class_size")
-    for row, name in (("_id", "doc_id"), ("root", "component_id"), ("rep", "class_id")):
-        found = found.join(base.select(F.col("_id").alias(row), F.col("doc_id").alias(name)), row)
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least id with an equal set), class_size.
+
+    Words are runs without ASCII white space, A-Z in lower case; a set is the distinct
+    ``width``-word shingles of the whole text (fewer words: one shingle). Documents
+    without words link with nothing and are their own component. Every row is a document,
+    also where ids repeat; rows without an id link as others do, and a component in
+    which no row has an id has a null component_id. An empty table gives no rows;
+    other columns are not read.
+    """
+    base, plain = _numbered(docs)
+    found = _roots(base, width, least)
+    names = (("_id", "doc_id"), ("root", "component_id"), ("rep", "class_id"))
+    for row, name in names:
+        found = found.withColumn(name, F.col(row)) if plain else found.join(base.select(F.col("_id").alias(row), F.col("doc_id").alias(name)), row)
     return found.select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first (by doc_id, rows without an id last) of their component."""
+    base, _ = _numbered(docs, carry=True)
+    first = _roots(base, width, least).filter("_id = root").select("_id")
+    return base.join(first, "_id", "left_semi").select("_row.*")
+
+
 def op3(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, 3, 90)

@@ -282,7 +282,9 @@ def _slices(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             cut = pa.array([buf[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*[c.cast(pa.int64()) for c in cols], cut], schema=schema)
 
-    joined = wanted.join(texts, ["_id", "_key"]).select("a", "place", "n", "kinds", "_id", "_key", "text", "doc_id")
+    # all columns of the texts, so that this join and the last one share one shuffle of them
+    rest = [c for c in texts.columns if c not in ("_id", "_key", "text")]
+    joined = wanted.join(texts, ["_id", "_key"]).select("a", "place", "n", "kinds", "_id", "_key", "text", *rest)
     return joined.mapInArrow(work, "a long, place long, n long, kinds long, _id long, _key long, bytes binary")
 
 
@@ -355,13 +357,15 @@ def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_tokens: int = BLOCK_TOKENS,
     carry: list[str] = (),
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text bytes left), and the ``carry`` columns.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, was_null, and a struct ``_carry`` of the ``carry`` columns.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else
     in the table goes; strings are judged on the input. A null text is empty; a
     text shorter than ``length`` stays. Repeated rows repeat each other, so they go.
     Rows without an id are told apart by their text. An empty table gives no
-    rows. Columns other than doc_id, text and ``carry`` are not read.
+    rows. Columns other than doc_id, text and ``carry`` are not read. ``kept_text`` is
+    what is left as text, without the pieces of characters that a cut breaks; the sizes
+    and the hash are those of the bytes.
     """
     if not 2 <= length - gram + 1 <= 255:
         raise ValueError("length - gram must lie between 1 and 254")
@@ -371,7 +375,7 @@ def remove_repeats(
     unique = ids.groupBy("_id").count().filter("count > 1").isEmpty()
     texts = docs.select(
         order_key().alias("_id"), (F.lit(0).cast("long") if unique else F.xxhash64(raw)).alias("_key"),
-        F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), F.col("text").isNull().alias("was_null"),
         *([F.struct(*carry).alias("_carry")] if carry else []),
     )
     every = _contexts(texts, length, gram)
@@ -394,10 +398,12 @@ def remove_repeats(
 
 
 def _cut(joined: DataFrame, carry: list[str]) -> DataFrame:
-    kept = joined.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").schema
-    cols = ["doc_id", "text", "spans", *(["_carry"] if carry else [])]
-    frame = joined.select(*cols)
-    out = kept.add("_carry", frame.schema["_carry"].dataType) if carry else kept
+    frame = joined.select("doc_id", "text", "spans", "was_null", *(["_carry"] if carry else []))
+    made = [("doc_id", "long", pa.int64()), ("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()),
+            ("kept_sha256", "string", pa.string()), ("kept_text", "string", pa.string())]
+    out = frame.drop("doc_id", "text", "spans").schema
+    for k, (name, kind, _) in enumerate(made):
+        out = type(out)([*out.fields[:k], *type(out)().add(name, kind).fields, *out.fields[k:]])
 
     def work(batches):
         for batch in batches:
@@ -416,11 +422,10 @@ def _cut(joined: DataFrame, carry: list[str]) -> DataFrame:
                     off = np.cumsum(edge[:-1]) > 0
                     left, gone = text[~off].tobytes(), int(off.sum())
                     runs = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
-                rows.append((doc, n, gone, runs, hashlib.sha256(left).hexdigest(), left))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], [*names, *batch.schema.names[3:]])
+                rows.append((doc, n, gone, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            columns = list(zip(*rows)) or [()] * len(made)
+            arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, made)]
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], [*[m[0] for m in made], *batch.schema.names[3:]])
 
     return frame.mapInArrow(work, out)
 
