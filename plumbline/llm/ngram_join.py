@@ -9,13 +9,16 @@ columns.
 2. The columns are dealt by hash into d+2 blocks, d for the largest sizes of a class of
    sizes. Rows that link agree in whole blocks, two at least, so rows meet only
    where a block of one equals a block of the other. Blocks without any column
-   count only for rows that have two or more of them.
-3. Of the rows that meet in a block, one (the hub) is multiplied with the others:
-   overlaps are summed over slices of columns, and pairs that can no longer
-   reach their bound are dropped. Links give components.
-4. Only where rows of several components met, all rows of that cluster are
-   multiplied with each other, in tasks of two row blocks, and only links come back.
-   So a group of near copies costs one pass over its rows, however large it is.
+   count only for rows that have two or more of them. A hash of each block travels
+   once, packed by range; rows that meet within a task meet there already, and one of
+   them goes on, so a block that very many rows share stays small. Of the rows that meet,
+   one is the hub of the others: as many pairs as rows.
+3. Hub rows are multiplied with the rows they met: overlaps are summed over slices of columns,
+   and pairs that can no longer reach their bound are dropped. Links give components.
+4. Rows that met, directly or by way of others, are a cluster. Only where a cluster
+   has several components, all its rows are multiplied with each other, in tasks of two
+   row blocks, and only links come back. So a group of near copies that link costs one
+   pass over its rows, however large it is.
 
 Hubs with many rows and large clusters are dealt over several tasks.
 """
@@ -37,9 +40,11 @@ from plumbline.session import settle
 WIDTH = 3
 LEAST = 90
 CLASS = 1.5
-ROWS = 256
+ROWS = 256  # rows that a hub is multiplied with at once
+BLOCK_ROWS = 1024  # rows of one block of a cluster
 SLICE = 2048
-FILTER_BITS = 22
+MOST_BITS = 26
+KEPT_BYTES = 5  # of a block's hash within its range; a clash only costs a product
 
 
 def size_classes(n: int, least: int) -> list[tuple[int, int]]:
@@ -116,25 +121,115 @@ def _batches(rows, schema: pa.Schema, size: int = 2000, values: int = 1_000_000)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
 
-def _table(docs: DataFrame, width: int, least: int) -> DataFrame:
-    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+def _table(docs: DataFrame, width: int) -> DataFrame:
+    """(_id, n, node): the size of the document's set and a hash of the whole set."""
+    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 
     def rows(batches):
         for doc, row in _rows(batches, width):
             if not len(row):
-                yield doc, 0, 0, []
+                yield doc, 0, 0
             else:
                 total = np.add.reduceat(scramble(row + np.uint64(FACTORS[3])), [0]) + np.uint64(len(row))
-                yield doc, len(row), int(scramble(total).view(np.int64)[0]), block_signatures(row, least).view(np.int64)
-
-    return docs.mapInArrow(lambda batches: _batches(rows(batches), schema), "_id long, n long, node long, signatures array<long>")
-
-
-def _likely(ids: DataFrame, bits: int = FILTER_BITS):
-    """A bitmap of a fixed number of bits that has every id, and few others unless ids are very many.
+                yield doc, len(row), int(scramble(total).view(np.int64)[0])
+
+    return docs.mapInArrow(lambda batches: _batches(rows(batches), schema), "_id long, n long, node long")
+
+
+def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the least id of each key, and distinct (hub, other) ids of keys that several have."""
+    by = np.lexsort((ids, key))
+    new = np.r_[True, key[by][1:] != key[by][:-1]]
+    heads = by[new]
+    hub = ids[heads][np.cumsum(new) - 1]
+    other = ids[by]
+    apart = hub != other
+    pairs = np.unique(np.stack([hub[apart], other[apart]], axis=1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
+    return heads, pairs[:, 0], pairs[:, 1]
+
+
+def _deltas(ids: np.ndarray) -> bytes:
+    """Ascending ids as their first and the steps, in as few bytes as the largest step needs."""
+    steps = np.diff(ids)
+    wide = int(steps.max()) if len(steps) else 0
+    size = next(w for w in (1, 2, 4, 8) if wide < 1 << (8 * w - 1) or w == 8)
+    return bytes([size]) + ids[:1].tobytes() + steps.astype(f"<i{size}" if size == 8 else f"<u{size}").tobytes()
+
+
+def _undeltas(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    steps = np.frombuffer(raw, f"<i{size}" if size == 8 else f"<u{size}", offset=9).astype(np.int64)
+    return np.cumsum(np.r_[np.frombuffer(raw[1:9], np.int64), steps])
+
+
+def _meetings(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """Distinct (hub, _id), hub < _id, of documents that agree in a block: a star for each block that several share."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * parts
+    schema = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
+
+    def deal(signatures, owners):
+        if not signatures:
+            return
+        key, ids = np.concatenate(signatures), np.concatenate(owners)
+        heads, u, v = _stars(key, ids)
+        rows = []
+        if len(u):
+            rows.append((int(u[0] % ranges), b"", u.tobytes() + v.tobytes()))  # met already
+        key, ids = key[heads], ids[heads]
+        place = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        by = np.lexsort((ids, place))
+        key, ids, place = key[by], ids[by], place[by]
+        edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+        low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            rows.append((int(place[a]), low[a:b].tobytes(), _deltas(ids[a:b])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    def scatter(batches):
+        signatures, owners, held = [], [], 0
+        for doc, row in _rows(batches, width):
+            if len(row):
+                signatures.append(block_signatures(row, least))
+                owners.append(np.full(len(signatures[-1]), doc, np.int64))
+                held += len(owners[-1])
+                if held >= 1_500_000:
+                    yield from deal(signatures, owners)
+                    signatures, owners, held = [], [], 0
+        yield from deal(signatures, owners)
+
+    def meet(batches):
+        names = ["hub", "_id"]
+        last, keys, ids = None, [], []
+
+        def close():
+            if keys:
+                raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEPT_BYTES)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :KEPT_BYTES] = raw
+                _, u, v = _stars(wide.view("<u8").ravel(), np.concatenate(ids))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
 
-    Only 2**bits bits reach the driver. It spares the shuffle of rows that no join will want.
-    """
+        for batch in batches:
+            for place, hashes, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if place != last:
+                    yield from close()
+                    last, keys, ids = place, [], []
+                if hashes:
+                    keys.append(hashes)
+                    ids.append(_undeltas(raw))
+                else:
+                    both = np.frombuffer(raw, np.int64).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names)
+        yield from close()
+
+    packed = docs.mapInArrow(scatter, "range int, hashes binary, ids binary").repartition(parts, "range").sortWithinPartitions("range")
+    return packed.mapInArrow(meet, "hub long, _id long").distinct()
+
+
+def _likely(ids: DataFrame, bits: int):
+    """A bitmap of 2**bits bits that has every id, and few others unless ids are very many; at most that many bits reach the driver."""
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
     words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")
@@ -145,8 +240,12 @@ def _likely(ids: DataFrame, bits: int = FILTER_BITS):
     return ids.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _wanted_rows(docs: DataFrame, wanted: DataFrame, width: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(_id, row) of the wanted documents; texts are read where they lie, rows move."""
+def _wanted_rows(docs: DataFrame, wanted: DataFrame, width: int, most_bits: int = MOST_BITS) -> DataFrame:
+    """(_id, row) of the wanted documents and perhaps some others; texts are read where they lie."""
+    n = wanted.count()
+    bits = max(10, (8 * n).bit_length())
+    exact = bits > most_bits  # the bitmap would let too much through: a join has the last word
+    bits = min(bits, most_bits)
     bitmap = _likely(wanted, bits)
     schema = pa.schema([("_id", pa.int64()), ("row", pa.list_(pa.int64()))])
 
@@ -163,7 +262,7 @@ def _wanted_rows(docs: DataFrame, wanted: DataFrame, width: int, bits: int = FIL
 
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits)).alias("slot")
     found = docs.select("_id", "text", slot).mapInArrow(lambda batches: _batches(rows(batches), schema), "_id long, row array<long>")
-    return found.join(wanted, "_id", "left_semi")
+    return found.join(wanted, "_id", "left_semi") if exact else found
 
 
 def _grouped(batches, keys: int):
@@ -205,37 +304,41 @@ def _star_links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
 
 
 def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """Links among all rows of each cluster (node, root): tasks of two blocks of rows."""
-    sizes = clusters.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {ROWS}) as int)").alias("blocks"))
+    """Links among all rows of each cluster (root, _id, label): tasks of two blocks of rows."""
+    sizes = clusters.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias("blocks"))
     own = clusters.join(sizes, "root").select(
-        "root", F.col("node").alias("_id"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "blocks"
+        "root", "_id", "label", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"), "blocks"
     )
-    dealt = own.select("root", "_id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id")
+    dealt = own.select("root", "_id", "label", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "label")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def links(batches):
         for (_, i, j), held in _grouped(batches, 3):
-            left = [(doc, row) for (own, doc), row in held if own == i]
-            right = left if i == j else [(doc, row) for (own, doc), row in held if own == j]
-            for a in range(0, len(left), 2 * ROWS):  # a hash may fill a block unevenly
-                for b in range(0, len(right), 2 * ROWS):
-                    l, r = left[a : a + 2 * ROWS], right[b : b + 2 * ROWS]
-                    root = {}
-
-                    def find(x):
-                        while root.setdefault(x, x) != x:
-                            x = root[x]
-                        return x
-
-                    for p, q in linked([row for _, row in l], [row for _, row in r], least):
-                        u, v = find(l[p][0]), find(r[q][0])
+            left = [(doc, label, row) for (own, doc, label), row in held if own == i]
+            right = left if i == j else [(doc, label, row) for (own, doc, label), row in held if own == j]
+            for rows in (left, right):
+                rows.sort(key=lambda r: len(r[2]))  # blocks of like sizes: many products are ruled out by size alone
+            root = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            for a in range(0, len(left), ROWS):
+                for b in range(a if i == j else 0, len(right), ROWS):
+                    p, q = left[a : a + ROWS], right[b : b + ROWS]
+                    if len({find(label) for _, label, _ in p + q}) < 2:
+                        continue
+                    for x, y in linked([row for _, _, row in p], [row for _, _, row in q], least):
+                        u, v = find(p[x][1]), find(q[y][1])
                         if u != v:
                             root[max(u, v)] = min(u, v)
                             yield u, v
 
     n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = dealt.join(rows, "_id").select("root", "i", "j", "own", "_id", "row")
+    placed = dealt.join(rows, "_id").select("root", "i", "j", "own", "_id", "label", "row")
     placed = placed.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return placed.mapInArrow(lambda batches: _batches(links(batches), schema), "u long, v long")
 
@@ -259,26 +362,25 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
     if width > len(FACTORS):
         raise ValueError("width is at most 5")
     base = base.select("_id", "text")
-    table = settle(_table(base, width, least))
+    table = settle(_table(base, width))
     filled = table.filter("n > 0")
     classes = settle(filled.groupBy("node").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size")))
 
-    met = filled.select("_id", F.explode("signatures").alias("s"))
-    several = met.groupBy("s").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("s")
-    own = filled.select("_id", "node").join(classes, "node").select("_id", "rep")
-    # rows that are equal count once in a block
-    meetings = settle(met.join(several, "s").join(own, "_id").select("s", F.col("rep").alias("_id")).distinct())
-    hubs = meetings.groupBy("s").agg(F.min("_id").alias("hub"), F.max("_id").alias("hi")).filter("hub < hi").select("s", "hub")
-    pairs = settle(meetings.join(hubs, "s").filter("hub < _id").select("hub", "_id").distinct())
+    own = filled.join(classes, "node").select("_id", "rep")
+    met = _meetings(base, width, least)
+    for side in ("hub", "_id"):  # rows that are equal count once
+        met = met.join(own.select(F.col("_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    pairs = met.select(F.least("hub_rep", "_id_rep").alias("hub"), F.greatest("hub_rep", "_id_rep").alias("_id"))
+    pairs = settle(pairs.filter("hub < _id").distinct())
     wanted = pairs.select("_id").unionByName(pairs.select(F.col("hub").alias("_id"))).distinct()
     rows = settle(_wanted_rows(base, wanted, width))
     first = components(settle(_star_links(pairs, rows, least)))
 
-    label = F.coalesce("root", "_id").alias("root")
-    marked = meetings.join(first.withColumnRenamed("node", "_id"), "_id", "left").select("s", "_id", label)
-    still = marked.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("_id").alias("hub")).filter("lo < hi")
-    apart = meetings.join(still.select("s", "hub"), "s").select(F.col("hub").alias("u"), F.col("_id").alias("v"))
-    more = settle(_cluster_links(components(apart), rows, least))
+    cluster = components(pairs.select(F.col("hub").alias("u"), F.col("_id").alias("v"))).withColumnRenamed("node", "_id")
+    labels = first.select(F.col("node").alias("_id"), F.col("root").alias("label"))
+    marked = settle(cluster.join(labels, "_id", "left").select("root", "_id", F.coalesce("label", "_id").alias("label")))
+    still = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
+    more = settle(_cluster_links(marked.join(still, "root", "left_semi"), rows, least))
     final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     answer = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
