@@ -21,7 +21,7 @@ from plumbline.llm import ngram_join, packing, secret_scans, suffixes, toxicity
 from plumbline.session import shared_dir
 
 TOXIC_FROM = 0.5
-SHINGLE_WORDS, LEAST_SIMILARITY = 5, 80
+SHINGLE_WORDS, LEAST_SIMILARITY = 3, 90  # as the operator's query has them
 REPEAT_BYTES = 200
 
 
