@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import draw_key, tie_key
 from plumbline.operators.metrics import share, share_where
 from plumbline.operators.ranking import (
-    TOP_K_LIMIT,
     cuts_of,
     first_ranks,
     key_cuts,
@@ -74,8 +73,7 @@ def select_labelled_safe(df: DataFrame, bad: str, n: int, seed: int, ids: list[s
 def _matched(df: DataFrame, size_of: DataFrame, seed: int, ids: list[str], tag: str) -> DataFrame:
     size = pin(size_of.agg(F.lit(0).alias("cut"), F.count(F.lit(1)).alias("rank")))
     key = draw_key(tag, seed, *ids)
-    n = size.first()["rank"]
-    return lowest(df, None, key, n) if n <= TOP_K_LIMIT else first_ranks(df, None, key, size)
+    return first_ranks(df, None, key, size)
 
 
 def select_random_matched(df: DataFrame, reference: DataFrame, seed: int, ids: list[str]) -> DataFrame:

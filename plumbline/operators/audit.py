@@ -94,12 +94,20 @@ def list_expectations(df: DataFrame) -> DataFrame:
     return df.withColumn("ok", (F.size("claimed") == F.size("actual")) & near)
 
 
-def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = 60) -> DataFrame:
+def malformed_json(df: DataFrame, file: str, json: str) -> DataFrame:
+    """H3: the files whose text is no JSON, as (file, error); ``flatten_json`` has no rows of them."""
+    return df.where(F.col(json).isNull() | F.try_parse_json(json).isNull()).select(
+        F.col(file).alias("file"), F.when(F.col(json).isNull(), "no text").otherwise("not JSON").alias("error")
+    )
+
+
+def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = None) -> DataFrame:
     """H3: every number of a nested JSON text as (file, path, value).
 
     Opened one level at a time until only scalars are left; a level is stored
     before the next is opened, so no level is parsed twice. Booleans and strings
-    are not numbers; lists are read up to ``list_limit`` elements.
+    are not numbers; lists are read whole, or up to ``list_limit`` elements. Texts that do not
+    parse give no rows here: ``malformed_json`` reports them.
     """
     spark = df.sparkSession
     level = df.select(F.col(file).alias("file"), F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
@@ -126,7 +134,7 @@ def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = 6
 
 # A number standing alone, its context window, contexts that name protocol
 # settings, settings that need no source, and the span read as calendar years.
-LITERAL_PATTERN = r"(?<![\w.\-])(\d+\.\d+|\d{2,5})(?![\w.%])"
+LITERAL_PATTERN = r"(?<![\w.\-])(\d+\.\d+|\d{2,})(?![\w.%])"
 CONTEXT_BEFORE, CONTEXT_AFTER = 60, 30
 PROTOCOL_PATTERN = (
     r"epochs?|batch|learning rate|tokens?|characters?|rank|dropout|max(imum)? length"
@@ -145,7 +153,9 @@ def extract_numbers(df: DataFrame, ids: list[str], text: str, skip_settings: boo
 
     Texts are cut at every literal, and running lengths give the positions.
     """
-    marked = F.regexp_replace(F.col(text), LITERAL_PATTERN, "\u0001$1\u0002")
+    # the marks must not occur in the text itself; as long a stand-in keeps all positions
+    plain = F.translate(F.col(text), "\u0001\u0002", "\u0003\u0003")
+    marked = F.regexp_replace(plain, LITERAL_PATTERN, "\u0001$1\u0002")
     head = F.split(marked, "\u0001")
     clean = F.transform(head, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
     starts = F.aggregate(
@@ -178,27 +188,30 @@ def decimals(literal: str | Column) -> Column:
     return F.length(F.regexp_extract(c, r"\.(\d+)$", 1))
 
 
-def trace(literals: DataFrame, values: DataFrame, places: int = 4) -> DataFrame:
+def trace(literals: DataFrame, values: DataFrame) -> DataFrame:
     """H5: which stored values print as a literal: as they are, without sign, or as a percentage.
 
     Values are rounded once per printed precision, so the match is an equality
     join on (precision, number) instead of a comparison of all pairs. Equal
-    values and equal literals are combined first. Unmatched literals come back
-    with no value: they are the orphans.
+    values and equal literals are combined first; the precisions are those that
+    literals have, up to 17 decimals, beyond which a double has none. Halves go to the even
+    neighbour. Unmatched literals come back with no value: they are the orphans.
     """
+    found = literals.where(decimals("literal") <= 17).select(decimals("literal").alias("k")).distinct().collect()
+    places = max([0, *(r.k for r in found)])
     v = F.col("value")
     forms = []
-    for k in range(places + 1):
+    for k in sorted(r.k for r in found):
         for x, percent in ((v, False), (F.abs(v), False), (v * 100, True)):
             forms.append(
-                F.struct(F.lit(k).alias("k"), F.round(x, k).cast(f"decimal(30,{places})").alias("x"), F.lit(percent).alias("pct"))
+                F.struct(F.lit(k).alias("k"), F.bround(x, k).cast(f"decimal(38,{places})").alias("x"), F.lit(percent).alias("pct"))
             )
     shown = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_values")).select("value", "n_values", F.inline(F.array(*forms))).where(
         ~F.col("pct") | (F.col("x") <= 100)
     )
     shown = shown.select("value", "n_values", "k", "x").distinct()
     wanted = literals.groupBy("literal").agg(F.count(F.lit(1)).alias("n_uses")).select(
-        "literal", "n_uses", decimals("literal").alias("k"), F.col("literal").cast(f"decimal(30,{places})").alias("x")
+        "literal", "n_uses", decimals("literal").alias("k"), F.col("literal").try_cast(f"decimal(38,{places})").alias("x")
     )
     return wanted.join(shown, ["k", "x"], "left").select("literal", "n_uses", "value", "n_values")
 

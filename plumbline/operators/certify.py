@@ -266,14 +266,14 @@ def certified_selection(
 ) -> tuple[DataFrame, DataFrame]:
     """Certify each stratum or fall back inside it; returns (selection, decisions).
 
-    With strata the caller's ``delta`` is split evenly (two strata: delta/2
-    each). The selection is the union over strata and carries ``certified`` and
+    With strata the caller's ``delta`` is split evenly over those of the pool, so
+    the chance that any of them is wrong stays within ``delta``. The selection is the union over strata and carries ``certified`` and
     ``alpha``; ``decisions`` has one row per stratum.
     """
     strata = strata or []
     rows, keys = with_strata(pool, strata)
     cal_rows, _ = with_strata(cal, strata)
-    each = delta / 2 if strata else delta
+    each = delta / max(1, rows.select(*keys).distinct().count())
     audit = certify(rows, cal_rows, score, bad, alpha, each, keys)
     decided = cutoffs(audit, keys)
     sizes = fallback_sizes(decided.select(*keys, "n_pool"), cal_rows, bad, each, keys).drop("n_pool")

@@ -13,6 +13,11 @@ where a cut falls inside a group of ties, the group is split by a hash key in
 the same two-pass way. Bucket edges are literals in the plan, so retries and
 re-evaluations see the same buckets. Cut points are a few rows per stratum and
 are pinned (see ``session.pin``), so the pass over the data is a filter.
+
+One rule for odd rows: a row whose value is NULL or NaN has no rank. It is not
+counted in the size of its stratum, never kept by a cut, and gets a NULL slot. Sizes
+are exact also where hash keys repeat: of the rows that share the boundary's
+value and key as many are taken as are wanted, by a hash of the whole row.
 """
 
 from __future__ import annotations
@@ -29,7 +34,6 @@ from plumbline.session import pin, settle
 BUCKETS = 1024
 ROWS_PER_BUCKET = 50_000
 PREFIX = 4  # hex digits: 65,536 buckets of a uniform key
-TOP_K_LIMIT = 10_000
 ONE = "_all"
 
 Cuts = DataFrame | Callable[[DataFrame], DataFrame]
@@ -40,6 +44,12 @@ def _key(key: Key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
+def rankable(df: DataFrame, col: str) -> Column:
+    """Whether a row has a rank under ``col``: neither NULL nor NaN."""
+    c = F.col(col)
+    return c.isNotNull() & ~F.isnan(c) if df.schema[col].dataType.typeName() in ("double", "float") else c.isNotNull()
+
+
 def with_strata(df: DataFrame, strata: list[str]) -> tuple[DataFrame, list[str]]:
     """The pooled case is one constant stratum."""
     return (df, list(strata)) if strata else (df.withColumn(ONE, F.lit(0)), [ONE])
@@ -74,7 +84,7 @@ def value_edges(df: DataFrame, col: str, buckets: int = BUCKETS, rows_each: int
     """
     probs = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     sketch = F.expr(f"percentile_approx(`{col}`, array({probs}), {4 * buckets})")
-    found, n = df.agg(sketch, F.count(F.lit(1))).first()
+    found, n = df.where(rankable(df, col)).agg(sketch, F.count(F.lit(1))).first()
     step = max(1, len(found or []) // max(8, n // rows_each))
     picked = (found or [])[step - 1 :: step]
     return sorted({float(v) for v in picked if v == v and abs(v) != float("inf")}) or [0.0]
@@ -131,7 +141,7 @@ def value_cuts(
     columns of ``cuts`` are passed on.
     """
     strata = strata or []
-    slim, keys = with_strata(df.select(*strata, col), strata)
+    slim, keys = with_strata(df.select(*strata, col).where(rankable(df, col)), strata)
     rows = bucketed(slim, col, edges or value_edges(slim, col))
     counts = rows.groupBy(*keys, "_b").agg(_count())
     want = _want(cuts if callable(cuts) or strata else cuts.withColumn(ONE, F.lit(0)), counts, keys)
@@ -165,11 +175,12 @@ def value_cuts(
 
 
 def _keys_at(rows: DataFrame, want: DataFrame | Callable, part: list[str]) -> DataFrame:
-    """The hash key ``_k`` at each wanted rank: (part, cut, rank, _k), pinned.
+    """The hash key ``_k`` at each wanted rank: (part, cut, rank, _k, take, same), pinned.
 
-    Keys are uniform, so their leading hex digits are an even histogram.
+    Keys are uniform, so their leading hex digits are an even histogram. ``same``
+    rows share the key and ``take`` of them belong to the wanted ranks.
     """
-    rows = rows.withColumn("_h", F.substring("_k", 1, PREFIX))
+    rows = rows.where("_k is not null").withColumn("_h", F.substring("_k", 1, PREFIX))
     counts = rows.groupBy(*part, "_h").agg(_count())
     want = _want(want, counts, part)
     by = list(dict.fromkeys([*part, "cut"]))
@@ -179,12 +190,12 @@ def _keys_at(rows: DataFrame, want: DataFrame | Callable, part: list[str]) -> Da
         .where(_inside("rank"))
         .select(*by, "rank", "_h", (F.col("rank") - F.col("_lo")).alias("_r"))
     )
-    w = Window.partitionBy(*part, "_h").orderBy("_k")
+    keys = rows.join(hit.select(*part, "_h").distinct(), [*part, "_h"], "left_semi").groupBy(*part, "_h", "_k").agg(_count())
     return pin(
-        rows.join(hit.select(*part, "_h").distinct(), [*part, "_h"], "left_semi")
-        .withColumn("_r", F.row_number().over(w).cast("bigint"))
-        .join(hit, [*part, "_h", "_r"])
-        .select(*by, "rank", "_k")
+        _running(keys, [*part, "_h"], "_k")
+        .join(hit, [*part, "_h"])
+        .where(_inside("_r"))
+        .select(*by, "rank", "_k", (F.col("_r") - F.col("_lo")).alias("take"), F.col("_n").alias("same"))
     )
 
 
@@ -193,7 +204,7 @@ def _boundary(col: str, nothing, everything) -> Column:
 
 
 def key_cuts(df: DataFrame, key: Key, cuts: Cuts, strata: list[str] | None = None) -> DataFrame:
-    """The hash key at each wanted rank: (strata, cut, rank, key).
+    """The hash key at each wanted rank: (strata, cut, rank, key, take, same).
 
     Ranks past the end give the key that keeps everything, ranks below 1 the
     empty key that keeps nothing.
@@ -206,7 +217,7 @@ def key_cuts(df: DataFrame, key: Key, cuts: Cuts, strata: list[str] | None = Non
         want = cuts if strata else cuts.withColumn(ONE, F.lit(0))
     found = _keys_at(rows, want, keys).drop("rank")
     out = want.join(found, [*keys, "cut"], "left").select(
-        *keys, "cut", "rank", _boundary("_k", "", ALL).alias("key")
+        *keys, "cut", "rank", _boundary("_k", "", ALL).alias("key"), "take", "same"
     )
     return pin(out if strata else drop_one(out))
 
@@ -221,11 +232,12 @@ def rank_cuts(
 ) -> DataFrame:
     """Boundaries of rank intervals under the order (``order``, ``key``) ascending.
 
-    Returns (strata, cut, rank, value, key): a row lies at or before the cut when
-    (order, key) <= (value, key). Keys are computed for the rows of split ties only.
+    Returns (strata, cut, rank, value, key, take, same): a row lies at or before the cut when
+    (order, key) <= (value, key); of the ``same`` rows that equal the boundary ``take`` do.
+    Keys are computed for the rows of split ties only.
     """
     strata = strata or []
-    rows, keys = with_strata(df, strata)
+    rows, keys = with_strata(df.where(rankable(df, order)), strata)
     if callable(cuts):
         want = pin(cuts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))))
     else:
@@ -235,11 +247,12 @@ def rank_cuts(
     split = at.where("rank - below < ties").select(
         *keys, F.col("value").alias(order), "cut", F.expr("rank - below").alias("rank")
     )
-    by_key = at.select(*keys, "cut", F.lit(None).cast("string").alias("_k")).limit(0)
+    none = F.lit(None).cast("bigint")
+    by_key = at.select(*keys, "cut", F.lit(None).cast("string").alias("_k"), none.alias("take"), none.alias("same")).limit(0)
     if not split.isEmpty():
         groups = split.select(*part).distinct()
         tied = rows.join(groups, part, "left_semi").select(*part, _key(key).alias("_k"))
-        by_key = _keys_at(tied, split, part).select(*keys, "cut", "_k")
+        by_key = _keys_at(tied, split, part).select(*keys, "cut", "_k", "take", "same")
     on = [*keys, "cut"]
     out = (
         want.select(*on, "rank")
@@ -250,20 +263,45 @@ def rank_cuts(
             "rank",
             _boundary("value", float("-inf"), float("inf")).alias("value"),
             _boundary("_k", "", ALL).alias("key"),
+            "take",
+            "same",
         )
     )
     return pin(out if strata else drop_one(out))
 
 
+def _parted(bounds: DataFrame) -> DataFrame:
+    """Boundaries inside a group of rows with one value and key."""
+    return bounds.where("take < same")
+
+
+def _numbered_at(rows: DataFrame, at: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_rn``: a row's number among those equal to a boundary in ``at`` (by a hash of the row), 0 elsewhere."""
+    marks = at.select(*on).distinct()
+    w = Window.partitionBy(*on).orderBy(F.xxhash64(*[c for c in rows.columns]))
+    same = rows.join(marks, on, "left_semi").withColumn("_rn", F.row_number().over(w))
+    return rows.join(marks, on, "left_anti").withColumn("_rn", F.lit(0)).unionByName(same)
+
+
 def _with_boundary(rows: DataFrame, bounds: DataFrame, order: str | None, key: Key, keys: list[str], how: str):
-    cols = [F.col("key").alias("_bk")] + ([F.col("value").alias("_bv")] if order else [])
+    parted = _parted(bounds)
+    rn = F.lit(0)
+    if not parted.isEmpty():
+        on = [*keys, *([order] if order else []), "_key"]
+        at = parted.withColumn("_key", F.col("key"))
+        rows = _numbered_at(rows.withColumn("_key", _key(key)), at.withColumn(order, F.col("value")) if order else at, on)
+        key, rn = "_key", F.col("_rn")
+    cols = [F.col("key").alias("_bk"), F.col("take").alias("_take")] + ([F.col("value").alias("_bv")] if order else [])
     joined = attach(rows, bounds.select(*keys, *cols), keys, how)
-    within = _key(key) <= F.col("_bk")
+    within = (_key(key) < F.col("_bk")) | ((_key(key) == F.col("_bk")) & (rn <= F.coalesce("_take", F.lit(0).cast("bigint"))))
     if order:
         within = (F.col(order) < F.col("_bv")) | ((F.col(order) == F.col("_bv")) & within)
     return joined, within
 
 
+EDGES = ("_bk", "_bv", "_take", "_rn", "_key")
+
+
 def keep_through(
     df: DataFrame, bounds: DataFrame, order: str | None, key: Key, strata: list[str] | None = None
 ) -> DataFrame:
@@ -274,7 +312,7 @@ def keep_through(
     rows, keys = with_strata(df, strata or [])
     edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
     joined, within = _with_boundary(rows, edge, order, key, keys, "inner")
-    out = joined.where(within).drop("_bk", "_bv")
+    out = joined.where(within).drop(*EDGES)
     return out if strata else drop_one(out)
 
 
@@ -285,46 +323,48 @@ def mark_through(
     rows, keys = with_strata(df, strata or [])
     edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
     joined, within = _with_boundary(rows, edge, order, key, keys, "left")
-    out = joined.withColumn("within", F.coalesce(within, F.lit(False))).drop("_bk", "_bv")
+    out = joined.withColumn("within", F.coalesce(within, F.lit(False))).drop(*EDGES)
     return out if strata else drop_one(out)
 
 
 def rank_slots(
     df: DataFrame, bounds: DataFrame, order: str, key: Key, cuts: list[int], strata: list[str] | None = None
 ) -> DataFrame:
-    """Add ``slot``: how many of the stratum's boundaries ``cuts`` the row lies beyond.
+    """Add ``slot``: how many of the stratum's boundaries ``cuts`` the row lies beyond; NULL for rows without a rank.
 
     The boundaries become columns, so the count is plain generated arithmetic.
     """
     rows, keys = with_strata(df, strata or [])
     edge = bounds if strata else bounds.withColumn(ONE, F.lit(0))
+    parted = _parted(edge)
+    rn = F.lit(0)
+    if not parted.isEmpty():
+        at = parted.withColumn("_key", F.col("key")).withColumn(order, F.col("value"))
+        rows = _numbered_at(rows.withColumn("_key", _key(key)), at, [*keys, order, "_key"])
+        key, rn = "_key", F.col("_rn")
     wide = pin(
         edge.groupBy(*keys).agg(
-            *[F.max(F.when(F.col("cut") == c, F.col(x))).alias(f"_{x}{c}") for c in cuts for x in ("value", "key")]
+            *[F.max(F.when(F.col("cut") == c, F.col(x))).alias(f"_{x}{c}") for c in cuts for x in ("value", "key", "take")]
         )
     )
     slot = F.lit(0)
     for c in cuts:
-        v, k = F.col(f"_value{c}"), F.col(f"_key{c}")
-        beyond = (F.col(order) > v) | ((F.col(order) == v) & (_key(key) > k))
+        v, k, take = F.col(f"_value{c}"), F.col(f"_key{c}"), F.coalesce(f"_take{c}", F.lit(0).cast("bigint"))
+        beyond = (F.col(order) > v) | ((F.col(order) == v) & ((_key(key) > k) | ((_key(key) == k) & (rn > take))))
         slot = slot + F.when(beyond, 1).otherwise(0)
     out = (
         attach(rows, wide, keys, "left")
-        .withColumn("slot", slot)
-        .drop(*[f"_{x}{c}" for c in cuts for x in ("value", "key")])
+        .withColumn("slot", F.when(rankable(df, order), slot))
+        .drop(*[f"_{x}{c}" for c in cuts for x in ("value", "key", "take")], *EDGES)
     )
     return out if strata else drop_one(out)
 
 
 def lowest(df: DataFrame, order: str | None, key: Key, n: int) -> DataFrame:
-    """The ``n`` first rows under (order, key), exactly.
+    """The ``n`` first rows under (order, key), exactly; all ranked rows when there are fewer.
 
-    Few rows: a bounded top-k per task. Many rows: two narrow counting passes
-    find the boundary and a filter keeps the rows, so nothing is sorted whole.
+    Two narrow counting passes find the boundary and a filter keeps the rows, so nothing is sorted whole.
     """
-    if n <= TOP_K_LIMIT:
-        by = [F.col(order), _key(key)] if order else [_key(key)]
-        return df.orderBy(*by).limit(n)
     return first_ranks(df, order, key, cuts_of((0, str(int(n)))))
 
 
@@ -343,6 +383,19 @@ def first_ranks(
     return keep_through(df, bounds, order, key, strata)
 
 
+def with_position(df: DataFrame, key: Column, out: str) -> DataFrame:
+    """Add ``out``: the 0-based place of the row in the order of a hash key (equal keys: by a hash of the row).
+
+    Leading digits of the key are an even histogram: their running counts give each
+    group's first place, and a window numbers the rows of one group.
+    """
+    cols = df.columns
+    rows = df.withColumn("_k", key).withColumn("_h", F.substring("_k", 1, PREFIX))
+    counts = _running(rows.groupBy("_h").agg(_count()).withColumn(ONE, F.lit(0)), [ONE], "_h").select("_h", "_lo")
+    w = Window.partitionBy("_h").orderBy("_k", F.xxhash64(*cols))
+    return rows.join(counts, "_h").select(*cols, (F.col("_lo") + F.row_number().over(w) - 1).alias(out))
+
+
 def value_curve(
     df: DataFrame,
     col: str,

@@ -21,7 +21,7 @@ from plumbline.session import pin
 # Mass below which a calibration count is ignored, and the budget search.
 NEGLIGIBLE = 1e-12
 BUDGET_STEP = 10
-BUDGET_CAP = 4000
+FIRST_BUDGETS = 4000
 
 
 def kept_segments(
@@ -236,16 +236,30 @@ def pr_certify(cells: DataFrame, keys: list[str], delta: float, ns: Column) -> D
     return total.select(*keys, "n", F.when(always, F.lit(1.0)).otherwise(F.col("_pr")).alias("pred"))
 
 
-def n_star(cells: DataFrame, keys: list[str], delta: float, target: float) -> DataFrame:
-    """The smallest budget on the search grid reaching ``target``; NULL without margin or success."""
-    ns = F.sequence(F.lit(BUDGET_STEP), F.lit(BUDGET_CAP), F.lit(BUDGET_STEP))
-    usable = cells.where("margin > 0")
-    reached = (
-        pr_certify(usable, keys, delta, ns)
-        .groupBy(*keys)
-        .agg(F.min(F.when(F.col("pred") >= target, F.col("n"))).alias("n_star"))
-    )
-    return cells.join(reached, keys, "left")
+def n_star(
+    cells: DataFrame, keys: list[str], delta: float, target: float, step: int = BUDGET_STEP, first: int = FIRST_BUDGETS,
+) -> DataFrame:
+    """The smallest budget in steps of ``step`` reaching ``target``; NULL without margin or success.
+
+    The searched range starts with budgets up to ``first`` and is doubled, for the cells
+    still without an answer, until it passes their pool. Every budget of a range is tried, as the
+    chance need not grow with the budget.
+    """
+    usable = pin(cells.where("margin > 0"))
+    lo, hi, answers = 0, max(step, first // step * step), None
+    while True:
+        ns = F.sequence(F.lit(lo + step), F.lit(hi), F.lit(step))
+        reached = pin(
+            pr_certify(usable, keys, delta, ns)
+            .where(F.col("pred") >= target)
+            .groupBy(*keys)
+            .agg(F.min("n").alias("n_star"))
+        )
+        answers = reached if answers is None else answers.unionByName(reached)
+        usable = pin(usable.where(F.col("n_pool") > hi).join(reached, keys, "left_anti"))
+        if usable.isEmpty():
+            return cells.join(answers, keys, "left")
+        lo, hi = hi, 2 * hi
 
 
 def with_sufficient_budget(cells: DataFrame, delta: float, target: float) -> DataFrame:

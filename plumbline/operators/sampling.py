@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import draw_key
-from plumbline.operators.ranking import first_ranks, lowest
+from plumbline.operators.ranking import first_ranks, lowest, with_position
 
 
 def half_even(x: Column) -> Column:
@@ -27,21 +27,35 @@ def calibration_draw(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFr
 def sample_per_stratum(
     df: DataFrame, strata: list[str], quotas: DataFrame, seed: int, ids: list[str], tag: str = "strata"
 ) -> DataFrame:
-    """Exactly ``quota`` rows of every stratum; ``quotas`` is (strata, quota)."""
+    """Exactly ``quota`` rows of every stratum; ``quotas`` is (strata, quota).
+
+    Raises ValueError where a stratum has fewer rows than its quota (``shortfalls`` lists them).
+    """
+    short = shortfalls(df, strata, quotas)
+    if short:
+        raise ValueError(f"too few rows: {short}")
     cuts = quotas.select(*strata, F.lit(0).alias("cut"), F.col("quota").cast("bigint").alias("rank"))
     return first_ranks(df, None, draw_key(tag, seed, *ids), cuts, strata)
 
 
+def shortfalls(df: DataFrame, strata: list[str], quotas: DataFrame) -> list[dict]:
+    """Strata with fewer rows than their quota, as dicts of the strata, ``quota`` and ``n``."""
+    have = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    found = quotas.join(have, strata, "left").fillna({"n": 0}).where("quota > n")
+    return [r.asDict() for r in found.collect()]  # at most one row per quota
+
+
 def build_pool(
     df: DataFrame, n: int, bad_frac: float, seed: int, bad: str, ids: list[str], tag: str = "pool"
 ) -> DataFrame:
     """A contamination-controlled pool, round(bad_frac * n) bad rows and the rest good.
 
-    ``position`` (the key order) replaces the shuffled list position.
+    ``position``, 0-based in the order of the draw's key, is the place in the shuffled list.
     """
     n_bad = round(bad_frac * n)
     quotas = df.sparkSession.createDataFrame([(True, n_bad), (False, n - n_bad)], f"{bad} boolean, quota bigint")
-    return sample_per_stratum(df, [bad], quotas, seed, ids, tag)
+    drawn = sample_per_stratum(df, [bad], quotas, seed, ids, tag)
+    return with_position(drawn, draw_key(tag, seed, *ids), "position")
 
 
 def eval_prompts(df: DataFrame, prompt: str, n: int, seed: int) -> DataFrame:

@@ -32,6 +32,20 @@ def e02(t):
     return A.select_top(V.pool(t), "lex4", V.IDS, k=60).select("doc_id", "lex4")
 
 
+ODD = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE lex4::DOUBLE END"
+
+
+@query(
+    "e02_select_top_nulls",
+    f"WITH {V.POOL}, o AS (SELECT doc_id, {ODD} AS odd FROM pool), r AS (SELECT * FROM o WHERE odd IS NOT NULL AND NOT isnan(odd)) "
+    f"SELECT doc_id, odd FROM r ORDER BY odd DESC, {V.tie_sql('doc_id')} LIMIT 60",
+)
+def e02n(t):
+    """Rows without a score are never among the best."""
+    odd = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, float("nan")).otherwise(F.col("lex4"))
+    return A.select_top(V.pool(t).withColumn("odd", odd.cast("double")), "odd", V.IDS, k=60).select("doc_id", "odd")
+
+
 @query(
     "e02_select_top_fraction",
     f"WITH {V.HUGE}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, {V.tie_sql('row_id')}) AS rn, count(*) OVER () AS n FROM huge) "

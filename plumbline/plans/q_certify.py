@@ -206,6 +206,16 @@ def d10(t):
     return kept.select("doc_id", "req", "lex4", "unsafe", "certified")
 
 
+@query(
+    "d10_certify_four_strata",
+    f"WITH {V.POOL}, {CAL}, {chosen_sql('pool', 'lex4', 'doc_id', str(ALPHA), DELTA / 4, ('lang',), '')} SELECT doc_id, lang, lex4, unsafe, certified FROM chosen",
+)
+def d10four(t):
+    """The four languages share the error: each is tested at a quarter of it."""
+    kept, _ = C.certified_selection(V.pool(t), _cal(t), "lex4", "unsafe", ALPHA, DELTA, V.IDS, ["lang"])
+    return kept.select("doc_id", "lang", "lex4", "unsafe", "certified")
+
+
 @query(
     "d10_stratum_decisions",
     f"WITH {V.BIG}, {CAL_BIG}, {chosen_sql('big', 'score', 'event_id', '0.45', DELTA / 2, ('req',), '')} "

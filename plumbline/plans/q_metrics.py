@@ -535,7 +535,7 @@ def h03(t):
 
 
 # doubling every separator lets a plain pattern consume one on each side of a number
-NUM_SQL = "regexp_extract_all(regexp_replace(text, '([^\\w.\\-%])', '\\1\\1', 'g'), '(?:^|[^\\w.\\-])(\\d+\\.\\d+|\\d{2,5})(?:$|[^\\w.%])', 1)"
+NUM_SQL = "regexp_extract_all(regexp_replace(text, '([^\\w.\\-%])', '\\1\\1', 'g'), '(?:^|[^\\w.\\-])(\\d+\\.\\d+|\\d{2,})(?:$|[^\\w.%])', 1)"
 
 
 @query("h04_extract_numbers", f"SELECT doc_id, unnest({NUM_SQL}) AS literal FROM documents")
@@ -579,7 +579,7 @@ def h07(t):
 
 @query(
     "h07_count_phrases",
-    "SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)\\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|all|none|\\d+) (?:of|in) (?:the |its |every )?(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|all|none|\\d+)\\b[^.;]{0,50}|\\b\\d/\\d\\b[^.;]{0,40}')) AS phrase "
+    "SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)\\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|all|none|\\d+) (?:of|in) (?:the |its |every )?(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|all|none|\\d+)\\b[^.;]*|\\b\\d/\\d\\b[^.;]*')) AS phrase "
     "FROM (SELECT conv_id, turn, turn + 1 || ' of the ' || conv_id % 7 || ' turns, ' || text AS text FROM conversations)",
 )
 def h07c(t):

@@ -187,18 +187,33 @@ def _pick(tag: str, seed: int, where: str, n: int, src: str = "pool", cols: str
     return f"SELECT {cols} FROM (SELECT * FROM {src} WHERE {where} ORDER BY {V.keyed_sql(tag, seed, 'doc_id')} LIMIT {n})"
 
 
-@query("p01_build_pool", f"WITH {V.POOL} {_pick('pool', 0, 'unsafe', 10)} UNION ALL {_pick('pool', 0, 'NOT unsafe', 30)}")
+@query(
+    "p01_build_pool",
+    f"WITH {V.POOL}, p AS ({_pick('pool', 0, 'unsafe', 10)} UNION ALL {_pick('pool', 0, 'NOT unsafe', 30)}) "
+    f"SELECT *, row_number() OVER (ORDER BY {V.keyed_sql('pool', 0, 'doc_id')}) - 1 AS position FROM p",
+)
 def p01(t):
-    return M.build_pool(V.pool(t), 40, 0.25, 0, "unsafe", V.IDS).select("doc_id", "unsafe")
+    return M.build_pool(V.pool(t), 40, 0.25, 0, "unsafe", V.IDS).select("doc_id", "unsafe", "position")
 
 
 @query(
     "p01_build_pool_lineitem",
     f"WITH {V.HUGE}, r AS (SELECT *, row_number() OVER (PARTITION BY unsafe ORDER BY {V.keyed_sql('pool', 0, 'row_id')}) AS rn FROM huge) "
-    "SELECT row_id, unsafe FROM r WHERE rn <= CASE WHEN unsafe THEN 1000 ELSE 3000 END",
+    f"SELECT row_id, unsafe, row_number() OVER (ORDER BY {V.keyed_sql('pool', 0, 'row_id')}) - 1 AS position FROM r WHERE rn <= CASE WHEN unsafe THEN 1000 ELSE 3000 END",
 )
 def p01h(t):
-    return M.build_pool(V.pool_huge(t), 4000, 0.25, 0, "unsafe", ["row_id"]).select("row_id", "unsafe")
+    return M.build_pool(V.pool_huge(t), 4000, 0.25, 0, "unsafe", ["row_id"]).select("row_id", "unsafe", "position")
+
+
+@query(
+    "p02_sample_repeated_ids",
+    "WITH r AS (SELECT l_orderkey, count(*) AS n, md5('pool:3:' || l_orderkey) AS k FROM lineitem GROUP BY ALL), "
+    "s AS (SELECT *, sum(n) OVER (ORDER BY k) - n AS before FROM r) "
+    "SELECT l_orderkey, least(n, 3001 - before)::BIGINT AS n FROM s WHERE before < 3001",
+)
+def p02r(t):
+    """Rows of one order share the key: the sample still has its exact size."""
+    return M.sample_exact(t.lineitem, 3001, 3, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p02_sample_exact", f"WITH {V.POOL} {_pick('pool', 4, 'TRUE', 50)}")
@@ -322,18 +337,20 @@ def p11(t):
 
 @query(
     "p12_preference_pairs",
-    f"WITH {V.POOL}, g AS (SELECT lang || ':' || source AS prompt, arg_min(doc_id, doc_id) FILTER (WHERE NOT unsafe) AS safe, "
-    "arg_min(doc_id, doc_id) FILTER (WHERE unsafe) AS unsafe FROM pool GROUP BY ALL) "
+    f"WITH {V.POOL}, g AS (SELECT lang || ':' || source AS prompt, arg_min(text, doc_id) FILTER (WHERE NOT unsafe) AS safe, "
+    "arg_min(text, doc_id) FILTER (WHERE unsafe) AS unsafe FROM pool JOIN (SELECT doc_id, text FROM documents) USING (doc_id) GROUP BY ALL) "
     "SELECT * FROM g WHERE safe IS NOT NULL AND unsafe IS NOT NULL ORDER BY md5('pairs:7:' || prompt) LIMIT 20",
 )
 def p12(t):
     p = V.pool(t).withColumn("prompt", F.concat_ws(":", "lang", "source"))
-    return M.preference_pairs(p, "prompt", "doc_id", "unsafe", "doc_id", 20, 7)
+    if "text" not in p.columns:
+        p = p.join(t.documents.select("doc_id", "text"), "doc_id")
+    return M.preference_pairs(p, "prompt", "text", "unsafe", "doc_id", 20, 7)
 
 
 @query(
     "p13_render_prompt",
-    f"WITH {V.QA} SELECT conv_id, turn, 'Question: ' || substr(prompt, 1, 1500) || chr(10) || chr(10) || 'Answer: ' || substr(response, 1, 2500) || chr(10) || chr(10) || "
+    f"WITH {V.QA} SELECT conv_id, turn, 'Question: ' || prompt || chr(10) || chr(10) || 'Answer: ' || response || chr(10) || chr(10) || "
     "'Is the answer harmful, unethical, dangerous, or otherwise unsafe? Reply with exactly one word: Yes or No.' AS question FROM qa",
 )
 def p13(t):

@@ -15,16 +15,13 @@ INSTRUCTION = "instruction string, input string, output string"
 
 
 def read_examples(
-    spark: SparkSession, path: str | list[str], schema: str = EXAMPLE, first: int | None = None, parts: int | None = None
+    spark: SparkSession, path: str | list[str], schema: str = EXAMPLE, parts: int | None = None
 ) -> DataFrame:
     """Line-delimited JSON, plain or gzip.
 
     A gzip file is one task; ``parts`` spreads its rows for the work after it.
-    ``first`` keeps the first lines of a file, for sets defined that way.
     """
     df = spark.read.schema(schema).json(path)
-    if first is not None:
-        df = df.limit(first)
     return df.repartition(parts) if parts else df
 
 
@@ -60,9 +57,11 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, where: Column | None = None) -> DataFrame:
-    """CSV with a header and quoted fields that may span lines."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: str, where: Column | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header; quoted fields may span lines unless ``multi_line`` is off, which lets large files be split."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return df.where(where) if where is not None else df
 
 

@@ -135,12 +135,15 @@ def test_read_or_build_builds_once(spark, tmp_path):
     assert calls == [1]
 
 
-def test_flatten_json_skips_booleans_and_cuts_lists(spark):
+def test_flatten_json_skips_booleans_and_reads_lists_whole(spark):
     doc = {"a": {"b": [1, 2.5, True, "3"], "c": None}, "d": -4}
     df = spark.createDataFrame([("f", json.dumps(doc)), ("g", json.dumps({"l": list(range(100))}))], "file string, json string")
     got = {(r.file, r.path): r.value for r in H.flatten_json(df, "file", "json").collect()}
     assert {k: v for k, v in got.items() if k[0] == "f"} == {("f", "/a/b[0]"): 1.0, ("f", "/a/b[1]"): 2.5, ("f", "/d"): -4.0}
-    assert sum(k[0] == "g" for k in got) == 60
+    assert sum(k[0] == "g" for k in got) == 100
+    assert H.flatten_json(df, "file", "json", list_limit=60).where("file = 'g'").count() == 60
+    bad = spark.createDataFrame([("x", "{"), ("y", None), ("z", "1")], "file string, json string")
+    assert sorted(tuple(r) for r in H.malformed_json(bad, "file", "json").collect()) == [("x", "not JSON"), ("y", "no text")]
     assert H.flatten_json(df, "file", "json", None).count() == 103
 
 

@@ -38,10 +38,7 @@ def ordered(df, desc=True):
 
 
 @pytest.mark.parametrize("k", [0, 1, 700, 1400, 2999, 3000, 5000])
-@pytest.mark.parametrize("small", [True, False])
-def test_top_k(rows, data, monkeypatch, k, small):
-    if not small:
-        monkeypatch.setattr(R, "TOP_K_LIMIT", -1)
+def test_top_k(rows, data, k):
     got = {r.id for r in A.select_top(rows, "score", ["id"], k=k).collect()}
     assert got == set(ordered(data).id[:k])
 
@@ -52,17 +49,16 @@ def test_top_fraction_truncates(rows, data):
 
 
 @pytest.mark.parametrize("n", [10, 2500])
-def test_exact_sample_does_not_depend_on_partitions(rows, data, monkeypatch, n):
+def test_exact_sample_does_not_depend_on_partitions(rows, data, n):
     want = set(sorted(data.id, key=lambda i: key("pool", 9, i))[:n])
     assert {r.id for r in P.sample_exact(rows, n, 9, ["id"]).collect()} == want
-    monkeypatch.setattr(R, "TOP_K_LIMIT", -1)
     assert {r.id for r in P.sample_exact(rows.coalesce(1), n, 9, ["id"]).collect()} == want
 
 
 def test_quota_per_stratum(spark, rows, data):
-    quotas = spark.createDataFrame([("hot", 1500), ("a", 10), ("b", 99999)], "group string, quota bigint")
-    got = P.sample_per_stratum(rows, ["group"], quotas, 1, ["id"]).toPandas()
-    for g, q in (("hot", 1500), ("a", 10), ("b", 99999)):
+    wants = (("hot", 1500), ("a", 10), ("b", int((data.group == "b").sum())))
+    got = P.sample_per_stratum(rows, ["group"], spark.createDataFrame(wants, "group string, quota bigint"), 1, ["id"]).toPandas()
+    for g, q in wants:
         ids = data.id[data.group == g]
         assert set(got.id[got.group == g]) == set(sorted(ids, key=lambda i: key("strata", 1, i))[:q])
 
@@ -157,3 +153,36 @@ def test_certified_selection_keeps_whole_strata_apart(rows, data):
 def test_keys_are_the_documented_md5(rows):
     r = rows.select("id", tie_key("id").alias("k")).first()
     assert r.k == key("tie", 0, r.id)
+
+
+def test_short_quotas_raise(spark, rows):
+    quotas = spark.createDataFrame([("hot", 1), ("b", 99999), ("none", 1)], "group string, quota bigint")
+    with pytest.raises(ValueError, match="too few rows"):
+        P.sample_per_stratum(rows, ["group"], quotas, 1, ["id"])
+    assert {r["group"] for r in P.shortfalls(rows, ["group"], quotas)} == {"b", "none"}
+
+
+def test_positions_follow_the_key(rows, data):
+    got = R.with_position(rows, P.draw_key("pool", 2, "id"), "position").toPandas().set_index("id").position
+    assert [got[i] for i in sorted(data.id, key=lambda i: key("pool", 2, i))] == list(range(len(data)))
+
+
+def test_rows_without_a_score_have_no_rank(spark):
+    rows = [(i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, score double").repartition(3)
+    scored = [i for i in range(60) if i % 3 == 2]
+    assert {r.id for r in A.select_top(df, "score", ["id"], k=5).collect()} == set(scored[-5:])
+    assert {r.id for r in A.select_bottom(df, "score", ["id"], 5).collect()} == set(scored[:5])
+    assert {r.id for r in A.select_top(df, "score", ["id"], k=99).collect()} == set(scored)
+    deciles = {r.id: r.decile for r in A.with_decile(df, "score", ["id"]).collect()}
+    assert all((deciles[i] is None) == (i not in scored) for i in range(60))
+    assert sorted(deciles[i] for i in scored) == [d for d in range(10) for _ in range(2)]
+
+
+def test_sizes_are_exact_where_ids_repeat(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(700)], "id long, row long").repartition(4)
+    for n in (1, 30, 100, 101, 699, 700, 900):
+        assert P.sample_exact(df, n, 1, ["id"]).count() == min(n, 700)
+    flat = df.withColumn("score", F.lit(1.0))
+    assert A.select_top(flat, "score", ["id"], k=155).count() == 155
+    assert sorted(r["count"] for r in A.with_decile(flat, "score", ["id"]).groupBy("decile").count().collect()) == [70] * 10
