@@ -52,7 +52,7 @@ def repeat_words(words: Column) -> Column:
     )
 
     def covered(h: Column) -> Column:
-        by_hash = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def repeated(s: Column) -> Column:
             return F.filter(
@@ -60,7 +60,7 @@ def repeat_words(words: Column) -> Column:
                 lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)),
             )
 
-        at = F.array_sort(F.transform(bind(by_hash, repeated), lambda x: x["i"]))
+        at = F.sort_array(F.transform(bind(by_hash, repeated), lambda x: x["i"]))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(
             at, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]
