@@ -13,12 +13,13 @@ columns.
    once, packed by range; rows that meet within a task meet there already, and one of
    them goes on, so a block that very many rows share stays small. Of the rows that meet,
    one is the hub of the others: as many pairs as rows.
-3. Hub rows are multiplied with the rows they met: overlaps are summed over slices of columns,
-   and pairs that can no longer reach their bound are dropped. Links give components.
-4. Rows that met, directly or by way of others, are a cluster. Only where a cluster
-   has several components, all its rows are multiplied with each other, in tasks of two
-   row blocks, and only links come back. So a group of near copies that link costs one
-   pass over its rows, however large it is.
+3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster up
+   to a block's size are multiplied with each other in one task: overlaps are summed over
+   slices of columns, pairs that can no longer reach their bound are dropped, and blocks
+   of rows that are linked already are skipped.
+4. In a larger cluster hub rows are first multiplied with the rows they met, which links
+   most groups of near copies in one pass over their rows, however large they are. Where several
+   components are left, the rows are multiplied in tasks of two row blocks, and only links come back.
 
 Hubs with many rows and large clusters are dealt over several tasks.
 """
@@ -297,7 +298,7 @@ def _star_links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                 for _, j in linked([head], [row for _, row in rest[k : k + ROWS]], least):
                     yield hub, rest[k + j][0]
 
-    routed = spread.unionByName(heads).join(rows, "_id")
+    routed = spread.unionByName(heads).join(rows.hint("merge"), "_id")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = routed.select("hub", "part", F.lit(0).alias("z"), "_id", "row").repartition(n, "hub", "part").sortWithinPartitions("hub", "part")
     return placed.mapInArrow(lambda batches: _batches(links(batches), schema), "u long, v long")
@@ -338,7 +339,8 @@ def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFram
                             yield u, v
 
     n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = dealt.join(rows, "_id").select("root", "i", "j", "own", "_id", "label", "row")
+    # neither side is bounded, so neither is broadcast
+    placed = dealt.join(rows.hint("merge"), "_id").select("root", "i", "j", "own", "_id", "label", "row")
     placed = placed.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return placed.mapInArrow(lambda batches: _batches(links(batches), schema), "u long, v long")
 
@@ -372,16 +374,23 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
         met = met.join(own.select(F.col("_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
     pairs = met.select(F.least("hub_rep", "_id_rep").alias("hub"), F.greatest("hub_rep", "_id_rep").alias("_id"))
     pairs = settle(pairs.filter("hub < _id").distinct())
-    wanted = pairs.select("_id").unionByName(pairs.select(F.col("hub").alias("_id"))).distinct()
-    rows = settle(_wanted_rows(base, wanted, width))
-    first = components(settle(_star_links(pairs, rows, least)))
-
-    cluster = components(pairs.select(F.col("hub").alias("u"), F.col("_id").alias("v"))).withColumnRenamed("node", "_id")
-    labels = first.select(F.col("node").alias("_id"), F.col("root").alias("label"))
-    marked = settle(cluster.join(labels, "_id", "left").select("root", "_id", F.coalesce("label", "_id").alias("label")))
-    still = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
-    more = settle(_cluster_links(marked.join(still, "root", "left_semi"), rows, least))
-    final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    cluster = components(pairs.select(F.col("hub").alias("u"), F.col("_id").alias("v")))
+    sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
+    sized = settle(cluster.join(sizes, "root").select("root", F.col("node").alias("_id"), "rows"))
+    alone = F.col("_id").alias("label")
+    # clusters that are one block: all their rows meet in one task
+    small = sized.filter(F.col("rows") <= BLOCK_ROWS).select("root", "_id", alone)
+    links = settle(_cluster_links(small, _wanted_rows(base, small.select("_id"), width), least))
+    large = sized.filter(F.col("rows") > BLOCK_ROWS).select("root", "_id")
+    if not large.isEmpty():
+        rows = settle(_wanted_rows(base, large.select("_id"), width))
+        star = settle(_star_links(pairs.join(large.select("_id"), "_id", "left_semi"), rows, least))
+        labels = components(star).select(F.col("node").alias("_id"), F.col("root").alias("label"))
+        marked = settle(large.join(labels, "_id", "left").select("root", "_id", F.coalesce("label", "_id").alias("label")))
+        apart = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
+        more = settle(_cluster_links(marked.join(apart, "root", "left_semi"), rows, least))
+        links = links.unionByName(star).unionByName(more)
+    final = components(links)
 
     answer = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "node", "rep", "size", F.coalesce("root", "rep").alias("root")
