@@ -216,6 +216,26 @@ def d10four(t):
     return kept.select("doc_id", "lang", "lex4", "unsafe", "certified")
 
 
+@query(
+    "k01_selection_meta",
+    f"WITH {V.BIG}, {CAL_BIG}, {chosen_sql('big', 'score', 'event_id', '0.45', DELTA / 2, ('req',), '')} "
+    "SELECT 'certified' AS arm, 0 AS seed, req, certified, n_pool, q100, tau, n_sel, n_cal, n_good, lower_bound, keep, 0.45::DOUBLE AS alpha FROM decided",
+    "lower_bound",
+)
+def k01m(t):
+    """Decisions are stored with the selection and read back."""
+    from plumbline.plans.q_pool import _export
+    from plumbline.sources import sinks as W
+
+    run = {"arm": F.lit("certified"), "seed": F.lit(0)}
+
+    def write(path):
+        kept, decisions = C.certified_selection(V.pool_big(t), _cal_big(t), "score", "unsafe", 0.45, DELTA, ["event_id"], ["req"])
+        W.write_selection(kept.withColumns(run).select("arm", "seed", "event_id"), path, decisions.withColumns(run))
+
+    return W.read_decisions(t.spark, _export(t, "selection_meta", write))
+
+
 @query(
     "d10_stratum_decisions",
     f"WITH {V.BIG}, {CAL_BIG}, {chosen_sql('big', 'score', 'event_id', '0.45', DELTA / 2, ('req',), '')} "

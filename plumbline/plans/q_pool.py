@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
@@ -21,7 +23,7 @@ def _export(t: Tables, name: str, write) -> str:
     """A file set derived from the tables, written once per application."""
     from plumbline.session import shared_dir
 
-    path = f"{shared_dir(t.spark)}/plumbline/{t.spark.sparkContext.applicationId}/{abs(hash(t.path))}-{name}"
+    path = f"{shared_dir(t.spark)}/plumbline/{t.spark.sparkContext.applicationId}/{hashlib.md5(t.path.encode()).hexdigest()[:12]}-{name}"
     if not W.table_exists(t.spark, path):
         write(path)
     return path

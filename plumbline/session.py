@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def local_session(app: str = "plumbline", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -52,11 +55,41 @@ def settle(df: DataFrame) -> DataFrame:
     filters into parquet, and a lost executor never forces the scan again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
+    path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
     return spark.read.parquet(path)
 
 
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}/stored"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Frames that read them must be done."""
+    remove(spark, _stored_dir(spark))
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A scope whose stored tables are deleted at its end; write or collect results inside it."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 PIN_ROWS = 100_000
 
 

@@ -11,19 +11,36 @@ from pyspark.sql import functions as F
 SYSTEM_PROMPT = "You are a helpful assistant."
 
 
-def write_selection(selection: DataFrame, path: str) -> None:
-    """K1: selections (arm, seed, ids...) as a table partitioned by arm and seed.
-
-    Rewriting some (arm, seed) pairs leaves the others as they are.
-    """
+def _write_by_run(df: DataFrame, path: str) -> None:
     (
-        selection.write.partitionBy("arm", "seed")
+        df.repartition("arm", "seed").write.partitionBy("arm", "seed")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
 
 
+def write_selection(selection: DataFrame, path: str, decisions: DataFrame | None = None) -> None:
+    """K1: selections (arm, seed, ids...) as a table partitioned by arm and seed.
+
+    Rewriting some (arm, seed) pairs leaves the others as they are. ``decisions``
+    (arm, seed, and whatever a certificate says: certified, tau, n_sel, alpha, bound, one row per
+    stratum) are kept beside the rows and come back by ``read_decisions``.
+    """
+    selection.write.partitionBy("arm", "seed").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if decisions is not None:
+        _write_by_run(decisions, _decisions_path(path))
+
+
+def _decisions_path(path: str) -> str:
+    return path.rstrip("/") + ".decisions"
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """K1: the decisions stored with the selections at ``path``."""
+    return spark.read.parquet(_decisions_path(path))
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], keep_existing: bool = False) -> DataFrame:
     """K2: replace the rows whose key occurs in ``new``, or add only unseen keys."""
     if keep_existing:

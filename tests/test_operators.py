@@ -15,7 +15,7 @@ from plumbline.operators import scoring as S
 from plumbline.operators import spectral as X
 from plumbline.sources import readers as R
 from plumbline.sources import sinks as W
-from plumbline.streaming import keep_above
+from plumbline.streaming import frozen_filter, keep_above
 
 
 def dp_lcs(a, b):
@@ -178,3 +178,25 @@ def test_frozen_cutoff_reaches_the_scan(spark, tmp_path):
     spark.range(10).select("id", F.col("id").cast("double").alias("score")).write.parquet(str(tmp_path / "p"))
     plan = keep_above(spark.read.parquet(str(tmp_path / "p")), "score", 4.0)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(score,4.0)" in plan
+
+
+def test_stored_decisions_become_a_filter(spark, tmp_path):
+    rows = spark.createDataFrame([("x", 0, 1), ("x", 0, 2)], "arm string, seed int, id bigint")
+    made = [("x", 0, "a", True, 2.0), ("x", 0, "b", False, None)]
+    path = str(tmp_path / "sel")
+    W.write_selection(rows, path, spark.createDataFrame(made, "arm string, seed int, g string, certified boolean, tau double"))
+    assert spark.read.parquet(path).count() == 2
+    new = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 9.0)], "g string, score double")
+    got = frozen_filter(new, "score", W.read_decisions(spark, path), "g").collect()
+    assert [tuple(r) for r in got] == [("a", 3.0)]
+
+
+def test_intermediates_leave_nothing(spark):
+    import os
+    from plumbline.session import intermediates, settle
+
+    with intermediates(spark):
+        kept = settle(spark.range(5))
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert kept.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
