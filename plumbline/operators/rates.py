@@ -46,8 +46,8 @@ def kept_segments(
     return pin(out.withColumn("lo", F.col("n_sel") - F.col("seg")))
 
 
-def draw_positions(n_pool: Column, n: Column, draw: Column) -> Column:
-    """``n`` distinct uniform positions in [0, n_pool) by Floyd's method.
+def draw_positions(n_pool: Column, n: Column, draw: Column, size: Column | None = None) -> Column:
+    """``size`` (``n`` unless given) distinct uniform positions in [0, n_pool) by Floyd's method.
 
     Position j of the loop takes a hashed number in [0, j], or j itself when
     that number is taken, which gives every n-subset the same chance. The cost
@@ -59,7 +59,7 @@ def draw_positions(n_pool: Column, n: Column, draw: Column) -> Column:
         return F.concat(chosen, F.array(F.when(F.array_contains(chosen, pick), j).otherwise(pick)))
 
     empty = F.lit([]).cast("array<bigint>")
-    return F.aggregate(F.sequence(n_pool - n, n_pool - 1), empty, add)
+    return F.aggregate(F.sequence(n_pool - (n if size is None else size), n_pool - 1), empty, add)
 
 
 def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws: int) -> DataFrame:
@@ -68,7 +68,7 @@ def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws:
     A draw only matters through how many of its rows, and of its bad rows, each
     kept set holds. So positions are drawn against the counted segments instead
     of the pool: exactly the same distribution, and the pool is never
-    multiplied by the number of draws. Sizes above the pool are left out.
+    multiplied by the number of draws. A size above the pool draws the whole pool.
     """
     spark = segments.sparkSession
     pools = segments.select(*keys, "n_pool").distinct()
@@ -76,12 +76,12 @@ def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws:
         *keys,
         "n_pool",
         F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in ns])).alias("n"),
-    ).where("n <= n_pool")
+    )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         jobs.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
         .repartition(parts, *keys, "n", "draw")
-        .withColumn("_at", draw_positions(F.col("n_pool"), F.col("n"), F.col("draw")))
+        .withColumn("_at", draw_positions(F.col("n_pool"), F.col("n"), F.col("draw"), F.least("n", "n_pool")))
         .drop("n_pool")
     )
 
@@ -210,20 +210,21 @@ def pr_certify(cells: DataFrame, keys: list[str], delta: float, ns: Column) -> D
     ``cells``: one row per ``keys`` with n_pool, n1, k1, alpha; ``ns`` an array
     column of budgets. Sum over the calibration count m of its chance times the
     chance to reject given m; counts of negligible mass are skipped. A target no
-    set of this size can exceed certifies always.
+    set of this size can exceed certifies always. A budget above the pool labels the whole pool.
     """
-    cells = pin(cells.withColumn("_ns", F.filter(ns.cast("array<bigint>"), lambda n: n <= F.col("n_pool"))))
-    cells = cells.withColumn("_top", F.array_max("_ns"))
+    cells = pin(cells.withColumn("_ns", ns.cast("array<bigint>")))
+    cells = cells.withColumn("_top", F.least(F.array_max("_ns"), F.col("n_pool")))
     power = _power_by_count(cells, keys, delta, F.col("_top"))
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # m concentrates around n * n1 / n_pool: outside +-(8 sd + 8) its mass is negligible
     share = F.col("n1") / F.col("n_pool")
-    spread = 8 * F.sqrt(F.col("n") * share * (1 - share)) + 8
-    lo = F.greatest(F.lit(0.0), F.floor(F.col("n") * share - spread)).cast("bigint")
-    hi = F.least(F.ceil(F.col("n") * share + spread).cast("bigint"), F.col("n"), F.col("n1"))
-    mass = hypergeom_pmf("m", "n_pool", "n1", "n")
+    spread = 8 * F.sqrt(F.col("_n") * share * (1 - share)) + 8
+    lo = F.greatest(F.lit(0.0), F.floor(F.col("_n") * share - spread)).cast("bigint")
+    hi = F.least(F.ceil(F.col("_n") * share + spread).cast("bigint"), F.col("_n"), F.col("n1"))
+    mass = hypergeom_pmf("m", "n_pool", "n1", "_n")
     grid = (
         cells.select(*keys, "n_pool", "n1", "alpha", F.explode("_ns").alias("n"))
+        .withColumn("_n", F.least("n", "n_pool"))
         .repartition(parts, *keys, "n")
         .select("*", F.explode(F.sequence(lo, hi)).alias("m"))
         .withColumn("_mass", mass)
@@ -248,7 +249,7 @@ def n_star(
     usable = pin(cells.where("margin > 0"))
     lo, hi, answers = 0, max(step, first // step * step), None
     while True:
-        ns = F.sequence(F.lit(lo + step), F.lit(hi), F.lit(step))
+        ns = F.filter(F.sequence(F.lit(lo + step), F.lit(hi), F.lit(step)), lambda n: n <= F.col("n_pool"))
         reached = pin(
             pr_certify(usable, keys, delta, ns)
             .where(F.col("pred") >= target)

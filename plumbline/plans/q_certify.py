@@ -299,8 +299,8 @@ BASE = f"{V.POOL}, {V.BIG}, {SCORED}, {SEGMENTS}"
 
 def draws_sql(ns=NS, draws=DRAWS) -> str:
     pick = "(('0x' || substr(md5('mc:' || draw || ':' || n || ':' || j), 1, 15))::BIGINT % (j + 1))"
-    return f"""jobs AS (SELECT DISTINCT pool, scorer, n_pool, n, draw FROM segs, unnest({list(ns)}) a(n), range(0, {draws}) b(draw) WHERE n <= n_pool),
-drawn AS (SELECT *, list_reduce(range(n_pool - n, n_pool), lambda c, j: list_append(c, CASE WHEN list_contains(c, {pick}) THEN j ELSE {pick} END), []::BIGINT[]) AS at FROM jobs),
+    return f"""jobs AS (SELECT DISTINCT pool, scorer, n_pool, n, draw FROM segs, unnest({list(ns)}) a(n), range(0, {draws}) b(draw)),
+drawn AS (SELECT *, list_reduce(range(n_pool - least(n, n_pool), n_pool), lambda c, j: list_append(c, CASE WHEN list_contains(c, {pick}) THEN j ELSE {pick} END), []::BIGINT[]) AS at FROM jobs),
 hits AS (SELECT s.pool, s.scorer, d.n, d.draw, s.q100, s.n_pool, s.n_sel, s.k_sel,
  len(list_filter(d.at, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel)) AS m0,
  len(list_filter(d.at, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel - s.seg + s.seg_bad)) AS k0,
@@ -372,11 +372,11 @@ power AS (SELECT pool, scorer, alpha, m, sum(CASE WHEN rej AND k >= greatest(0,
  FROM (SELECT *, (ks > n1) OR {V.cdf_sql('k', 'n1', 'ks', 'm')} <= {DELTA} AS rej FROM krows) GROUP BY ALL)"""
 
 
-def pred_sql(ns: str, top: str, where: str = "") -> str:
-    mass = f"exp({V.lnc('n1', 'm')} + {V.lnc('n_pool - n1', 'n - m')} - {V.lnc('n_pool', 'n')})"
+def pred_sql(ns: str, top: str, where: str = "", within: str = "TRUE") -> str:
+    mass = f"exp({V.lnc('n1', 'm')} + {V.lnc('n_pool - n1', 'ne - m')} - {V.lnc('n_pool', 'ne')})"
     return f"""{power_sql(top)},
-mass AS (SELECT *, {mass} AS pm FROM (SELECT *, unnest(range(greatest(0, n - (n_pool - n1)), least(n, n1) + 1)) AS m
- FROM (SELECT *, unnest({ns}) AS n FROM cells {where}) WHERE n <= n_pool)),
+mass AS (SELECT *, {mass} AS pm FROM (SELECT *, unnest(range(greatest(0, ne - (n_pool - n1)), least(ne, n1) + 1)) AS m
+ FROM (SELECT *, least(n, n_pool) AS ne FROM (SELECT *, unnest({ns}) AS n FROM cells {where}) WHERE {within}))),
 pred AS (SELECT pool, scorer, alpha, n, CASE WHEN max(trunc(alpha * n1)::BIGINT + 1) > max(n1) THEN 1.0 ELSE sum(pm * power) END AS pred
  FROM mass JOIN power USING (pool, scorer, alpha, m) WHERE pm >= 1e-12 GROUP BY pool, scorer, alpha, n)"""
 
@@ -424,7 +424,7 @@ TARGET = 0.5
 
 @query(
     "d16_n_star",
-    f"WITH {BASE}, {CELLS}, {pred_sql('range(10, 4001, 10)', '4000', 'WHERE margin > 0')} "
+    f"WITH {BASE}, {CELLS}, {pred_sql('range(10, 4001, 10)', '4000', 'WHERE margin > 0', 'n <= n_pool')} "
     "SELECT c.*, s.n_star FROM cells c LEFT JOIN (SELECT pool, scorer, alpha, min(CASE WHEN pred >= 0.5 THEN n END)::BIGINT AS n_star FROM pred GROUP BY ALL) s USING (pool, scorer, alpha)",
     "u1 margin",
 )
