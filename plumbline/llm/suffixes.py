@@ -244,8 +244,12 @@ LO, WINDOWS, ANCHOR = "shiftright(place, 16)", "(shiftright(place, 8) & 255)", "
 
 
 def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(a, d, place, _id, _key) of every context of ``texts`` (_id, _key, text)."""
-    names = ["a", "d", "place", "_id", "_key"]
+    """(a, d, place, _id, _key, times) of every context of ``texts`` (_id, _key, text).
+
+    Of contexts that are alike within a chunk the first has ``times`` 2 and stands for the
+    others, which have 0: they are known to repeat and need not meet anything.
+    """
+    names = ["a", "d", "place", "_id", "_key", "times"]
 
     def work(batches):
         roll = Rolling()
@@ -257,7 +261,11 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(part) < length:
                     continue
                 a, d, text, first, windows, anchor = find_anchors(roll, part, starts[i : j + 1] - starts[i], length, gram)
-                cols = [a.view(np.int64), d.view(np.int64), _place(first, windows, anchor), ids[i:j][text], keys[i:j][text]]
+                by = np.lexsort((d, a))
+                new = np.r_[True, (a[by][1:] != a[by][:-1]) | (d[by][1:] != d[by][:-1])]
+                times = np.zeros(len(a), np.int64)
+                times[by[new]] = np.minimum(2, np.diff(np.r_[np.flatnonzero(new), len(a)]))
+                cols = [a.view(np.int64), d.view(np.int64), _place(first, windows, anchor), ids[i:j][text], keys[i:j][text], times]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     return texts.filter(F.octet_length("text") >= length).select("_id", "_key", "text").mapInArrow(
@@ -379,13 +387,18 @@ def remove_repeats(
         *([F.struct(*carry).alias("_carry")] if carry else []),
     )
     every = _contexts(texts, length, gram)
-    anchors = every.groupBy("a").agg(F.count(F.lit(1)).alias("times"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("times > 1")
+    anchors = every.filter("times > 0").groupBy("a").agg(F.sum("times").alias("all"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    anchors = anchors.filter("all > 1").select(F.col("a").alias("_meet"), "lo", "hi")
+    # contexts that need not meet are dealt evenly, whatever their anchor
+    meet = F.when(F.col("times") > 0, F.col("a")).otherwise(F.xxhash64("_id", "_key", "place"))
+    met = every.withColumn("_meet", meet).join(anchors, "_meet", "left").filter("times = 0 or lo is not null")
+    mixed = ((F.col("times") > 0) & (F.col("lo") < F.col("hi"))).alias("mixed")
     # about a third of the contexts is left; stored, so that the texts are read twice up to here and not for each use
-    seen = settle(every.join(anchors, "a").select("a", "d", "place", "_id", "_key", (F.col("lo") < F.col("hi")).alias("mixed")))
+    seen = settle(met.select("a", "d", "place", "_id", "_key", "times", mixed))
     span = F.expr(f"shiftleft({LO}, 16) | ({WINDOWS} + {length - 1})").alias("span")
     alike = seen.filter("not mixed").select("_id", "_key", span)
     several = seen.filter("mixed")
-    kinds = several.groupBy("a", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_key", "place")).alias("one"))
+    kinds = several.groupBy("a", "d").agg(F.sum("times").alias("n"), F.min(F.struct("_id", "_key", "place")).alias("one"))
     kinds = settle(kinds.select("a", "d", "n", "one.place", "one._id", "one._key"))
     whole = several.join(kinds.filter("n > 1").select("a", "d"), ["a", "d"]).select("_id", "_key", span)
     per_anchor = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
