@@ -30,8 +30,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0 stands between tokens
 LONG, TRAIN_LONG = 16, 6
-ODDS = 22.0
+ODDS = 18.0
 UNIFORM = 0.2
+RARE = 1000.0  # pairs that a character needs before its own successors outweigh the corpus's: a few odd strings teach nothing
 MARK = "<SECRET>"
 
 
@@ -101,14 +102,14 @@ _CODES = _codes()
 def markov(random: np.ndarray, ordinary: np.ndarray) -> Markov:
     """From pair counts of both samples; the random model is mixed with even chances, both are smoothed."""
 
-    def model(counts: np.ndarray, even: float) -> np.ndarray:
+    def model(counts: np.ndarray, even: float, weight: float) -> np.ndarray:
         c = counts.reshape(STATES, STATES)[:, 1:].astype(float)
         backed = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * c.shape[1])  # the next character whatever the last
-        p = (c + 2.0 * backed) / (c.sum(axis=1, keepdims=True) + 2.0)
+        p = (c + weight * backed) / (c.sum(axis=1, keepdims=True) + weight)
         return (1 - even) * p + even / c.shape[1]
 
     ratio = np.zeros((STATES, STATES))
-    ratio[:, 1:] = np.log(model(random, UNIFORM)) - np.log(model(ordinary, 1e-3))
+    ratio[:, 1:] = np.log(model(random, UNIFORM, 20.0)) - np.log(model(ordinary, 1e-3, RARE))
     return Markov(ratio)
 
 

