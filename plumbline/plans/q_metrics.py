@@ -239,7 +239,7 @@ CATS = "cats AS (SELECT doc_id AS item_no, unnest(list_distinct([lang, source] |
 @query(
     "f15_category_rates",
     f"WITH {V.VERDICTS}, {CATS}, ok AS (SELECT category, count(DISTINCT item_no) AS n_prompts FROM cats GROUP BY category HAVING count(DISTINCT item_no) >= 10), "
-    "m AS (SELECT arm, seed, category, avg(flag::INT) AS r FROM verdicts JOIN cats USING (item_no) WHERE judge = 'j1' GROUP BY ALL) "
+    "m AS (SELECT arm, seed, category, avg(flag::INT) AS r FROM (SELECT * REPLACE (arm || ':' || judge AS arm) FROM verdicts) JOIN cats USING (item_no) GROUP BY ALL) "
     "SELECT arm, category, avg(r) AS flag_rate, n_prompts FROM m JOIN ok USING (category) GROUP BY ALL",
     "flag_rate",
 )
@@ -249,21 +249,22 @@ def f15(t):
         F.col("doc_id").alias("item_no"),
         F.array_compact(F.array("lang", "source", F.when(F.col("n_chars") > 2000, "long"))).alias("categories"),
     )
-    return M.category_rates(V.verdicts(t).where("judge = 'j1'"), cats, "item_no")
+    panel = V.verdicts(t).withColumn("arm", F.concat_ws(":", "arm", "judge"))
+    return M.category_rates(panel, cats, "item_no")
 
 
-PROBS = "probs AS (SELECT vec_id, label, list_transform(embedding[1:14], lambda x: (CASE WHEN x > 0 THEN x::DOUBLE * 4 ELSE 0.0::DOUBLE END)) AS p FROM embeddings)"
-CAT_NAMES = [f"c{i:02d}" for i in range(1, 15)]
+PROBS = "probs AS (SELECT vec_id, label, list_transform(embedding, lambda x: (CASE WHEN x > 0 THEN x::DOUBLE * 4 ELSE 0.0::DOUBLE END)) AS p FROM embeddings)"
+CAT_NAMES = [f"c{i:02d}" for i in range(1, 65)]
 
 
 def _probs(t: Tables):
-    p = F.transform(F.slice("embedding", 1, 14), lambda x: F.when(x > 0, x.cast("double") * 4).otherwise(F.lit(0.0)))
+    p = F.transform("embedding", lambda x: F.when(x > 0, x.cast("double") * 4).otherwise(F.lit(0.0)))
     return t.embeddings.select("vec_id", "label", p.alias("p"))
 
 
 @query(
     "f16_category_probs",
-    f"WITH {PROBS}, e AS (SELECT unnest(p) AS x, unnest(range(1, 15)) AS i FROM probs) SELECT 'c' || lpad(i::VARCHAR, 2, '0') AS category, avg((x > 0.5)::INT) AS flag_rate, avg(x) AS mean_prob, count(*) AS n FROM e GROUP BY i",
+    f"WITH {PROBS}, e AS (SELECT unnest(p) AS x, unnest(range(1, 65)) AS i FROM probs) SELECT 'c' || lpad(i::VARCHAR, 2, '0') AS category, avg((x > 0.5)::INT) AS flag_rate, avg(x) AS mean_prob, count(*) AS n FROM e GROUP BY i",
     "flag_rate mean_prob",
 )
 def f16(t):
