@@ -13,13 +13,13 @@ columns.
    once, packed by range; rows that meet within a task meet there already, and one of
    them goes on, so a block that very many rows share stays small. Of the rows that meet,
    one is the hub of the others: as many pairs as rows.
-3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster up
-   to a block's size are multiplied with each other in one task: overlaps are summed over
-   slices of columns, pairs that can no longer reach their bound are dropped, and blocks
-   of rows that are linked already are skipped.
-4. In a larger cluster hub rows are first multiplied with the rows they met, which links
-   most groups of near copies in one pass over their rows, however large they are. Where several
-   components are left, the rows are multiplied in tasks of two row blocks, and only links come back.
+3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster are
+   multiplied with each other in tasks of one or two row blocks: overlaps are summed over
+   slices of columns, pairs that can no longer reach their bound are dropped, rows
+   that are linked already are skipped, and only links come back.
+4. In a very large cluster hub rows are first multiplied with the rows they met, which links
+   most groups of near copies in one pass over their rows, however large they are; step 3 follows
+   where several components are left.
 
 Hubs with many rows and large clusters are dealt over several tasks.
 """
@@ -43,6 +43,7 @@ LEAST = 90
 CLASS = 1.5
 ROWS = 256  # rows that a hub is multiplied with at once
 BLOCK_ROWS = 1024  # rows of one block of a cluster
+STAR_BLOCKS = 8  # clusters of more blocks are linked by hubs first
 SLICE = 2048
 MOST_BITS = 26
 KEPT_BYTES = 5  # of a block's hash within its range; a clash only costs a product
@@ -244,7 +245,7 @@ def _likely(ids: DataFrame, bits: int):
 def _wanted_rows(docs: DataFrame, wanted: DataFrame, width: int, most_bits: int = MOST_BITS) -> DataFrame:
     """(_id, row) of the wanted documents and perhaps some others; texts are read where they lie."""
     n = wanted.count()
-    bits = max(10, (8 * n).bit_length())
+    bits = max(10, (512 * n).bit_length())
     exact = bits > most_bits  # the bitmap would let too much through: a join has the last word
     bits = min(bits, most_bits)
     bitmap = _likely(wanted, bits)
@@ -378,10 +379,10 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     sized = settle(cluster.join(sizes, "root").select("root", F.col("node").alias("_id"), "rows"))
     alone = F.col("_id").alias("label")
-    # clusters that are one block: all their rows meet in one task
-    small = sized.filter(F.col("rows") <= BLOCK_ROWS).select("root", "_id", alone)
+    few = F.col("rows") <= STAR_BLOCKS * BLOCK_ROWS
+    small = sized.filter(few).select("root", "_id", alone)
     links = settle(_cluster_links(small, _wanted_rows(base, small.select("_id"), width), least))
-    large = sized.filter(F.col("rows") > BLOCK_ROWS).select("root", "_id")
+    large = sized.filter(~few).select("root", "_id")
     if not large.isEmpty():
         rows = settle(_wanted_rows(base, large.select("_id"), width))
         star = settle(_star_links(pairs.join(large.select("_id"), "_id", "left_semi"), rows, least))

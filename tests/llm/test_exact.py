@@ -131,9 +131,11 @@ def test_ngram_join_keeps_one_row_of_each(spark, rows):
     assert ngram_join.op3(table(spark, [])).collect() == []
 
 
-def test_large_clusters_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("star", [1, 8])
+def test_large_clusters_in_blocks(spark, monkeypatch, star):
     monkeypatch.setattr(ngram_join, "ROWS", 4)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "STAR_BLOCKS", star)
     rows = sample(8, 150)
     got = ngram_join.jaccard_components(table(spark, rows)).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect()), key=str) == components(rows, 3, 90)
