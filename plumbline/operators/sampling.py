@@ -25,13 +25,15 @@ def calibration_draw(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFr
 
 
 def sample_per_stratum(
-    df: DataFrame, strata: list[str], quotas: DataFrame, seed: int, ids: list[str], tag: str = "strata"
+    df: DataFrame, strata: list[str], quotas: DataFrame, seed: int, ids: list[str], tag: str = "strata",
+    allow_short: bool = False,
 ) -> DataFrame:
     """Exactly ``quota`` rows of every stratum; ``quotas`` is (strata, quota).
 
-    Raises ValueError where a stratum has fewer rows than its quota (``shortfalls`` lists them).
+    Raises ValueError where a stratum has fewer rows than its quota (``shortfalls`` lists them);
+    with ``allow_short`` such a stratum gives all its rows.
     """
-    short = shortfalls(df, strata, quotas)
+    short = [] if allow_short else shortfalls(df, strata, quotas)
     if short:
         raise ValueError(f"too few rows: {short}")
     cuts = quotas.select(*strata, F.lit(0).alias("cut"), F.col("quota").cast("bigint").alias("rank"))

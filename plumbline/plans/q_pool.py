@@ -238,7 +238,7 @@ def p02h(t):
 )
 def p03(t):
     quotas = t.spark.createDataFrame([("en", 20), ("de", 7), ("fr", 500)], "lang string, quota bigint")
-    return M.sample_per_stratum(V.pool(t), ["lang"], quotas, 2, V.IDS).select("doc_id", "lang")
+    return M.sample_per_stratum(V.pool(t), ["lang"], quotas, 2, V.IDS, allow_short=True).select("doc_id", "lang")
 
 
 @query(
