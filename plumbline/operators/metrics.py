@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plumbline.operators.ranking import value_curve
-from plumbline.session import pin
+from plumbline.session import pin, settle
 
 
 def share(flag: str | Column) -> Column:
@@ -204,7 +204,7 @@ def spearman(df: DataFrame, x: str, y: str, strata: list[str]) -> DataFrame:
     Equal pairs are one weighted row throughout, and ranks are kept as
     distances from their mean, so large tables lose no digits.
     """
-    pairs = (
+    pairs = settle(  # both rankings and the last join read it
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*strata, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
         .agg(F.count(F.lit(1)).alias("_w"))

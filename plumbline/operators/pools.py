@@ -90,13 +90,14 @@ def dataset_facts(
         F.avg((~F.col("_good")).cast("double")).alias("low_frac"),
     )
     kept = keep.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_kept"))
-    with_ref = evaluation.join(refs.select(prompt).distinct(), prompt, "left_semi").agg(
+    prompts = lambda df: df.where(F.col(prompt).isNotNull()).select(digest(prompt).alias("_key"))
+    with_ref = prompts(evaluation).join(prompts(refs).distinct(), "_key", "left_semi").agg(
         F.count(F.lit(1)).alias("with_reference")
     )
     shared = (
-        rows.select(prompt)
+        prompts(rows)
         .distinct()
-        .join(evaluation.select(prompt).distinct(), prompt, "left_semi")
+        .join(prompts(evaluation).distinct(), "_key", "left_semi")
         .agg(F.count(F.lit(1)).alias("shared_prompts"))
     )
     one = F.lit(0).alias("_one")
