@@ -3,8 +3,8 @@
 Two histograms of each document, of character classes and of common words, are
 compared with references of its language by Jensen-Shannon divergence (0: equal,
 1: disjoint). References come from the corpus: a language is a value of ``lang`` with
-at least LANGUAGE_SHARE of the rows, a common word one with at least COMMON_SHARE of its
-language's words, so both lists are bounded whatever the corpus. All other rows,
+at least LANGUAGE_SHARE of the rows, a common word one of at most COMMON_BYTES
+with at least COMMON_SHARE of its language's words, so both lists are bounded whatever the corpus. All other rows,
 and those without a language, are held against the whole corpus. Short texts
 are not judged by divergence: their histograms say little.
 
@@ -26,9 +26,11 @@ GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\r\u000b\f"
 SYMBOLS = "#*$%&|<>"
 SENTENCE = ".,;:!?"
+PLAIN_GAP = rf"[\x20\x09-\x0D{SENTENCE}]+"
 CLASSES = ("lower", "space", "upper", "letter", "digit", "sentence", "symbol")
 LANGUAGE_SHARE = 0.01
 COMMON_SHARE = 0.004
+COMMON_BYTES = 8  # a common word is short: longer ones are counted together, which keeps the table of counts small
 CLASS_LIMIT, CLASS_CHARS = 0.06, 200
 WORD_LIMIT, WORD_WORDS = 0.12, 80
 LEAST_WORDS = 50
@@ -43,33 +45,47 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text."""
-    n = F.size(words)
-    hashes = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)),
+FEW = 64
+
+
+def _covered(at: Column) -> Column:
+    """Words that windows of three cover, from the windows' ascending starts."""
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(
+        at, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]
     )
 
-    def covered(h: Column) -> Column:
-        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        def repeated(s: Column) -> Column:
-            return F.filter(
-                s,
-                lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)),
-            )
+def repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Add ``out``: words inside 3-word windows that occur twice or more in the text.
 
-        at = F.sort_array(F.transform(bind(by_hash, repeated), lambda x: x["i"]))
-        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(
-            at, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]
+    Sorted window hashes show which ones repeat. A few of them are looked up for each
+    window; of many, sorted pairs of hash and place give the places, so the
+    work stays within n log n.
+    """
+
+    def windows(w: Column) -> Column:
+        first, second, third = (F.slice(w, k, F.size(w) - 2) for k in (1, 2, 3))
+        return F.zip_with(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), third, lambda a, b: F.xxhash64(a, b))
+
+    def places(s: Column) -> Column:
+        return F.filter(
+            s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
         )
 
-    none = F.lit(0).cast("long")
-    return F.when(n < 3, none).otherwise(
-        bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
+    none = F.lit([]).cast("array<long>")
+    hashes = F.when(F.size(words) < 3, none).otherwise(bind(F.transform(words, lambda w: F.xxhash64(w)), windows))
+    df = df.withColumn("_h", hashes).withColumn("_s", F.sort_array("_h"))
+    df = df.withColumn("_dup", F.array_distinct(F.filter("_s", lambda x, i: (i > 0) & (F.get(F.col("_s"), i - 1) == x))))
+    looked_up = F.filter(F.transform("_h", lambda x, i: F.when(F.array_contains("_dup", x), i).otherwise(-1)), lambda i: i >= 0)
+    pairs = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    sorted_out = F.sort_array(F.transform(bind(pairs, places), lambda x: x["i"]))
+    count = (
+        F.when(F.size("_dup") == 0, F.lit(0).cast("long"))
+        .when(F.size("_dup") <= FEW, _covered(looked_up))
+        .otherwise(_covered(sorted_out))
     )
+    return df.withColumn(out, count).drop("_h", "_s", "_dup")
 
 
 def dup_lines(text: Column) -> Column:
@@ -116,7 +132,7 @@ def divergence(counts: Column, shares: Column) -> Column:
 
 
 def _plain_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.translate(text, SENTENCE, " " * len(SENTENCE))), GAP), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), PLAIN_GAP), lambda w: w != "")
 
 
 def common_words(docs: DataFrame) -> dict[str, list[str]]:
@@ -129,10 +145,12 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
         if r.lang != POOLED
     ]
     named = F.when(F.col("lang").isin(langs), F.col("lang")) if langs else F.lit(None).cast("string")
-    counts = settle(docs.select(named.alias("lang"), F.explode(_plain_words(F.col("text"))).alias("word")).groupBy("lang", "word").count())
+    short = F.transform(_plain_words(F.col("text")), lambda w: F.when(F.octet_length(w) <= COMMON_BYTES, w))
+    counts = settle(docs.select(named.alias("lang"), F.explode(short).alias("word")).groupBy("lang", "word").count())
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     every = sum(totals.values())
     out = {name: [] for name in sorted(langs)}
+    counts = counts.filter(F.col("word").isNotNull())
     pooled = counts.groupBy("word").agg(F.sum("count").alias("count")).filter(F.col("count") >= COMMON_SHARE * every)
     least = by_language({**{k: F.lit(COMMON_SHARE * v) for k, v in totals.items() if k is not None}, POOLED: F.lit(float("inf"))}, F.col("lang"))
     for r in counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "word").collect():  # at most 1 / COMMON_SHARE a language
@@ -146,10 +164,12 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     known = F.col("lang").isin([k for k in common if k != POOLED])
     base = docs.withColumn("lang", F.when(known, F.col("lang")).otherwise(F.lit(POOLED)))
     base = class_counts(base, "text").withColumn("words", words_of(F.col("text")))
+    base = repeat_words(base, "words", "n_repeat_words")
+    longest = max([0, *(len(w.encode()) for v in common.values() for w in v)])
     lists = by_language({k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in common.items()}, F.col("lang"))
 
     def counts(pair: Column) -> Column:
-        hits = F.filter(pair["w"], lambda w: F.array_contains(pair["c"], w))
+        hits = F.filter(pair["w"], lambda w: (F.octet_length(w) <= longest) & F.array_contains(pair["c"], w))
         return bind(
             F.struct(hits.alias("h"), pair["c"].alias("c"), F.size(pair["w"]).alias("n")),
             lambda x: F.concat(
@@ -161,9 +181,9 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         "doc_id", "lang", F.char_length("text").cast("long").alias("n_chars"),
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         dup_lines(F.col("text")).alias("n_dup_lines"),
-        repeat_words(F.col("words")).alias("n_repeat_words"),
+        "n_repeat_words",
         "classes",
         bind(F.struct(_plain_words(F.col("text")).alias("w"), lists.alias("c")), counts).alias("commons"),
     )
