@@ -429,3 +429,23 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
 
 def op3(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, 3, 90)
+
+
+#: The query by comparing all sets that share a shingle; for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM words),
+sizes AS (SELECT doc_id, len(g) AS n FROM sets),
+entries AS (SELECT doc_id, unnest(g) AS x FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM entries a JOIN entries b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b, o, p.n AS n, q.n AS m FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b),
+links AS (SELECT a, b FROM pairs WHERE 100 * o >= 90 * (n + m - o) UNION SELECT b, a FROM pairs WHERE 100 * o >= 90 * (n + m - o)),
+reach(id, far) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT id, b FROM reach JOIN links ON a = far),
+alike AS (SELECT a, b FROM pairs WHERE o = n AND o = m UNION SELECT b, a FROM pairs WHERE o = n AND o = m UNION SELECT doc_id, doc_id FROM sizes)
+SELECT doc_id, n AS n_shingles, component_id, class_id, class_size FROM sizes
+JOIN (SELECT id AS doc_id, min(far) AS component_id FROM reach GROUP BY id) USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM alike GROUP BY a) USING (doc_id)
+"""

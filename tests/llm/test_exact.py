@@ -280,3 +280,14 @@ def test_divergence(spark):
     df = spark.createDataFrame([([1, 1], [0.5, 0.5]), ([4, 0], [0.0, 1.0]), ([0, 0], [0.5, 0.5])], "c array<long>, q array<double>")
     got = [r[0] for r in df.select(rules.divergence(F.col("c"), F.col("q"))).collect()]
     assert got[0] == pytest.approx(0) and got[1] == pytest.approx(1) and got[2] is None
+
+
+def test_ngram_join_against_sql(spark):
+    import duckdb
+
+    rows = [r for r in sample(12, 150) + ODD if r[0] is not None and r[0] != 4]
+    docs = table(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    want = con.execute(ngram_join.OP3_SQL).fetchall()
+    assert sorted(map(tuple, ngram_join.op3(docs).collect())) == sorted(want)
