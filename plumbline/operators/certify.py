@@ -267,13 +267,18 @@ def certified_selection(
     """Certify each stratum or fall back inside it; returns (selection, decisions).
 
     With strata the caller's ``delta`` is split evenly over those of the pool, so
-    the chance that any of them is wrong stays within ``delta``. The selection is the union over strata and carries ``certified`` and
+    the chance that any of them is wrong stays within ``delta``; a row without a
+    stratum is an error, as it would get no decision. The selection is the union over strata and carries ``certified`` and
     ``alpha``; ``decisions`` has one row per stratum.
     """
     strata = strata or []
     rows, keys = with_strata(pool, strata)
     cal_rows, _ = with_strata(cal, strata)
-    each = delta / max(1, rows.select(*keys).distinct().count())
+    missing = F.max(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
+    found = rows.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n"), missing.alias("missing")).first()
+    if found.missing:
+        raise ValueError(f"rows without a stratum in {strata}: give them one, or leave them out")
+    each = delta / max(1, found.n)
     audit = certify(rows, cal_rows, score, bad, alpha, each, keys)
     decided = cutoffs(audit, keys)
     sizes = fallback_sizes(decided.select(*keys, "n_pool"), cal_rows, bad, each, keys).drop("n_pool")

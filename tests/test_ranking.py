@@ -186,3 +186,18 @@ def test_sizes_are_exact_where_ids_repeat(spark):
     flat = df.withColumn("score", F.lit(1.0))
     assert A.select_top(flat, "score", ["id"], k=155).count() == 155
     assert sorted(r["count"] for r in A.with_decile(flat, "score", ["id"]).groupBy("decile").count().collect()) == [70] * 10
+
+
+def test_error_is_split_over_all_strata_and_none_may_lack(spark):
+    rows = [(i, i % 3, float(i % 50), i % 50 < 5) for i in range(900)]
+    pool = spark.createDataFrame(rows, "id long, g long, score double, bad boolean").repartition(3)
+    cal = P.calibration_draw(pool, 300, 0, ["id"])
+    _, three = C.certified_selection(pool, cal, "score", "bad", 0.1, 0.09, ["id"], ["g"])
+    one = {
+        r.g: (r.certified, r.tau)
+        for g in range(3)
+        for r in C.certified_selection(pool.where(F.col("g") == g), cal.where(F.col("g") == g), "score", "bad", 0.1, 0.03, ["id"], ["g"])[1].collect()
+    }
+    assert {r.g: (r.certified, r.tau) for r in three.collect()} == one
+    with pytest.raises(ValueError, match="without a stratum"):
+        C.certified_selection(pool.withColumn("g", F.when(F.col("g") > 0, F.col("g"))), cal, "score", "bad", 0.1, 0.1, ["id"], ["g"])
