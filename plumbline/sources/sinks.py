@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,18 +65,32 @@ def export_instruction_jsonl(df: DataFrame, path: str) -> None:
     instruction_rows(df).write.json(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    where, fs = _place(spark, path.rstrip("/") + "/_SUCCESS")
+    return fs.exists(where)
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """K4: reuse a finished table, or build and write it once.
 
     Only a table with its success marker counts, so a job that died half-way is
-    built again.
+    built again. A table is written to a folder of its own and renamed, so that of two
+    sessions that build the same one neither destroys what the other reads.
     """
     if not table_exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+        made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        build().write.parquet(made)
+        own, fs = _place(spark, made)
+        target, _ = _place(spark, path)
+        if not table_exists(spark, path):
+            fs.delete(target, True)  # what a dead job left
+            fs.rename(own, target)
+        else:
+            fs.delete(own, True)
     return spark.read.parquet(path)
