@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plumbline.functions.hashing import digest
 from plumbline.operators.ranking import value_curve
 from plumbline.session import pin, settle
 
@@ -117,16 +118,19 @@ def lcs_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
 def rouge_l(gens: DataFrame, refs: DataFrame, prompt: str, by: list[str], item: str) -> DataFrame:
     """F8: best LCS F1 over the references of a prompt, averaged over prompts that have one.
 
-    Identical (response, reference) pairs are scored once.
+    Texts meet as digests, and identical (response, reference) pairs are scored once.
     """
-    pairs = gens.select(*by, item, prompt, F.col("response").alias("_hyp")).join(
-        refs.select(prompt, F.col("response").alias("_ref")).distinct(), prompt
-    )
-    best = (
-        pairs.withColumn("_f", lcs_f1("_hyp", "_ref"))
-        .groupBy(*by, item)
-        .agg(F.max("_f").alias("_f"))
+    text = F.coalesce("response", F.lit(""))
+    gens, refs = (df.withColumn("_text", text).withColumn("_d", digest("_text")) for df in (gens, refs))
+    texts = {side: df.groupBy("_d").agg(F.first("_text").alias("_text")) for side, df in (("_hyp", gens), ("_ref", refs))}
+    pairs = gens.select(*by, item, prompt, F.col("_d").alias("_hyp")).join(
+        refs.select(prompt, F.col("_d").alias("_ref")).distinct(), prompt
     )
+    scored = pairs.select("_hyp", "_ref").distinct()
+    for side, found in texts.items():
+        scored = scored.join(found.select(F.col("_d").alias(side), F.col("_text").alias(f"{side}_text")), side)
+    scored = scored.select("_hyp", "_ref", lcs_f1("_hyp_text", "_ref_text").alias("_f"))
+    best = pairs.join(scored, ["_hyp", "_ref"]).groupBy(*by, item).agg(F.max("_f").alias("_f"))
     return best.groupBy(*by).agg(F.avg("_f").alias("rouge_l"), F.count(F.lit(1)).alias("n_prompts"))
 
 
