@@ -6,16 +6,18 @@ least*(a+b)/(100+least), so their rows differ in at most d = (a+b)*(100-least)/(
 columns.
 
 1. Rows that are equal are one row (the document with the least id).
-2. The columns are dealt by hash into d+2 blocks, d for the largest sizes of a class of
-   sizes. Rows that link agree in whole blocks, two at least, so rows meet only
+2. The columns are dealt by hash into d+2 blocks or a few more, d for the largest sizes of a
+   class of sizes. Rows that link agree in whole blocks, two at least, so rows meet only
    where a block of one equals a block of the other. Blocks without any column
-   count only for rows that have two or more of them. A hash of each block travels
+   count only for rows that have two or more of them, and no more blocks with columns than
+   columns in which they may differ from a row they link with. A hash of each block travels
    once, packed by range; rows that meet within a task meet there already, and one of
    them goes on, so a block that very many rows share stays small. Of the rows that meet,
    one is the hub of the others: as many pairs as rows.
-3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster are
-   multiplied with each other in tasks of one or two row blocks: overlaps are summed over
-   slices of columns, pairs that can no longer reach their bound are dropped, rows
+3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster that
+   share a class of sizes are multiplied with each other in tasks of one or two row blocks.
+   Parities of hashed columns come first: rows differ in at least as many columns as
+   parities. For the pairs left overlaps are counted, of many pairs summed over slices of columns: pairs that can no longer reach their bound are dropped, rows
    that are linked already are skipped, and only links come back.
 4. In a very large cluster hub rows are first multiplied with the rows they met, which links
    most groups of near copies in one pass over their rows, however large they are; step 3 follows
@@ -42,9 +44,12 @@ WIDTH = 3
 LEAST = 90
 CLASS = 1.5
 ROWS = 256  # rows that a hub is multiplied with at once
-BLOCK_ROWS = 1024  # rows of one block of a cluster
+BLOCK_ROWS = 1024  # rows of one block of a cluster, and four times as many of short ones
+BLOCK_VALUES = 1024  # columns of a row of full length: a block holds BLOCK_ROWS of them
 STAR_BLOCKS = 8  # clusters of more blocks are linked by hubs first
 SLICE = 2048
+MOST_PARITIES = 8192
+FEW_PAIRS = 2048  # so many pairs are counted one by one
 MOST_BITS = 26
 KEPT_BYTES = 5  # of a block's hash within its range; a clash only costs a product
 
@@ -57,10 +62,17 @@ def size_classes(n: int, least: int) -> list[tuple[int, int]]:
         low, high = math.ceil(CLASS**c), math.ceil(CLASS ** (c + 1))
         if c == own or 100 * n >= least * low:
             differ = 2 * high * (100 - least) // (100 + least)  # columns in which two linked rows of the class may differ
-            out.append((c, differ + 2))
+            spare = int(2 * differ * math.exp(-high / (differ + 2)))  # twice the blocks that stay empty by chance
+            out.append((c, differ + 2 + spare))
     return out
 
 
+def most_differing(n: int, c: int, least: int) -> int:
+    """Columns in which a row of n columns may differ from a row of class c, or of the class before, that it links with."""
+    partner = min(math.ceil(CLASS ** (c + 1)), 100 * n // least)
+    return (n + partner) * (100 - least) // (100 + least)
+
+
 def block_signatures(row: np.ndarray, least: int) -> np.ndarray:
     """One number for each block of the row's columns, in each of its size classes."""
     out = []
@@ -71,12 +83,20 @@ def block_signatures(row: np.ndarray, least: int) -> np.ndarray:
         salt = np.uint64(c * FACTORS[1] & 0xFFFFFFFFFFFFFFFF)
         sums = np.add.reduceat(mixed, start)
         out.append(scramble(sums + block[start].astype(np.uint64) * np.uint64(FACTORS[0]) + salt))
-        if blocks - len(start) >= 2:
+        # with more filled blocks than columns may differ a filled block agrees in any case
+        if blocks - len(start) >= 2 and len(start) <= most_differing(len(row), c, least):
             empty = np.setdiff1d(np.arange(blocks), block[start]).astype(np.uint64)
             out.append(scramble(empty * np.uint64(FACTORS[2]) + salt))
     return np.concatenate(out)
 
 
+def parities(rows: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parities of how many of a row's columns fall on each of ``bits`` places, a power of two."""
+    at = np.repeat(np.arange(len(rows)) * bits, [len(r) for r in rows])
+    place = (np.concatenate(rows) & np.uint64(bits - 1)).astype(np.int64)
+    return (np.bincount(at + place, minlength=len(rows) * bits) & 1).reshape(len(rows), bits).astype(np.float32)
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of rows that link: the product of two row blocks, summed over slices of columns."""
     a, b = (np.array([len(r) for r in rows]) for rows in (left, right))
@@ -84,6 +104,13 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], least: int) -> list[
     alive = np.minimum(a[:, None], b[None, :]) >= need
     if not alive.any():
         return []
+    bits = min(MOST_PARITIES, max(256, 1 << int(max(a.max(), b.max()) - 1).bit_length()))
+    p, q = parities(left, bits), parities(right, bits)
+    alive &= p.sum(1)[:, None] + q.sum(1)[None, :] - 2 * (p @ q.T) <= a[:, None] + b[None, :] - 2 * need
+    i, j = np.nonzero(alive)
+    if len(i) <= FEW_PAIRS:
+        pairs = zip(i.tolist(), j.tolist())
+        return [(x, y) for x, y in pairs if len(np.intersect1d(left[x], right[y], assume_unique=True)) >= need[x, y]]
     columns, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     row = np.repeat(np.arange(len(a) + len(b)), np.r_[a, b])
     by = np.argsort(at, kind="stable")
@@ -306,17 +333,22 @@ def _star_links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
 
 
 def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """Links among all rows of each cluster (root, _id, label): tasks of two blocks of rows."""
-    sizes = clusters.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias("blocks"))
-    own = clusters.join(sizes, "root").select(
-        "root", "_id", "label", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"), "blocks"
+    """Links among all rows of each cluster (root, _id, n, label) that share a class of sizes: tasks of two blocks of rows."""
+    sized = clusters.withColumn("c", F.expr(f"cast(floor(ln(n) / ln({CLASS}D) + 1e-9) as int)"))
+    both = F.expr(f"if(100 * n >= {least} * ceil(power({CLASS}D, c + 1)), array(c, c + 1), array(c))")  # as size_classes
+    sized = sized.withColumn("c", F.explode(both))
+    blocks = F.expr(f"cast(ceil(greatest(count(*) / {4 * BLOCK_ROWS}, sum(n) / {BLOCK_VALUES * BLOCK_ROWS})) as int)")
+    sizes = sized.groupBy("root", "c").agg(blocks.alias("blocks"))
+    own = sized.join(sizes, ["root", "c"]).select(
+        "root", "c", "_id", "label", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"), "blocks"
     )
-    dealt = own.select("root", "_id", "label", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "label")
+    dealt = own.select("root", "c", "_id", "label", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("root", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "label")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def links(batches):
-        for (_, i, j), held in _grouped(batches, 3):
+        for (_, c, i, j), held in _grouped(batches, 4):
+            low = CLASS**c
             left = [(doc, label, row) for (own, doc, label), row in held if own == i]
             right = left if i == j else [(doc, label, row) for (own, doc, label), row in held if own == j]
             for rows in (left, right):
@@ -331,8 +363,8 @@ def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFram
             for a in range(0, len(left), ROWS):
                 for b in range(a if i == j else 0, len(right), ROWS):
                     p, q = left[a : a + ROWS], right[b : b + ROWS]
-                    if len({find(label) for _, label, _ in p + q}) < 2:
-                        continue
+                    if max(len(p[-1][2]), len(q[-1][2])) < low or len({find(label) for _, label, _ in p + q}) < 2:
+                        continue  # both of the class before, where they meet as well; or linked already
                     for x, y in linked([row for _, _, row in p], [row for _, _, row in q], least):
                         u, v = find(p[x][1]), find(q[y][1])
                         if u != v:
@@ -341,8 +373,8 @@ def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFram
 
     n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # neither side is bounded, so neither is broadcast
-    placed = dealt.join(rows.hint("merge"), "_id").select("root", "i", "j", "own", "_id", "label", "row")
-    placed = placed.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    placed = dealt.join(rows.hint("merge"), "_id").select("root", "c", "i", "j", "own", "_id", "label", "row")
+    placed = placed.repartition(n, "root", "c", "i", "j").sortWithinPartitions("root", "c", "i", "j")
     return placed.mapInArrow(lambda batches: _batches(links(batches), schema), "u long, v long")
 
 
@@ -367,9 +399,9 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
     base = base.select("_id", "text")
     table = settle(_table(base, width))
     filled = table.filter("n > 0")
-    classes = settle(filled.groupBy("node").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    classes = settle(filled.groupBy("node").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")))
 
-    own = filled.join(classes, "node").select("_id", "rep")
+    own = filled.drop("n").join(classes, "node").select("_id", "rep")
     met = _meetings(base, width, least)
     for side in ("hub", "_id"):  # rows that are equal count once
         met = met.join(own.select(F.col("_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
@@ -377,17 +409,18 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
     pairs = settle(pairs.filter("hub < _id").distinct())
     cluster = components(pairs.select(F.col("hub").alias("u"), F.col("_id").alias("v")))
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
-    sized = settle(cluster.join(sizes, "root").select("root", F.col("node").alias("_id"), "rows"))
+    lengths = classes.select(F.col("rep").alias("_id"), "n")
+    sized = settle(cluster.join(sizes, "root").select("root", F.col("node").alias("_id"), "rows").join(lengths, "_id"))
     alone = F.col("_id").alias("label")
     few = F.col("rows") <= STAR_BLOCKS * BLOCK_ROWS
-    small = sized.filter(few).select("root", "_id", alone)
+    small = sized.filter(few).select("root", "_id", "n", alone)
     links = settle(_cluster_links(small, _wanted_rows(base, small.select("_id"), width), least))
-    large = sized.filter(~few).select("root", "_id")
+    large = sized.filter(~few).select("root", "_id", "n")
     if not large.isEmpty():
         rows = settle(_wanted_rows(base, large.select("_id"), width))
         star = settle(_star_links(pairs.join(large.select("_id"), "_id", "left_semi"), rows, least))
         labels = components(star).select(F.col("node").alias("_id"), F.col("root").alias("label"))
-        marked = settle(large.join(labels, "_id", "left").select("root", "_id", F.coalesce("label", "_id").alias("label")))
+        marked = settle(large.join(labels, "_id", "left").select("root", "_id", "n", F.coalesce("label", "_id").alias("label")))
         apart = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
         more = settle(_cluster_links(marked.join(apart, "root", "left_semi"), rows, least))
         links = links.unionByName(star).unionByName(more)

@@ -141,6 +141,44 @@ def test_large_clusters_in_blocks(spark, monkeypatch, star):
     assert sorted(map(tuple, got.collect()), key=str) == components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("width,least", [(3, 90), (5, 80)])
+def test_large_clusters_by_class_and_parity(spark, monkeypatch, width, least):
+    for name, value in (("ROWS", 4), ("BLOCK_ROWS", 1), ("STAR_BLOCKS", 1), ("FEW_PAIRS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = sample(9, 150)
+    got = ngram_join.jaccard_components(table(spark, rows), width, least).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == components(rows, width, least)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize("least", [70, 80, 90])
+def test_rows_that_link_meet_and_survive_parities(monkeypatch, least, few):
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    rng = np.random.default_rng(least)
+    apart = 0
+    for _ in range(600):
+        n = int(rng.integers(1, rng.choice([6, 30, 400])))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        drop = int(rng.integers(0, max(1, n * (100 - least) // 100) + 1))
+        b = np.unique(np.r_[rng.permutation(a)[drop:], rng.integers(0, 2**64, int(rng.integers(0, drop + 2)), dtype=np.uint64)])
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        link = 100 * both >= least * (len(a) + len(b) - both)
+        assert bool(ngram_join.linked([a], [b], least)) == link
+        if link:
+            assert len(np.intersect1d(ngram_join.block_signatures(a, least), ngram_join.block_signatures(b, least)))
+        else:
+            apart += 1
+    assert apart > 20
+
+
+def test_prose_does_not_meet_by_empty_blocks():
+    rng = np.random.default_rng(1)
+    sets = [ngram_join.block_signatures(np.unique(rng.integers(0, 2**64, 245, dtype=np.uint64)), 80) for _ in range(200)]
+    assert len(np.unique(np.concatenate(sets))) == sum(map(len, sets))
+
+
 def test_packing(spark, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.op1(table(spark, rows)).toPandas()

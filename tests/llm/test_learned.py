@@ -120,6 +120,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert final.columns == seen[-1].columns and final.count() == len(packed)
 
 
+def test_pipeline_links_two_words_replaced(spark):
+    words = [f"w{k}" for k in range(100)]
+    edited = [f"new{k}" if k in (30, 70) else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
