@@ -19,7 +19,7 @@ columns.
    Parities of hashed columns come first: rows differ in at least as many columns as
    parities. For the pairs left overlaps are counted, of many pairs summed over slices of columns: pairs that can no longer reach their bound are dropped, rows
    that are linked already are skipped, and only links come back.
-4. In a very large cluster hub rows are first multiplied with the rows they met, which links
+4. In a very large cluster hubs of many rows are first multiplied with the rows they met, which links
    most groups of near copies in one pass over their rows, however large they are; step 3 follows
    where several components are left.
 
@@ -44,8 +44,10 @@ WIDTH = 3
 LEAST = 90
 CLASS = 1.5
 ROWS = 256  # rows that a hub is multiplied with at once
-BLOCK_ROWS = 1024  # rows of one block of a cluster, and four times as many of short ones
-BLOCK_VALUES = 1024  # columns of a row of full length: a block holds BLOCK_ROWS of them
+BLOCK_ROWS = 1024  # large clusters are counted in blocks of so many rows; a block of short rows has up to SHORT times as many
+BLOCK_VALUES = 4096  # columns of a row of full length: a block holds BLOCK_ROWS of them
+SHORT = 16
+HUB_ROWS = 64  # in a large cluster, hubs with fewer rows do not pay for moving them
 STAR_BLOCKS = 8  # clusters of more blocks are linked by hubs first
 SLICE = 2048
 MOST_PARITIES = 8192
@@ -313,7 +315,8 @@ def _grouped(batches, keys: int):
 
 def _star_links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """Links (u, v) among pairs (hub, _id): each hub's row times the rows it met."""
-    parts = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {8 * ROWS}) as int)").alias("parts"))
+    parts = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {8 * ROWS}) as int)").alias("parts"), F.count(F.lit(1)).alias("met"))
+    parts = parts.filter(F.col("met") >= HUB_ROWS).drop("met")
     spread = pairs.join(parts, "hub").select("hub", "_id", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int").alias("part"))
     heads = parts.select("hub", F.col("hub").alias("_id"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -337,7 +340,7 @@ def _cluster_links(clusters: DataFrame, rows: DataFrame, least: int) -> DataFram
     sized = clusters.withColumn("c", F.expr(f"cast(floor(ln(n) / ln({CLASS}D) + 1e-9) as int)"))
     both = F.expr(f"if(100 * n >= {least} * ceil(power({CLASS}D, c + 1)), array(c, c + 1), array(c))")  # as size_classes
     sized = sized.withColumn("c", F.explode(both))
-    blocks = F.expr(f"cast(ceil(greatest(count(*) / {4 * BLOCK_ROWS}, sum(n) / {BLOCK_VALUES * BLOCK_ROWS})) as int)")
+    blocks = F.expr(f"cast(ceil(greatest(count(*) / {SHORT * BLOCK_ROWS}, sum(n) / {BLOCK_VALUES * BLOCK_ROWS})) as int)")
     sizes = sized.groupBy("root", "c").agg(blocks.alias("blocks"))
     own = sized.join(sizes, ["root", "c"]).select(
         "root", "c", "_id", "label", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("own"), "blocks"
