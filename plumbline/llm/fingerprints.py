@@ -6,11 +6,10 @@ document's fingerprint is the sum of its paragraphs' vectors, each word modulo
 subtracting its vector (``add``, ``subtract``); equal multisets have equal sums.
 
 The vector has 2 words that are hashes as they stand (equality), 1 word that is
-1 (the count), and 32 words that each hold 4 hash bits in fields of 15 bits. The
+1 (the count), and 64 words that each hold 2 hash bits in fields of 30 bits. The
 fields' sums are counts per hash bit; less half the paragraphs they are a random
 sign sketch of the multiset, so likeness 2ab/(aa+bb) comes from two fingerprints
-alone. Fields wrap modulo 2**15, which only matters for texts that differ by
-more than 16,000 paragraphs.
+alone. A field holds counts below 2**30, more paragraphs than a string has room for.
 """
 
 from __future__ import annotations
@@ -22,22 +21,21 @@ from plumbline.llm.order import key_cuts, order_key, piece_of
 
 WORD = 60
 MASK = 2**WORD - 1
-FIELD = 15
+FIELD = 30
 FIELDS = WORD // FIELD
+STRIDE = 64 // FIELDS
 EQUAL = 2
 HASHES = 2
 LANES = 64 * HASHES
 WORDS = EQUAL + 1 + LANES // FIELDS
-ONES = sum(1 << (FIELD * i) for i in range(FIELDS))
-HALF = sum(1 << (FIELD * i + FIELD - 1) for i in range(FIELDS))
 PARTS = r"\n|(?<=[.!?])[ \t]+"
 
 
 def _bits(h: Column, k: int) -> Column:
-    """Hash bits k, k+16, k+32, k+48, one in each field."""
+    """Hash bits k and k+32, one in each field."""
     out = F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1))
     for i in range(1, FIELDS):
-        out = out + F.shiftleft(F.shiftrightunsigned(h, k + 16 * i).bitwiseAND(F.lit(1)), FIELD * i)
+        out = out + F.shiftleft(F.shiftrightunsigned(h, k + STRIDE * i).bitwiseAND(F.lit(1)), FIELD * i)
     return out
 
 
@@ -47,7 +45,7 @@ def paragraph_vector(part: Column) -> Column:
     spread = F.flatten(
         F.transform(
             F.array(*[F.xxhash64(F.lit(200 + i), part) for i in range(HASHES)]),
-            lambda h: F.array(*[_bits(h, k) for k in range(16)]),
+            lambda h: F.array(*[_bits(h, k) for k in range(STRIDE)]),
         )
     )
     return F.concat(F.array(*words), spread)

@@ -143,7 +143,7 @@ def test_large_clusters_in_blocks(spark, monkeypatch, star):
 
 @pytest.mark.parametrize("width,least", [(3, 90), (5, 80)])
 def test_large_clusters_by_class_and_parity(spark, monkeypatch, width, least):
-    for name, value in (("ROWS", 4), ("BLOCK_ROWS", 1), ("STAR_BLOCKS", 1), ("FEW_PAIRS", 1)):
+    for name, value in (("ROWS", 4), ("BLOCK_ROWS", 1), ("STAR_BLOCKS", 1), ("FEW_PAIRS", 1), ("SHORT", 4), ("BLOCK_VALUES", 256), ("HUB_ROWS", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = sample(9, 150)
     got = ngram_join.jaccard_components(table(spark, rows), width, least).select("doc_id", "n_shingles", "component_id")
@@ -278,6 +278,26 @@ def test_fingerprints_are_homomorphic(spark):
     assert row.put and row.taken and not row.other
 
 
+def plain_lanes(spark, parts):
+    df = spark.createDataFrame([(p,) for p in parts], "part string")
+    hashes = np.array(df.select(*[F.xxhash64(F.lit(200 + i), "part") for i in range(fingerprints.HASHES)]).collect(), np.int64)
+    bits = (hashes.view(np.uint64)[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    return (2 * bits.astype(np.int64) - 1).sum(0).ravel().astype(float)
+
+
+@pytest.mark.parametrize("left,right", [
+    ([f"line {i}" for i in range(70000)], [f"line {i}" for i in range(52500)]),
+    ([f"line {i}" for i in range(70000)], [f"other {i}" for i in range(70000)]),
+    (["same"] * 40000, ["same"] * 30000),
+])
+def test_likeness_of_very_long_texts(spark, left, right):
+    df = spark.createDataFrame([("\n".join(left), "\n".join(right))], "a string, b string")
+    made = df.select(fingerprints.vector(F.col("a")).alias("a"), fingerprints.vector(F.col("b")).alias("b")).localCheckpoint()
+    got = made.select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0]
+    a, b = plain_lanes(spark, left), plain_lanes(spark, right)
+    assert got == pytest.approx(min(1.0, max(0.0, 2 * (a @ b) / (a @ a + b @ b))), abs=1e-9)
+
+
 def test_secret_scans(spark, rows):
     rx = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     extra = [(300, "PassWord:'ab' api_key : abcdef tokEn=a.b-c_d= ſecret=abcdefgh AKIA0000 deadbeef", "en"), (301, "AKIAAKIAAKIA" + "X" * 30, "en")]
