@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, fingerprints, ngram_join, packing, quality, rules, secret_scans, sharding, suffixes, toxicity
+from plumbline.llm import (
+    bpe, filter_audit, fingerprints, ngram_join, packing, pieces, quality, rules, secret_scans, sharding, spellings, suffixes, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": _on_documents(secret_scans.op8),
         "op9_quality_rules": _on_documents(rules.op9),
         "op10_toxicity": _with_labels(toxicity.op10),
+        "op11_spellings": _on_documents(spellings.op11),
+        "op12_pieces": _on_documents(pieces.op12),
+        "op13_filter_audit": _with_labels(filter_audit.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are held against brute force in the tests."""
-    return {"op3_ngram_join": ngram_join.OP3_SQL}
+    return {"op3_ngram_join": ngram_join.OP3_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
