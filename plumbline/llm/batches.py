@@ -7,6 +7,21 @@ from collections.abc import Iterator
 CHUNK_BYTES = 2_000_000
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the machine: workers live on, and the next task's need would come on top."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library: nothing to do
+
+
 def text_chunks(batches, size: int = CHUNK_BYTES) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of about ``size`` characters each from batches of (doc_id, text); null texts are empty.
 

@@ -7,18 +7,19 @@ columns.
 
 1. Rows that are equal are one row (the document with the least id).
 2. The columns are dealt by hash into d+2 blocks or a few more, d for the largest sizes of a
-   class of sizes. Rows that link agree in whole blocks, two at least, so rows meet only
-   where a block of one equals a block of the other. Blocks without any column
-   count only for rows that have two or more of them, and no more blocks with columns than
-   columns in which they may differ from a row they link with. A hash of each block travels
-   once, packed by range; rows that meet within a task meet there already, and one of
-   them goes on, so a block that very many rows share stays small. Of the rows that meet,
-   one is the hub of the others: as many pairs as rows.
+   class of sizes. A row that links with another agrees with it in a least number of whole
+   blocks (``block_signatures``), two at least, so blocks of different rows that are equal are
+   memberships, and a row with fewer memberships than that links with nothing. Of the
+   others as many but one may be left out, if all rows leave out those that come last in
+   one order: what most rows share comes last. Rows meet where they share one that is
+   left. A hash of each block travels once, packed by range; those that a task's own rows
+   share are memberships there already, and one row stands for them, so a block that very many
+   rows share stays small. Of the rows that meet, one is the hub of the others: as many pairs as rows.
 3. Rows that met, directly or by way of others, are a cluster. The rows of a cluster that
    share a class of sizes are multiplied with each other in tasks of one or two row blocks.
    Parities of hashed columns come first: rows differ in at least as many columns as
-   parities. For the pairs left overlaps are counted, of many pairs summed over slices of columns: pairs that can no longer reach their bound are dropped, rows
-   that are linked already are skipped, and only links come back.
+   parities. For the pairs left overlaps are summed over slices of columns: pairs that can no
+   longer reach their bound are dropped, rows that are linked already are skipped, and only links come back.
 4. In a very large cluster hubs of many rows are first multiplied with the rows they met, which links
    most groups of near copies in one pass over their rows, however large they are; step 3 follows
    where several components are left.
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import tidy
 from plumbline.llm.graph import components
 from plumbline.llm.ngrams import FACTORS, WordHashes, ascii_words, scramble, shingles
 from plumbline.llm.order import number_rows
@@ -51,8 +53,8 @@ HUB_ROWS = 64  # in a large cluster, hubs with fewer rows do not pay for moving
 STAR_BLOCKS = 8  # clusters of more blocks are linked by hubs first
 SLICE = 2048
 MOST_PARITIES = 8192
-FEW_PAIRS = 2048  # so many pairs are counted one by one
 MOST_BITS = 26
+CHUNK_KEYS = 1_000_000  # blocks that a task sorts at once
 KEPT_BYTES = 5  # of a block's hash within its range; a clash only costs a product
 
 
@@ -75,21 +77,30 @@ def most_differing(n: int, c: int, least: int) -> int:
     return (n + partner) * (100 - least) // (100 + least)
 
 
-def block_signatures(row: np.ndarray, least: int) -> np.ndarray:
-    """One number for each block of the row's columns, in each of its size classes."""
-    out = []
+def block_signatures(row: np.ndarray, least: int) -> tuple[np.ndarray, list[int]]:
+    """One number for each block of the row's columns, and the least numbers of them that a linked row shares.
+
+    The row takes part in one or two classes of sizes, one even and one odd; the numbers of
+    a class carry its parity as their lowest bit, and ``needs`` is for (even, odd). A linked row
+    differs in at most ``most_differing`` blocks, so it shares the other filled ones. Where these could be
+    fewer than two, blocks without any column count as well: then all but so many blocks are
+    shared, or the linked row has two filled ones to spare itself.
+    """
+    out, needs = [], [0, 0]
     mixed = scramble(row ^ np.uint64(FACTORS[4]))
     for c, blocks in size_classes(len(row), least):
         block = ((row >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         salt = np.uint64(c * FACTORS[1] & 0xFFFFFFFFFFFFFFFF)
         sums = np.add.reduceat(mixed, start)
-        out.append(scramble(sums + block[start].astype(np.uint64) * np.uint64(FACTORS[0]) + salt))
-        # with more filled blocks than columns may differ a filled block agrees in any case
-        if blocks - len(start) >= 2 and len(start) <= most_differing(len(row), c, least):
+        made = [scramble(sums + block[start].astype(np.uint64) * np.uint64(FACTORS[0]) + salt)]
+        needs[c & 1] = len(start) - most_differing(len(row), c, least)
+        if needs[c & 1] < 2:
             empty = np.setdiff1d(np.arange(blocks), block[start]).astype(np.uint64)
-            out.append(scramble(empty * np.uint64(FACTORS[2]) + salt))
-    return np.concatenate(out)
+            made.append(scramble(empty * np.uint64(FACTORS[2]) + salt))
+            needs[c & 1] = 2
+        out += [m & ~np.uint64(1) | np.uint64(c & 1) for m in made]
+    return np.concatenate(out), needs
 
 
 def parities(rows: list[np.ndarray], bits: int) -> np.ndarray:
@@ -109,27 +120,36 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], least: int) -> list[
     bits = min(MOST_PARITIES, max(256, 1 << int(max(a.max(), b.max()) - 1).bit_length()))
     p, q = parities(left, bits), parities(right, bits)
     alive &= p.sum(1)[:, None] + q.sum(1)[None, :] - 2 * (p @ q.T) <= a[:, None] + b[None, :] - 2 * need
-    i, j = np.nonzero(alive)
-    if len(i) <= FEW_PAIRS:
-        pairs = zip(i.tolist(), j.tolist())
-        return [(x, y) for x, y in pairs if len(np.intersect1d(left[x], right[y], assume_unique=True)) >= need[x, y]]
-    columns, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row = np.repeat(np.arange(len(a) + len(b)), np.r_[a, b])
-    by = np.argsort(at, kind="stable")
-    at, row = at[by], row[by]
-    edges = np.searchsorted(at, np.arange(0, len(columns) + SLICE, SLICE))
+    if not alive.any():
+        return []
+    at_left, at_right = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+    alive, need = alive[np.ix_(at_left, at_right)], need[np.ix_(at_left, at_right)]
+    live = [[left[i] for i in at_left], [right[j] for j in at_right]]
+    shared = np.intersect1d(*(np.unique(np.concatenate(rows)) for rows in live), assume_unique=True)
+    sides, to_come = [], []
+    for rows in live:  # entries in shared columns, by column
+        row, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        at = np.minimum(np.searchsorted(shared, column), max(0, len(shared) - 1))
+        held = shared[at] == column if len(shared) else np.zeros(len(column), bool)
+        row, at = row[held], at[held]
+        by = np.argsort(at, kind="stable")
+        sides.append((row[by], at[by]))
+        to_come.append(np.bincount(row, minlength=len(rows)))
     overlap = np.zeros(need.shape, np.float32)
-    to_come = np.r_[a, b].astype(np.int64)
-    for k in range(len(edges) - 1):
-        rows, cols = row[edges[k] : edges[k + 1]], at[edges[k] : edges[k + 1]] - k * SLICE
-        dense = np.zeros((len(a) + len(b), SLICE), np.float32)
-        dense[rows, cols] = 1
-        overlap += dense[: len(a)] @ dense[len(a) :].T
-        to_come -= np.bincount(rows, minlength=len(to_come))
-        alive &= overlap + np.minimum(to_come[: len(a), None], to_come[None, len(a) :]) >= need
+    for k in range(0, len(shared), SLICE):
+        dense = []
+        for (row, at), rest in zip(sides, to_come):
+            lo, hi = np.searchsorted(at, (k, k + SLICE))
+            d = np.zeros((len(rest), min(SLICE, len(shared) - k)), np.float32)
+            d[row[lo:hi], at[lo:hi] - k] = 1
+            rest -= np.bincount(row[lo:hi], minlength=len(rest))
+            dense.append(d)
+        overlap += dense[0] @ dense[1].T
+        alive &= overlap + np.minimum(to_come[0][:, None], to_come[1][None, :]) >= need
         if not alive.any():
             return []
-    return list(zip(*(x.tolist() for x in np.nonzero(alive))))
+    i, j = np.nonzero(alive & (overlap >= need))
+    return list(zip(at_left[i].tolist(), at_right[j].tolist()))
 
 
 def _rows(batches, width: int):
@@ -167,18 +187,6 @@ def _table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(lambda batches: _batches(rows(batches), schema), "_id long, n long, node long")
 
 
-def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the least id of each key, and distinct (hub, other) ids of keys that several have."""
-    by = np.lexsort((ids, key))
-    new = np.r_[True, key[by][1:] != key[by][:-1]]
-    heads = by[new]
-    hub = ids[heads][np.cumsum(new) - 1]
-    other = ids[by]
-    apart = hub != other
-    pairs = np.unique(np.stack([hub[apart], other[apart]], axis=1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
-    return heads, pairs[:, 0], pairs[:, 1]
-
-
 def _deltas(ids: np.ndarray) -> bytes:
     """Ascending ids as their first and the steps, in as few bytes as the largest step needs."""
     steps = np.diff(ids)
@@ -193,105 +201,162 @@ def _undeltas(raw: bytes) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(raw[1:9], np.int64), steps])
 
 
-def _meetings(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """Distinct (hub, _id), hub < _id, of documents that agree in a block: a star for each block that several share."""
+SINGLE, KNOWN, MET, NEEDS = range(4)  # what a packed row holds
+LOW_BITS = 8 * KEPT_BYTES
+
+
+def _memberships(docs: DataFrame, reps: DataFrame, width: int, least: int) -> DataFrame:
+    """(_id, keys, even, odd): the blocks that a row shares with another one, and its needs, of the rows ``reps`` (_id).
+
+    Copies of a row may take part; they only make keys look shared that are not.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * parts
-    schema = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
-
-    def deal(signatures, owners):
-        if not signatures:
-            return
-        key, ids = np.concatenate(signatures), np.concatenate(owners)
-        heads, u, v = _stars(key, ids)
-        rows = []
-        if len(u):
-            rows.append((int(u[0] % ranges), b"", u.tobytes() + v.tobytes()))  # met already
-        key, ids = key[heads], ids[heads]
-        place = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-        by = np.lexsort((ids, place))
+    slot, likely = _likely_filter(reps, 16)
+    schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+
+    def deal(signatures, owners, needs):
+        docs_of = np.array(owners, np.int64)
+        key, ids = np.concatenate(signatures), np.repeat(docs_of, [len(s) for s in signatures])
+        place = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        key = key & np.uint64((1 << LOW_BITS) - 1)
+        by = np.lexsort((ids, key, place))
         key, ids, place = key[by], ids[by], place[by]
-        edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-        low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            rows.append((int(place[a]), low[a:b].tobytes(), _deltas(ids[a:b])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+        times = np.diff(np.r_[head, len(key)])
+        spread = int(ids[0] % ranges)
+        rows = [(spread, NEEDS, np.array(needs, np.int64).tobytes(), docs_of.tobytes())]
+        met = np.repeat(times > 1, times)
+        if met.any():
+            whole = place[met] << LOW_BITS | key[met].astype(np.int64)
+            rows.append((spread, MET, whole.tobytes(), ids[met].tobytes()))
+        for kind, at in ((SINGLE, head[times == 1]), (KNOWN, head[times > 1])):
+            if len(at):
+                at = at[np.lexsort((ids[at], place[at]))]
+                low = np.ascontiguousarray(key[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES])
+                edge = np.flatnonzero(np.r_[True, place[at][1:] != place[at][:-1], True]).tolist()
+                for a, b in zip(edge, edge[1:]):
+                    rows.append((int(place[at[a]]), kind, low[a:b].tobytes(), b"" if kind == KNOWN else _deltas(ids[at[a:b]])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     def scatter(batches):
-        signatures, owners, held = [], [], 0
-        for doc, row in _rows(batches, width):
+        signatures, owners, needs, held = [], [], [], 0
+        for doc, row in _rows(likely(batches), width):
             if len(row):
-                signatures.append(block_signatures(row, least))
-                owners.append(np.full(len(signatures[-1]), doc, np.int64))
-                held += len(owners[-1])
-                if held >= 1_500_000:
-                    yield from deal(signatures, owners)
-                    signatures, owners, held = [], [], 0
-        yield from deal(signatures, owners)
+                made, (even, odd) = block_signatures(row, least)
+                signatures.append(made)
+                owners.append(doc)
+                needs.append(even | odd << 32)
+                held += len(made)
+                if held >= CHUNK_KEYS:
+                    yield deal(signatures, owners, needs)
+                    signatures, owners, needs, held = [], [], [], 0
+        if held:
+            yield deal(signatures, owners, needs)
+        tidy()
 
     def meet(batches):
-        names = ["hub", "_id"]
-        last, keys, ids = None, [], []
+        names = ["key", "_id", "needs"]
 
-        def close():
-            if keys:
-                raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEPT_BYTES)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :KEPT_BYTES] = raw
-                _, u, v = _stars(wide.view("<u8").ravel(), np.concatenate(ids))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+        def out(keys, ids, needs=None):
+            none = pa.nulls(len(ids), pa.int64())
+            return pa.RecordBatch.from_arrays([none if keys is None else pa.array(keys), pa.array(ids), none if needs is None else pa.array(needs)], names)
 
+        def close(place, keys, ids, known):
+            if keys:
+                each = [np.frombuffer(b"".join(k), np.uint8).reshape(-1, KEPT_BYTES) for k in (keys, known)]
+                wide = np.zeros((sum(map(len, each)), 8), np.uint8)
+                wide[:, :KEPT_BYTES] = np.concatenate(each)
+                key = wide.view("<u8").ravel()
+                _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+                n = len(each[0])
+                shared = times[where[:n]] > 1
+                if shared.any():
+                    yield out(place << LOW_BITS | key[:n][shared].astype(np.int64), np.concatenate(ids)[shared])
+
+        last, keys, ids, known = None, [], [], []
         for batch in batches:
-            for place, hashes, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for place, kind, packed, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if place != last:
-                    yield from close()
-                    last, keys, ids = place, [], []
-                if hashes:
-                    keys.append(hashes)
+                    yield from close(last, keys, ids, known)
+                    last, keys, ids, known = place, [], [], []
+                if kind == SINGLE:
+                    keys.append(packed)
                     ids.append(_undeltas(raw))
+                elif kind == KNOWN:
+                    known.append(packed)
                 else:
-                    both = np.frombuffer(raw, np.int64).reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names)
-        yield from close()
+                    values, owners = np.frombuffer(packed, np.int64), np.frombuffer(raw, np.int64)
+                    yield out(values, owners) if kind == MET else out(None, owners, values)
+        yield from close(last, keys, ids, known)
+        tidy()
+
+    packed = docs.select("_id", "text", slot).mapInArrow(scatter, "range int, kind int, keys binary, ids binary")
+    placed = packed.repartition(parts, "range").sortWithinPartitions("range")
+    met = placed.mapInArrow(meet, "key long, _id long, needs long")
+    rows = met.join(reps.select("_id"), "_id", "left_semi").groupBy("_id").agg(F.collect_list("key").alias("keys"), F.max("needs").alias("needs"))
+    return rows.filter(F.size("keys") > 0).select(
+        "_id", "keys", F.expr(f"cast(needs & {2**32 - 1}L as int)").alias("even"), F.expr("cast(shiftright(needs, 32) as int)").alias("odd")
+    )
 
-    packed = docs.mapInArrow(scatter, "range int, hashes binary, ids binary").repartition(parts, "range").sortWithinPartitions("range")
-    return packed.mapInArrow(meet, "hub long, _id long").distinct()
+
+def _meetings(docs: DataFrame, reps: DataFrame, width: int, least: int) -> DataFrame:
+    """Distinct (hub, _id), hub < _id, of rows ``reps`` (_id) that share enough blocks: a star for each block that several keep."""
+    rows = _memberships(docs, reps, width, least)
+    enough = [
+        F.expr(f"if(size(filter(keys, k -> (k & 1) = {bit})) >= {need}, transform(filter(keys, k -> (k & 1) = {bit}), k -> named_struct('key', k, 'need', {need})), null)")
+        for bit, need in ((0, "even"), (1, "odd"))
+    ]
+    none = F.array().cast("array<struct<key:bigint,need:int>>")
+    kept = rows.select("_id", F.explode(F.concat(*[F.coalesce(e, none) for e in enough])).alias("k"))
+    kept = settle(kept.select("_id", "k.key", "k.need"))
+    often = kept.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # the last need - 1 by (times, key) may be left out: a linked row shares need of them, so one that both keep
+    ordered = kept.join(often, "key").groupBy("_id", "need", F.expr("key & 1").alias("bit")).agg(
+        F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys")
+    )
+    first = F.expr("slice(keys, 1, greatest(0, size(keys) - need + 1))")
+    kept = settle(ordered.select("_id", F.explode(first).alias("k")).select("_id", "k.key"))
+    hubs = kept.groupBy("key").agg(F.min("_id").alias("hub"), F.max("_id").alias("most")).filter("hub < most").select("key", "hub")
+    return kept.join(hubs, "key").filter("hub < _id").select("hub", "_id").distinct()
 
 
-def _likely(ids: DataFrame, bits: int):
-    """A bitmap of 2**bits bits that has every id, and few others unless ids are very many; at most that many bits reach the driver."""
+def _likely_filter(ids: DataFrame, bits_each: int, most_bits: int = MOST_BITS):
+    """A column and a filter of batches on it, their last column, that lets all rows of ``ids`` (_id) pass, and few others.
+
+    The filter is a bitmap with so many bits for each id; at most ``most_bits`` bits reach
+    the driver and the tasks. Beyond that more and more other rows pass.
+    """
+    bits = min(most_bits, max(10, (bits_each * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
     words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")
-    ).collect()
+    )
     bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for w, b in words:
-        bitmap[w] = b
-    return ids.sparkSession.sparkContext.broadcast(bitmap)
+    held = words.toArrow()  # at most 2 ** (bits - 6) rows
+    bitmap[held["w"].to_numpy()] = held["b"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def likely(batches):
+        seen = shared.value
+        for batch in batches:
+            at = np.asarray(batch.column(batch.num_columns - 1))
+            yield batch.filter(pa.array(((seen[at >> 6] >> (at & 63)) & 1).astype(bool)))
+
+    return slot.alias("slot"), likely
 
 
 def _wanted_rows(docs: DataFrame, wanted: DataFrame, width: int, most_bits: int = MOST_BITS) -> DataFrame:
     """(_id, row) of the wanted documents and perhaps some others; texts are read where they lie."""
-    n = wanted.count()
-    bits = max(10, (512 * n).bit_length())
-    exact = bits > most_bits  # the bitmap would let too much through: a join has the last word
-    bits = min(bits, most_bits)
-    bitmap = _likely(wanted, bits)
+    exact = (512 * wanted.count()).bit_length() > most_bits  # the bitmap would let too much through: a join has the last word
+    slot, likely = _likely_filter(wanted, 512, most_bits)
     schema = pa.schema([("_id", pa.int64()), ("row", pa.list_(pa.int64()))])
 
-    def likely(batches):
-        seen = bitmap.value
-        for batch in batches:
-            slot = np.asarray(batch.column(2))
-            keep = (seen[slot >> 6] >> (slot & 63)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
-
     def rows(batches):
         for doc, row in _rows(likely(batches), width):
             yield doc, row.view(np.int64)
+        tidy()
 
-    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits)).alias("slot")
     found = docs.select("_id", "text", slot).mapInArrow(lambda batches: _batches(rows(batches), schema), "_id long, row array<long>")
     return found.join(wanted, "_id", "left_semi") if exact else found
 
@@ -404,12 +469,8 @@ def _roots(base: DataFrame, width: int, least: int) -> DataFrame:
     filled = table.filter("n > 0")
     classes = settle(filled.groupBy("node").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")))
 
-    own = filled.drop("n").join(classes, "node").select("_id", "rep")
-    met = _meetings(base, width, least)
-    for side in ("hub", "_id"):  # rows that are equal count once
-        met = met.join(own.select(F.col("_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
-    pairs = met.select(F.least("hub_rep", "_id_rep").alias("hub"), F.greatest("hub_rep", "_id_rep").alias("_id"))
-    pairs = settle(pairs.filter("hub < _id").distinct())
+    reps = classes.select(F.col("rep").alias("_id"))  # rows that are equal count once
+    pairs = settle(_meetings(base, reps, width, least))
     cluster = components(pairs.select(F.col("hub").alias("u"), F.col("_id").alias("v")))
     sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     lengths = classes.select(F.col("rep").alias("_id"), "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KEEP_WORDS = 500_000
+KEEP_WORDS = 200_000
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 

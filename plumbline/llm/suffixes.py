@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import raw_bytes, row_spans
+from plumbline.llm.batches import raw_bytes, row_spans, tidy
 from plumbline.llm.order import order_key
 from plumbline.session import settle
 
 LENGTH = 200
 GRAM = 64
 HOT = 5_000
-CHUNK = 1_000_000
-BLOCK_TOKENS = 120_000
+CHUNK = 1 << 18  # bytes of texts that a task looks at together; about 150 bytes of memory for each
+BLOCK_TOKENS = 60_000
+BATCH_BYTES = 4_000_000
 UNSET = -2
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -130,7 +131,7 @@ class Rolling:
     def load(self, buf: np.ndarray) -> None:
         n = len(buf)
         if len(self.up) < n + 1:
-            size = max(n + 1, CHUNK + 1)
+            size = n + 1
             self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, np.uint64(BASE))])
             self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, np.uint64(BASE_INVERSE))])
         self.sums = np.zeros(n + 1, np.uint64)
@@ -267,6 +268,7 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 times[by[new]] = np.minimum(2, np.diff(np.r_[np.flatnonzero(new), len(a)]))
                 cols = [a.view(np.int64), d.view(np.int64), _place(first, windows, anchor), ids[i:j][text], keys[i:j][text], times]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        tidy()
 
     return texts.filter(F.octet_length("text") >= length).select("_id", "_key", "text").mapInArrow(
         work, ", ".join(f"{n} long" for n in names)
@@ -274,26 +276,35 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _slices(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted contexts (a, d, place, _id, _key, n, kinds), cut from their texts."""
-    names = ["a", "place", "n", "kinds", "_id", "_key", "bytes"]
+    """The bytes of the wanted contexts (a, place, _id, _key, n), cut from their texts: a text travels once for all of its contexts."""
+    names = ["a", "place", "n", "_id", "_key", "bytes"]
     schema = pa.schema([(x, pa.int64()) for x in names[:-1]] + [("bytes", pa.binary())])
 
     def work(batches):
+        held, size = [], 0
         for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
-            place = np.asarray(batch.column(1))
-            lo = place >> 16
-            hi = lo + ((place >> 8) & 255) - 1 + length
-            buf, starts = raw_bytes(batch.column(6))
-            begin = starts[:-1] + lo
-            end = starts[:-1] + hi
-            cut = pa.array([buf[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[c.cast(pa.int64()) for c in cols], cut], schema=schema)
+            ids, keys, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            at = np.asarray(lists.offsets)
+            fields = [np.asarray(lists.values.field(k)) for k in range(3)]
+            buf, starts = raw_bytes(batch.column(3))
+            for i, (doc, key) in enumerate(zip(ids, keys)):
+                for a, place, n in zip(*(f[at[i] : at[i + 1]].tolist() for f in fields)):
+                    begin = starts[i] + (place >> 16)
+                    cut = buf[begin : begin + (place >> 8 & 255) - 1 + length].tobytes()
+                    held.append((a, place, n, doc, key, cut))
+                    size += len(cut) + 60
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+        tidy()
 
     # all columns of the texts, so that this join and the last one share one shuffle of them
     rest = [c for c in texts.columns if c not in ("_id", "_key", "text")]
-    joined = wanted.join(texts, ["_id", "_key"]).select("a", "place", "n", "kinds", "_id", "_key", "text", *rest)
-    return joined.mapInArrow(work, "a long, place long, n long, kinds long, _id long, _key long, bytes binary")
+    gathered = wanted.groupBy("_id", "_key").agg(F.collect_list(F.struct("a", "place", "n")).alias("_wanted"))  # no more than the text has
+    joined = gathered.join(texts, ["_id", "_key"]).select("_id", "_key", "_wanted", "text", *rest)
+    return joined.mapInArrow(work, "a long, place long, n long, _id long, _key long, bytes binary")
 
 
 def _by_suffixes(slices: DataFrame, length: int, block_tokens: int) -> DataFrame:
@@ -324,6 +335,7 @@ def _by_suffixes(slices: DataFrame, length: int, block_tokens: int) -> DataFrame
                 tokens += len(row[5]) // 8 + 2
         if block or group:
             yield from solve(block + group)
+        tidy()
 
     parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
@@ -344,7 +356,7 @@ def _by_counting(slices: DataFrame, length: int) -> DataFrame:
             a, place, n, doc, key = (np.asarray(batch.column(i)) for i in range(5))
             buf, starts = raw_bytes(batch.column(5))
             windows = place >> 8 & 255
-            for i, j in row_spans(starts, CHUNK // 8):
+            for i, j in row_spans(starts, CHUNK // 4):
                 row = np.repeat(np.arange(i, j), windows[i:j])
                 begin = np.cumsum(windows[i:j]) - windows[i:j]
                 at = np.arange(len(row)) - begin[row - i]
@@ -439,6 +451,7 @@ def _cut(joined: DataFrame, carry: list[str]) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(made)
             arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, made)]
             yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], [*[m[0] for m in made], *batch.schema.names[3:]])
+        tidy()
 
     return frame.mapInArrow(work, out)
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import tidy
 from plumbline.llm.ngrams import FACTORS, WordHashes, scramble
 
 BITS = 24
@@ -138,17 +139,19 @@ def score(docs: DataFrame, model, keep: list[str] = (), bits: int = BITS) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast((at, w))
 
     def work(batches):
-        at, w = shared.value
-        table = np.zeros(1 << bits, np.float32)
-        table[at] = w
+        at, w = shared.value  # ascending coordinates
+        weighty = np.zeros(1 << bits - 3, np.uint8)  # a bit for each coordinate: most have no weight
+        np.bitwise_or.at(weighty, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         hashes = WordHashes()
         for batch in batches:
-            scores = np.empty(batch.num_rows)
+            scores = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column(0)):
                 x = features(hashes.of(words_of(text.as_py() or "")), bits)
-                scores[i] = bias + float(table[x].sum(dtype=np.float64))
+                x = x[weighty[x >> 3] >> (x & 7).astype(np.uint8) & 1 > 0]
+                scores[i] += float(w[np.searchsorted(at, x)].sum(dtype=np.float64))
             p = 1.0 / (1.0 + np.exp(-np.clip(scores, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], [*batch.schema.names[1:], "score"])
+        tidy()
 
     frame = docs.select(F.col("text").alias("_text"), *keep)
     return frame.mapInArrow(work, frame.drop("_text").schema.add("score", "double"))

@@ -143,17 +143,17 @@ def test_large_clusters_in_blocks(spark, monkeypatch, star):
 
 @pytest.mark.parametrize("width,least", [(3, 90), (5, 80)])
 def test_large_clusters_by_class_and_parity(spark, monkeypatch, width, least):
-    for name, value in (("ROWS", 4), ("BLOCK_ROWS", 1), ("STAR_BLOCKS", 1), ("FEW_PAIRS", 1), ("SHORT", 4), ("BLOCK_VALUES", 256), ("HUB_ROWS", 3)):
+    for name, value in (("ROWS", 4), ("BLOCK_ROWS", 1), ("STAR_BLOCKS", 1), ("SHORT", 4), ("BLOCK_VALUES", 256), ("HUB_ROWS", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = sample(9, 150)
     got = ngram_join.jaccard_components(table(spark, rows), width, least).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect()), key=str) == components(rows, width, least)
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize("slice_of", [3, 2048])
 @pytest.mark.parametrize("least", [70, 80, 90])
-def test_rows_that_link_meet_and_survive_parities(monkeypatch, least, few):
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+def test_rows_that_link_share_their_needs_and_survive_parities(monkeypatch, least, slice_of):
+    monkeypatch.setattr(ngram_join, "SLICE", slice_of)
     rng = np.random.default_rng(least)
     apart = 0
     for _ in range(600):
@@ -167,7 +167,9 @@ def test_rows_that_link_meet_and_survive_parities(monkeypatch, least, few):
         link = 100 * both >= least * (len(a) + len(b) - both)
         assert bool(ngram_join.linked([a], [b], least)) == link
         if link:
-            assert len(np.intersect1d(ngram_join.block_signatures(a, least), ngram_join.block_signatures(b, least)))
+            (p, needs), (q, others) = (ngram_join.block_signatures(x, least) for x in (a, b))
+            met = np.intersect1d(p, q)
+            assert any(sum(met & np.uint64(1) == bit) >= max(needs[bit], others[bit]) >= 2 for bit in (0, 1) if needs[bit] and others[bit])
         else:
             apart += 1
     assert apart > 20
@@ -175,7 +177,7 @@ def test_rows_that_link_meet_and_survive_parities(monkeypatch, least, few):
 
 def test_prose_does_not_meet_by_empty_blocks():
     rng = np.random.default_rng(1)
-    sets = [ngram_join.block_signatures(np.unique(rng.integers(0, 2**64, 245, dtype=np.uint64)), 80) for _ in range(200)]
+    sets = [ngram_join.block_signatures(np.unique(rng.integers(0, 2**64, 600, dtype=np.uint64)), 80)[0] for _ in range(200)]
     assert len(np.unique(np.concatenate(sets))) == sum(map(len, sets))
 
 
