@@ -21,20 +21,29 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import text_chunks
+from plumbline.llm.batches import text_chunks, tidy
 
 END_MARK = "</w>"
 PLAIN_END = 0x250
-KEEP_WORDS = 600_000
+KEEP_WORDS, KEEP_LONG = 600_000, 64  # words that a task remembers, and the longest of them
 NEVER = 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _common_prefix(a: bytes, b: bytes, limit: int) -> int:
+    """How many of the first ``limit`` bytes of both are equal from the start."""
+    for k in range(limit):
+        if a[k] != b[k]:
+            return k
+    return limit
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -105,8 +114,8 @@ class TrieEncoder:
         r, a, b = self.parts[token]
         return self._border_holds(a, b, own=True) and all(t not in self.parts or self._reached(t) for t in (a, b))
 
-    def _last(self, word: bytes, upto: int, table: dict[bytes, int], lasts: list[int]) -> tuple[int, int]:
-        """(token, its length) that ends the encoding of word[:upto]; lasts[k] is that of word[:k]."""
+    def _last(self, word: bytes, upto: int, table: dict[bytes, int], lasts: array) -> tuple[int, int]:
+        """(token, its length) that ends the encoding of word[:upto]; lasts[k] is the token of word[:k]."""
         borders = self.borders
         for n in range(min(upto, self.longest), 0, -1):
             t = table.get(word[upto - n : upto])
@@ -123,21 +132,28 @@ class TrieEncoder:
         raise ValueError(f"no token ends {word[:upto]!r}")
 
     def encode_words(self, words) -> dict[bytes, list[int]]:
-        """Ids of each distinct word; words must not be empty."""
+        """Ids of each distinct word; words must not be empty.
+
+        On the path of the trie each prefix has its last token and that token's length, two
+        numbers whatever the word's length; a word's ids are read backwards along them.
+        """
         out = {}
-        lasts, codes, before = [-1], [()], b""
+        lasts, lengths, before = array("i", [-1]), array("i", [0]), b""
         for word in sorted(words):
-            top, same = min(len(word), len(before)) , 0
-            limit = min(top, len(lasts) - 1)
-            while same < limit and word[same] == before[same]:
-                same += 1
-            del lasts[same + 1 :], codes[same + 1 :]
+            limit = min(len(word), len(before), len(lasts) - 1)
+            same = _common_prefix(word, before, limit)
+            del lasts[same + 1 :], lengths[same + 1 :]
             for upto in range(same + 1, len(word)):
                 t, n = self._last(word, upto, self.inner, lasts)
                 lasts.append(t)
-                codes.append((*codes[upto - n], t))
+                lengths.append(n)
             t, n = self._last(word, len(word), self.ended, lasts)
-            out[word] = [*codes[len(word) - n], t]
+            ids, at = [t], len(word) - n
+            while at:
+                ids.append(lasts[at])
+                at -= lengths[at]
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
@@ -192,7 +208,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have no tokens. Every row gives a row, repeated ones
     too; an empty table gives none; other columns are not read. Memory is
-    bounded by a chunk of texts and KEEP_WORDS known words in a task.
+    bounded by a chunk of texts and KEEP_WORDS known words of KEEP_LONG characters
+    in a task, and is linear in the longest word.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -220,6 +237,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 text = b" ".join(map(text_of.__getitem__, words))
                 rows.append((doc, len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(text).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            for w in new:
+                if len(w) > KEEP_LONG:
+                    del ids_of[w], text_of[w]
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
 

@@ -15,6 +15,7 @@ same result. Padding is less than one sequence in each block.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -23,26 +24,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import tidy
+
 CAPACITY = 2048
 BLOCK_TOKENS = 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096  # attention equals the rest at 4096 tokens
 END = 1
 SPECIAL = "<|endoftext|>"
+LONG_BLANKS = 20_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "cost double, sequence_cost double"
 )
 
 
-def byte_encoder(ranks_path: str, pattern: str, special_id: int):
-    """text -> ids of a byte-level vocabulary given as ranks; the special string is its own id, as in the full tokenizer."""
+# The rank encoder keeps a place to turn back to for each blank of a run and dies of very long ones.
+LONG_GAP = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+
+def byte_encoder(ranks_path: str, pattern: str, special_id: int, full_path: str):
+    """text -> ids of a byte-level vocabulary; the special string is its own id.
+
+    The vocabulary is read as ranks, which is fast, and for texts with very long white space from
+    the full tokenizer's file, which gives the same ids for any text.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
 
+    full: list[Tokenizer] = []
+
     def encode(text: str) -> list[int]:
+        if len(text) >= LONG_BLANKS and LONG_GAP.search(text):
+            if not full:
+                full.append(Tokenizer.from_file(full_path))
+                full[0].no_truncation()
+                full[0].no_padding()
+            return full[0].encode(text, add_special_tokens=False).ids
         if SPECIAL in text:
             return enc.encode(text, allowed_special={SPECIAL})
         return enc.encode_ordinary(text)
@@ -100,7 +121,7 @@ def pack_block(ids: list, docs: list[np.ndarray], first: int, capacity: int, lin
 
 
 def pack(
-    docs: DataFrame, ranks_path: str, pattern: str, special_id: int, capacity: int = CAPACITY,
+    docs: DataFrame, ranks_path: str, pattern: str, special_id: int, full_path: str, capacity: int = CAPACITY,
     linear: float = LINEAR, quadratic: float = QUADRATIC, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """One row per piece of a document; see SCHEMA.
@@ -118,7 +139,7 @@ def pack(
     ])
 
     def work(batches):
-        encode = byte_encoder(ranks_path, pattern, special_id)
+        encode = byte_encoder(ranks_path, pattern, special_id, full_path)
         seq = TaskContext.get().partitionId() << 36
         ids, toks, held = [], [], 0
 
@@ -139,6 +160,7 @@ def pack(
                     yield flush()
         if ids:
             yield flush()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
 
@@ -146,4 +168,5 @@ def pack(
 def op1(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    ranks, full = (public_tokenizers.path(name) for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    return pack(docs, ranks, public_tokenizers.PATTERN, 50256, full)

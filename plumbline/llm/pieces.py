@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import text_chunks
+from plumbline.llm.batches import text_chunks, tidy
 
 BLANK = "▁"  # stands for a space
 KEEP_WORDS, KEEP_LONG = 400_000, 64  # parts that a task remembers, and the longest of them
@@ -218,6 +218,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 decoded = b"".join([b for _, b in got])[1:]  # the blank that the model puts in front
                 rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCHEMA)
 

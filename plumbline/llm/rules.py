@@ -2,11 +2,12 @@
 
 Two histograms of each document, of character classes and of common words, are
 compared with references of its language by Jensen-Shannon divergence (0: equal,
-1: disjoint). References come from the corpus: a language is a value of ``lang`` with
-at least LANGUAGE_SHARE of the rows, a common word one of at most COMMON_BYTES
-with at least COMMON_SHARE of its language's words, so both lists are bounded whatever the corpus. All other rows,
-and those without a language, are held against the whole corpus. Short texts
-are not judged by divergence: their histograms say little.
+1: disjoint). References come from the corpus: every value of ``lang`` with at least
+REFERENCE_CHARS code points has one for its classes, and with at least REFERENCE_WORDS words one for its
+common words, those with at least COMMON_SHARE of the language's words, so each list is bounded
+whatever the corpus. They are tables joined by ``lang``. Where a language has too
+little text for a reference, and for rows without a language, there is nothing to compare with and divergence
+says nothing; nor does it for short texts, whose histograms say little.
 
 Everything is SQL functions over the row; no text moves. Inside expressions a
 value that is used again is bound to a lambda's variable (``bind``), as Spark would
@@ -28,13 +29,11 @@ SYMBOLS = "#*$%&|<>"
 SENTENCE = ".,;:!?"
 PLAIN_GAP = rf"[\x20\x09-\x0D{SENTENCE}]+"
 CLASSES = ("lower", "space", "upper", "letter", "digit", "sentence", "symbol")
-LANGUAGE_SHARE = 0.01
+REFERENCE_CHARS, REFERENCE_WORDS = 50_000, 10_000
 COMMON_SHARE = 0.004
-COMMON_BYTES = 8  # a common word is short: longer ones are counted together, which keeps the table of counts small
 CLASS_LIMIT, CLASS_CHARS = 0.06, 200
 WORD_LIMIT, WORD_WORDS = 0.12, 80
 LEAST_WORDS = 50
-POOLED = "*"
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -106,14 +105,6 @@ def class_counts(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("classes", F.array(*counts)).drop(*[f"_left{i}" for i in range(len(patterns))])
 
 
-def by_language(value: dict[str, Column], lang: Column) -> Column:
-    out = None
-    for name, col in value.items():
-        if name != POOLED:
-            out = F.when(lang == name, col) if out is None else out.when(lang == name, col)
-    return value[POOLED] if out is None else out.otherwise(value[POOLED])
-
-
 def divergence(counts: Column, shares: Column) -> Column:
     """Jensen-Shannon divergence in bits between counts and reference shares; null without counts."""
     def term(x: Column, m: Column) -> Column:
@@ -135,41 +126,28 @@ def _plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), PLAIN_GAP), lambda w: w != "")
 
 
-def common_words(docs: DataFrame) -> dict[str, list[str]]:
-    """Common words of each language and of the whole corpus (``*``), most common first; bounded by the two shares."""
-    rows = docs.groupBy("lang").count().groupBy().agg(F.sum("count").alias("all")).first()["all"] or 0
-    if not rows:
-        return {POOLED: []}
-    langs = [
-        r.lang for r in docs.groupBy("lang").count().filter(F.col("lang").isNotNull() & (F.col("count") >= LANGUAGE_SHARE * rows)).collect()
-        if r.lang != POOLED
-    ]
-    named = F.when(F.col("lang").isin(langs), F.col("lang")) if langs else F.lit(None).cast("string")
-    short = F.transform(_plain_words(F.col("text")), lambda w: F.when(F.octet_length(w) <= COMMON_BYTES, w))
-    counts = settle(docs.select(named.alias("lang"), F.explode(short).alias("word")).groupBy("lang", "word").count())
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
-    every = sum(totals.values())
-    out = {name: [] for name in sorted(langs)}
-    counts = counts.filter(F.col("word").isNotNull())
-    pooled = counts.groupBy("word").agg(F.sum("count").alias("count")).filter(F.col("count") >= COMMON_SHARE * every)
-    least = by_language({**{k: F.lit(COMMON_SHARE * v) for k, v in totals.items() if k is not None}, POOLED: F.lit(float("inf"))}, F.col("lang"))
-    for r in counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "word").collect():  # at most 1 / COMMON_SHARE a language
-        out[r["lang"]].append(r["word"])
-    out[POOLED] = [r["word"] for r in pooled.orderBy(F.desc("count"), "word").collect()]
-    return out
-
-
-def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """doc_id, lang (a known one or ``*``) and all counts of every row."""
-    known = F.col("lang").isin([k for k in common if k != POOLED])
-    base = docs.withColumn("lang", F.when(known, F.col("lang")).otherwise(F.lit(POOLED)))
-    base = class_counts(base, "text").withColumn("words", words_of(F.col("text")))
-    base = repeat_words(base, "words", "n_repeat_words")
-    longest = max([0, *(len(w.encode()) for v in common.values() for w in v)])
-    lists = by_language({k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in common.items()}, F.col("lang"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """(lang, common, shares, longest): common words of each language, most common first, their shares and the rest's."""
+    words = docs.filter("lang is not null").select("lang", F.explode(_plain_words(F.col("text"))).alias("word"))
+    counts = settle(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
+    often = counts.join(totals, "lang").filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    lists = often.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))  # at most 1 / COMMON_SHARE
+    shares = F.transform("top", lambda t: -t["n"] / F.col("total"))
+    rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return settle(lists.select(
+        "lang", F.col("top.word").alias("common"), F.concat(shares, F.array(F.greatest(rest, F.lit(0.0)))).alias("shares"),
+        F.aggregate("top.word", F.lit(0), lambda a, w: F.greatest(a, F.octet_length(w))).alias("longest"),
+    ))
+
+
+def features(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id, lang, all counts of every row, and ``shares`` of its language's common words; ``commons`` is null where there are none."""
+    base = class_counts(docs, "text").withColumn("words", words_of(F.col("text")))
+    base = repeat_words(base, "words", "n_repeat_words").join(common, "lang", "left")
 
     def counts(pair: Column) -> Column:
-        hits = F.filter(pair["w"], lambda w: (F.octet_length(w) <= longest) & F.array_contains(pair["c"], w))
+        hits = F.filter(pair["w"], lambda w: (F.octet_length(w) <= pair["longest"]) & F.array_contains(pair["c"], w))
         return bind(
             F.struct(hits.alias("h"), pair["c"].alias("c"), F.size(pair["w"]).alias("n")),
             lambda x: F.concat(
@@ -177,6 +155,7 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
             ),
         )
 
+    pair = F.struct(_plain_words(F.col("text")).alias("w"), F.col("common").alias("c"), "longest")
     return base.select(
         "doc_id", "lang", F.char_length("text").cast("long").alias("n_chars"),
         F.size("words").cast("long").alias("n_words"),
@@ -185,48 +164,32 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         dup_lines(F.col("text")).alias("n_dup_lines"),
         "n_repeat_words",
         "classes",
-        bind(F.struct(_plain_words(F.col("text")).alias("w"), lists.alias("c")), counts).alias("commons"),
+        F.when(F.col("common").isNotNull(), bind(pair, counts)).alias("commons"),
+        F.col("shares").alias("common_shares"),
     )
 
 
-def references(table: DataFrame, common: dict[str, list[str]]) -> dict[str, dict[str, list[float]]]:
-    """Shares of character classes and common words in each language's rows (``*``: in all rows for classes)."""
-    def sums(col: str, n: int) -> list[Column]:
-        return [F.sum(F.get(col, F.lit(i))).alias(f"{col}{i}") for i in range(n)]
-
-    def shares(row, col: str, n: int) -> list[float]:
-        got = [float(row[f"{col}{i}"] or 0) for i in range(n)]
-        return [x / sum(got) if sum(got) else 1 / n for x in got]
-
-    widest = 1 + max(map(len, common.values()))
-    per = {r["lang"]: r for r in table.groupBy("lang").agg(*sums("classes", len(CLASSES)), *sums("commons", widest)).collect()}
-    whole = table.agg(*sums("classes", len(CLASSES))).first()
-    out = {}
-    for name, words in common.items():
-        row = per.get(name)
-        out[name] = {
-            "classes": shares(whole if name == POOLED else row, "classes", len(CLASSES)) if name == POOLED or row else [1 / len(CLASSES)] * len(CLASSES),
-            "commons": shares(row, "commons", len(words) + 1) if row else [1 / (len(words) + 1)] * (len(words) + 1),
-        }
-    return out
+def class_references(table: DataFrame) -> DataFrame:
+    """(lang, class_shares): shares of the character classes in each language's rows."""
+    sums = table.filter("lang is not null").groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
+    total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES))), F.col("c0"))
+    return sums.filter(total >= REFERENCE_CHARS).select("lang", F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))]).alias("class_shares"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, both divergences, kept, for every row.
 
-    A null text has no words; it and the empty text fail the base rule. A null or
-    rare language is judged by the whole corpus. Repeated rows give repeated
-    rows; an empty table gives none; columns other than doc_id, text and lang are not read.
+    A null text has no words; it and the empty text fail the base rule. Rows with a null
+    language, or one with too little text in the table, have null divergences and are judged
+    by the base rule alone. Repeated rows give repeated rows; an empty table gives none;
+    columns other than doc_id, text and lang are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    common = common_words(base)
-    table = settle(features(base, common))
-    refs = references(table, common)
-    array = lambda xs: F.array(*map(F.lit, xs))
-    against = lambda kind: by_language({k: array(v[kind]) for k, v in refs.items()}, F.col("lang"))
+    table = settle(features(base, common_words(base)))
     judged = (
-        table.withColumn("class_divergence", divergence(F.col("classes"), against("classes")))
-        .withColumn("word_divergence", divergence(F.col("commons"), against("commons")))
+        table.join(class_references(table), "lang", "left")
+        .withColumn("class_divergence", F.when(F.col("class_shares").isNotNull(), divergence(F.col("classes"), F.col("class_shares"))))
+        .withColumn("word_divergence", F.when(F.col("commons").isNotNull(), divergence(F.col("commons"), F.col("common_shares"))))
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
     odd_letters = (F.col("n_chars") >= CLASS_CHARS) & (F.coalesce("class_divergence", F.lit(0.0)) > CLASS_LIMIT)

@@ -4,7 +4,8 @@ Two character Markov models are trained from samples labelled by the patterns
 themselves: the values that the patterns find are random strings, all other long tokens of
 the corpus are ordinary ones. Every document counts. A long token is a secret if
 the log-likelihood ratio of its characters, random against ordinary, reaches
-``ODDS``. The added spans never touch the patterns' own.
+``ODDS``. The added spans never overlap the patterns' own: a token that these cut is
+scored in the parts they leave.
 """
 
 from __future__ import annotations
@@ -137,16 +138,26 @@ def train(docs: DataFrame) -> Markov:
 
 
 def find_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the patterns' spans and of the model's, in order of start, then kind."""
+    """(start, kind, end) of the patterns' spans and of the model's, in order of start, then kind.
+
+    A token that the patterns' spans cut is scored in the parts that they leave.
+    """
     base = base_spans(text)
     spans = [(s, k, e) for s, k, e, _, _ in base]
+    k = 0
     for m in TOKEN.finditer(text):
-        s, e = m.span()
-        token = m[0]
-        if token.isdigit() or any(s < b and a < e for a, _, b in spans):
-            continue  # a number is no secret
-        if model.score(token) >= ODDS:
-            spans.append((s, 3, e))
+        at, stop = m.span()
+        while k < len(base) and base[k][2] <= at:
+            k += 1
+        j = k
+        while at < stop:
+            while j < len(base) and base[j][2] <= at:
+                j += 1
+            upto = min(stop, max(at, base[j][0])) if j < len(base) else stop
+            part = text[at:upto]
+            if len(part) >= LONG and not part.isdigit() and model.score(part) >= ODDS:  # a number is no secret
+                spans.append((at, 3, upto))
+            at = stop if j >= len(base) or base[j][0] >= stop else max(at, base[j][2])
     return sorted(spans)
 
 
