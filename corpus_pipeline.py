@@ -53,7 +53,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    ranks, full = (public_tokenizers.path(name) for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, 50256, full)
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, fields: dict, text) -> DataFrame:
