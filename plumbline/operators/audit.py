@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.functions import text as T
 from plumbline.operators.ranking import cuts_of, value_cuts
@@ -101,40 +105,48 @@ def malformed_json(df: DataFrame, file: str, json: str) -> DataFrame:
     )
 
 
+def json_depth(json: Column) -> Column:
+    """How deep objects and lists of a JSON text are nested; brackets inside strings do not count."""
+    bare = F.regexp_replace(json, r'"(?:[^"\\]++|\\.)*+"', "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(bare, F.lit(r"([\[\]{}])")), start, step)["most"]
+
+
 def flatten_json(df: DataFrame, file: str, json: str, list_limit: int | None = None) -> DataFrame:
     """H3: every number of a nested JSON text as (file, path, value).
 
-    Opened one level at a time until only scalars are left; a level is stored
-    before the next is opened, so no level is parsed twice. Booleans and strings
-    are not numbers; lists are read whole, or up to ``list_limit`` elements. Texts that do not
-    parse give no rows here: ``malformed_json`` reports them.
+    One pass finds how deep the texts are nested; the rest is a single plan of so many
+    explodes, in which values without parts pass through, so no level is stored or
+    opened twice. Booleans and strings are not numbers; lists are read whole, or up to
+    ``list_limit`` elements. Texts that do not parse give no rows here: ``malformed_json`` reports them.
     """
     spark = df.sparkSession
-    level = df.select(F.col(file).alias("file"), F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
-    found = None
-    while True:
-        level = settle(level.withColumn("_kind", F.schema_of_variant("v")).where("_kind <> 'VOID'"))
-        scalars = level.where(F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")).select(
-            "file", "path", F.try_variant_get("v", "$", "double").alias("value")
-        )
-        found = scalars if found is None else found.unionByName(scalars)
-        nested = level.where(F.col("_kind").rlike("^(OBJECT|ARRAY)<"))
-        if nested.isEmpty():
-            return found
-        opened = nested.withColumn("_list", F.col("_kind").startswith("ARRAY")).lateralJoin(
-            spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value")
-        )
+    level = df.select(F.col(file).alias("file"), F.lit("").alias("path"), F.try_parse_json(json).alias("v"), F.col(json).alias("_json"))
+    level = level.where(F.col("v").isNotNull())
+    depth = level.agg(F.max(json_depth(F.col("_json")))).first()[0] or 0
+    level = level.drop("_json")
+    for _ in range(depth):
+        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "key", "value"))
         if list_limit is not None:
-            opened = opened.where(~F.col("_list") | (F.col("pos") < list_limit))
-        step = F.when(F.col("_list"), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(
+            opened = opened.where(F.col("pos").isNull() | F.col("key").isNotNull() | (F.col("pos") < list_limit))
+        step = F.when(F.col("pos").isNull(), "").when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(
             F.concat(F.lit("/"), F.col("key"))
         )
-        level = opened.select("file", F.concat("path", step).alias("path"), F.col("value").alias("v"))
+        part = F.when(F.col("pos").isNull(), F.col("v")).otherwise(F.col("value"))
+        level = opened.select("file", F.concat("path", step).alias("path"), part.alias("v"))
+    number = F.schema_of_variant("v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return level.where(number).select("file", "path", F.try_variant_get("v", "$", "double").alias("value"))
 
 
 # A number standing alone, its context window, contexts that name protocol
 # settings, settings that need no source, and the span read as calendar years.
-LITERAL_PATTERN = r"(?<![\w.\-])(\d+\.\d+|\d{2,})(?![\w.%])"
+NUMBER = r"(\d+\.\d+|\d{2,})(?![\w.%])"
+ALONE = r"(?<![\w.\-])"
 CONTEXT_BEFORE, CONTEXT_AFTER = 60, 30
 PROTOCOL_PATTERN = (
     r"epochs?|batch|learning rate|tokens?|characters?|rank|dropout|max(imum)? length"
@@ -145,42 +157,65 @@ KNOWN_SETTINGS = ("0.10", "0.25", "0.30", "0.15", "0.20", "0.85", "0.80", "0.05"
 YEARS = (1900, 2100)
 
 
+BLOCK = 64
+
+
+def running_starts(lengths: str) -> tuple[Column, Callable[[str], Column]]:
+    """Where each of consecutive pieces starts, from an array column of their lengths, in two steps.
+
+    The first column has the start of every BLOCK-th piece; the second, made from the first
+    one's name, all starts. An array that grows by one at a time is copied each
+    time: here only that of the blocks is.
+    """
+    n = f"size({lengths})"
+    sums = f"transform(sequence(0, greatest(0, ({n} - 1) div {BLOCK})), b -> aggregate(slice({lengths}, b * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + x))"
+    blocks = F.expr(f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
+
+    def starts(at: str) -> Column:
+        return F.expr(
+            f"transform({lengths}, (x, i) -> {at}[i div {BLOCK}] + aggregate(slice({lengths}, i div {BLOCK} * {BLOCK} + 1, i % {BLOCK}), 0, (a, y) -> a + y))"
+        )
+
+    return blocks, starts
+
+
 def extract_numbers(df: DataFrame, ids: list[str], text: str, skip_settings: bool = True) -> DataFrame:
     """H4: numeric literals of a text with their position.
 
     With ``skip_settings`` a literal is left out when it is a known setting, a
     year, or stands in a context that names one.
 
-    Texts are cut at every literal, and running lengths give the positions.
+    One pass of the pattern marks each literal, with its context beside it where that
+    is needed; the marked text is cut there, running lengths give the positions, and what
+    is left out goes before literals become rows, so a row carries no text.
     """
-    # the marks must not occur in the text itself; as long a stand-in keeps all positions
-    plain = F.translate(F.col(text), "\u0001\u0002", "\u0003\u0003")
-    marked = F.regexp_replace(plain, LITERAL_PATTERN, "\u0001$1\u0002")
-    head = F.split(marked, "\u0001")
-    clean = F.transform(head, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
-    starts = F.aggregate(
-        clean,
-        F.array(F.lit(0)),
-        lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)),
-    )
-    lit = F.element_at(F.split(F.col("_piece"), "\u0002"), 1)
-    out = (
-        df.select(*ids, text, head.alias("_h"), starts.alias("_s"))
-        .select(*ids, text, "_s", F.posexplode("_h").alias("_i", "_piece"))
-        .where("_i > 0")
-        .select(*ids, text, F.col("_s")[F.col("_i")].alias("pos"), lit.alias("literal"))
+    # the marks must not occur in the text itself, and a character is one unit of the pattern's; as long a stand-in keeps all positions
+    plain = F.regexp_replace(F.col(text), "[\u0001-\u0004]|[^\u0000-\uffff]", "\u0005")
+    if skip_settings:
+        near = rf"(?=\d)(?<=(?s:(\A.{{0,{CONTEXT_BEFORE - 1}}}|.{{{CONTEXT_BEFORE}}}))){NUMBER}(?=((?s:.{{0,{CONTEXT_AFTER}}})))"
+        marked = F.regexp_replace(plain, ALONE + near, "\u0001$1\u0002$2\u0003$3\u0004")
+    else:
+        marked = F.regexp_replace(plain, ALONE + NUMBER, "\u0001\u0002$1\u0003\u0004")
+    df = df.select(*ids, F.split(marked, "\u0001").alias("_pieces"))
+    # before, literal, after, rest of the text up to the next literal; the first piece is text alone
+    df = df.withColumn("_parts", F.transform("_pieces", lambda p: F.split(p, "[\u0002-\u0004]"))).drop("_pieces")
+    df = df.withColumn("_lengths", F.transform("_parts", lambda p: F.when(F.size(p) == 1, F.length(p[0])).otherwise(F.length(F.get(p, F.lit(1))) + F.length(F.get(p, F.lit(3))))))
+    blocks, starts = running_starts("_lengths")
+    df = df.withColumn("_blocks", blocks).withColumn("_starts", starts("_blocks"))
+    found = F.transform(
+        F.slice("_parts", F.lit(2), F.size("_parts")),
+        lambda p, i: F.struct(F.get(F.col("_starts"), i + 1).alias("pos"), p[1].alias("literal"), F.concat(p[0], p[1], p[2]).alias("context")),
     )
+    df = df.select(*ids, found.alias("_found"))
     if skip_settings:
-        start = F.greatest(F.lit(0), F.col("pos") - CONTEXT_BEFORE)
-        span = F.col("pos") + F.length("literal") + CONTEXT_AFTER - start
-        number = F.col("literal").cast("double")
-        year = ~F.col("literal").contains(".") & (number > YEARS[0]) & (number < YEARS[1])
-        out = out.where(
-            ~F.substring(F.col(text), start + 1, span).rlike(PROTOCOL_PATTERN)
-            & ~F.col("literal").isin(*KNOWN_SETTINGS)
-            & ~year
-        )
-    return out.select(*ids, "pos", "literal")
+        def wanted(x: Column) -> Column:
+            number = x["literal"].cast("double")
+            year = ~x["literal"].contains(".") & (number > YEARS[0]) & (number < YEARS[1])
+            return ~x["context"].rlike(PROTOCOL_PATTERN) & ~x["literal"].isin(*KNOWN_SETTINGS) & ~year
+
+        df = df.withColumn("_found", F.filter("_found", wanted))
+    slim = F.transform("_found", lambda x: F.struct(x["pos"].alias("pos"), x["literal"].alias("literal")))
+    return df.select(*ids, F.inline(slim))
 
 
 def decimals(literal: str | Column) -> Column:
@@ -188,32 +223,85 @@ def decimals(literal: str | Column) -> Column:
     return F.length(F.regexp_extract(c, r"\.(\d+)$", 1))
 
 
-def trace(literals: DataFrame, values: DataFrame) -> DataFrame:
-    """H5: which stored values print as a literal: as they are, without sign, or as a percentage.
+MOST_DECIMALS = 17  # beyond these a double has none
 
-    Values are rounded once per printed precision, so the match is an equality
-    join on (precision, number) instead of a comparison of all pairs. Equal
-    values and equal literals are combined first; the precisions are those that
-    literals have, up to 17 decimals, beyond which a double has none. Halves go to the even
-    neighbour. Unmatched literals come back with no value: they are the orphans.
+
+@F.pandas_udf(StringType())
+def printed(value: pd.Series, places: pd.Series) -> pd.Series:
+    """A double as it prints with so many decimals: the exact binary value, rounded once."""
+    return pd.Series([None if pd.isna(v) else f"{v:.{k}f}" for v, k in zip(value, places)], dtype="object")
+
+
+def shown_values(values: DataFrame, keys: list[str], value: str, places: list[int]) -> DataFrame:
+    """(keys, value, n_values, shown): the texts under which each distinct value can be printed.
+
+    A value prints as it is, without sign, or as a percentage up to 100, with each of
+    the numbers of decimals in ``places``. Texts are keys that any value has, however large.
     """
-    found = literals.where(decimals("literal") <= 17).select(decimals("literal").alias("k")).distinct().collect()
-    places = max([0, *(r.k for r in found)])
-    v = F.col("value")
-    forms = []
-    for k in sorted(r.k for r in found):
-        for x, percent in ((v, False), (F.abs(v), False), (v * 100, True)):
-            forms.append(
-                F.struct(F.lit(k).alias("k"), F.bround(x, k).cast(f"decimal(38,{places})").alias("x"), F.lit(percent).alias("pct"))
-            )
-    shown = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_values")).select("value", "n_values", F.inline(F.array(*forms))).where(
-        ~F.col("pct") | (F.col("x") <= 100)
+    forms = F.array(
+        F.struct(F.abs("value").alias("_x"), F.lit(False).alias("_percent")), F.struct((F.col("value") * 100).alias("_x"), F.lit(True).alias("_percent"))
     )
-    shown = shown.select("value", "n_values", "k", "x").distinct()
-    wanted = literals.groupBy("literal").agg(F.count(F.lit(1)).alias("n_uses")).select(
-        "literal", "n_uses", decimals("literal").alias("k"), F.col("literal").try_cast(f"decimal(38,{places})").alias("x")
+    each = values.select(*keys, F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(
+        F.count(F.lit(1)).alias("n_values")
     )
-    return wanted.join(shown, ["k", "x"], "left").select("literal", "n_uses", "value", "n_values")
+    each = each.select("*", F.explode(F.lit(places).cast("array<int>")).alias("_k")).select("*", F.inline(forms))
+    each = each.withColumn("shown", printed("_x", "_k"))
+    return each.where(~F.col("_percent") | (F.col("shown").try_cast("double") <= 100)).select(*keys, "value", "n_values", "shown").distinct()
+
+
+def as_printed(literal: str) -> Column:
+    """A literal without leading zeros, as ``printed`` writes it."""
+    return F.regexp_replace(F.col(literal), r"^0+(?=\d)", "")
+
+
+def _places(literals: DataFrame) -> list[int]:
+    """The numbers of decimals that occur, at most MOST_DECIMALS + 1 of them."""
+    rows = literals.select(decimals("literal").alias("k")).where(F.col("k") <= MOST_DECIMALS).distinct().collect()
+    return sorted(r.k for r in rows)
+
+
+def trace(literals: DataFrame, values: DataFrame) -> DataFrame:
+    """H5: which stored values print as a literal: as they are, without sign, or as a percentage.
+
+    Values are printed once for each number of decimals that literals have, so the match is
+    an equality join on the text instead of a comparison of all pairs. Literals are read
+    and counted once, and stored as counts. Unmatched literals come back with no value: they are the orphans.
+    """
+    wanted = settle(literals.groupBy("literal").agg(F.count(F.lit(1)).alias("n_uses")))
+    shown = shown_values(values, [], "value", _places(wanted))
+    return wanted.withColumn("shown", as_printed("literal")).join(shown, "shown", "left").select("literal", "n_uses", "value", "n_values")
+
+
+def named_in(sentence: str, names: list[str]) -> Column:
+    """The names that occur in a sentence, whatever their case."""
+    return F.filter(F.lit(names).cast("array<string>"), lambda n: F.contains(F.lower(F.col(sentence)), F.lower(n)))
+
+
+def trace_scoped(
+    literals: DataFrame, ids: list[str], sentence: str, values: DataFrame, key: str, value: str, names: dict[str, list[str]]
+) -> DataFrame:
+    """H5 by scope: (ids, literal, names, outcome) of every literal of every sentence.
+
+    ``names`` says which keys of ``values`` a name stands for: a key itself or all that
+    begin with it and an underscore. A literal is looked up among the values of the names its
+    sentence has, or among all where it has none: it is ``matched``, or only prints a value that
+    ``exists elsewhere``, or is an ``orphan``. Equal literals with equal names are looked up once.
+    """
+    prefixes = sorted({p for ps in names.values() for p in ps})
+    stands_for = F.create_map(*[x for n, ps in names.items() for x in (F.lit(n), F.lit(ps).cast("array<string>"))])
+    asked = literals.select(*ids, "literal", named_in(sentence, list(names)).alias("names"))
+    asked = settle(asked.withColumn("_cell", F.xxhash64("literal", "names")))
+    cells = settle(asked.select("_cell", "literal", "names").distinct())
+    of = F.filter(F.lit(prefixes).cast("array<string>"), lambda p: (F.col(key) == p) | F.startswith(F.col(key), F.concat(p, F.lit("_"))))
+    scoped = values.select(value, F.explode(F.concat(F.array(F.lit("")), F.coalesce(of, F.array().cast("array<string>")))).alias("_scope"))
+    shown = settle(shown_values(scoped, ["_scope"], value, _places(cells)).select("_scope", "shown").distinct())
+    looked = F.when(F.size("names") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.flatten(F.transform("names", lambda n: stands_for[n]))))
+    wanted = cells.select("_cell", "literal", as_printed("literal").alias("shown"), F.explode(F.concat(looked, F.array(F.lit("")))).alias("_scope"), F.col("names"))
+    own = (F.col("_scope") != "") | (F.size("names") == 0)
+    hits = wanted.join(shown, ["_scope", "shown"]).groupBy("_cell", "literal", "names").agg(F.max(own).alias("own"))
+    outcome = F.when(F.col("own"), "matched").when(F.col("own").isNotNull(), "exists elsewhere").otherwise("orphan")
+    decided = cells.join(hits, ["_cell", "literal", "names"], "left").select("_cell", "literal", "names", outcome.alias("outcome"))
+    return asked.join(decided, ["_cell", "literal", "names"]).select(*ids, "literal", "names", "outcome")
 
 
 def value_conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -348,6 +348,8 @@ def group_histogram(df: DataFrame, group: str, score: str, bins: int = 39) -> Da
     low, high = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
     if low is None:
         low = high = 0.0
+    if high == low:  # one value: all rows are in the first of bins of width 1
+        high = low + bins
     width = F.lit((high - low) / bins)
     at = F.least(F.lit(bins - 1), F.floor((F.col(score) - low) / width)).cast("int")
     counts = df.groupBy(group, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

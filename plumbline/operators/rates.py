@@ -234,13 +234,13 @@ def pr_certify(cells: DataFrame, keys: list[str], delta: float, ns: Column) -> D
         F.sum(F.col("_mass") * F.col("power")).alias("_pr")
     )
     always = least_bad("alpha", "n1") > F.col("n1")
-    return total.select(*keys, "n", F.when(always, F.lit(1.0)).otherwise(F.col("_pr")).alias("pred"))
+    return total.select(*keys, "n", F.when(always, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_pr"))).alias("pred"))
 
 
 def n_star(
     cells: DataFrame, keys: list[str], delta: float, target: float, step: int = BUDGET_STEP, first: int = FIRST_BUDGETS,
 ) -> DataFrame:
-    """The smallest budget in steps of ``step`` reaching ``target``; NULL without margin or success.
+    """The smallest budget in steps of ``step``, or the pool itself, reaching ``target``; NULL without margin or success.
 
     The searched range starts with budgets up to ``first`` and is doubled, for the cells
     still without an answer, until it passes their pool. Every budget of a range is tried, as the
@@ -250,6 +250,8 @@ def n_star(
     lo, hi, answers = 0, max(step, first // step * step), None
     while True:
         ns = F.filter(F.sequence(F.lit(lo + step), F.lit(hi), F.lit(step)), lambda n: n <= F.col("n_pool"))
+        census = (F.col("n_pool") > lo) & (F.col("n_pool") <= hi) & (F.col("n_pool") % step != 0)
+        ns = F.when(census, F.array_append(ns, F.col("n_pool"))).otherwise(ns)
         reached = pin(
             pr_certify(usable, keys, delta, ns)
             .where(F.col("pred") >= target)

@@ -58,12 +58,12 @@ def best_per_column(cells: DataFrame, exclude: list[str], column: str = "judge",
     )
 
 
-def lambda_sweep(rates: DataFrame, meta: DataFrame, levels: list[str], level: str = "rho") -> DataFrame:
-    """arm by contamination level, mean rate and certified seeds."""
+def lambda_sweep(rates: DataFrame, meta: DataFrame, levels: list[str], level: str = "rho", by: tuple[str, ...] = ()) -> DataFrame:
+    """arm by contamination level, mean rate (for each judge, with ``by``) and certified seeds."""
     def cells(value, prefix, fn):
         return [fn(F.when(F.col(level) == x, F.col(value))).alias(f"{prefix}_{x}") for x in levels]
 
-    means = rates.groupBy("arm").agg(*cells("flag_rate", "mean", F.avg))
+    means = rates.groupBy("arm", *by).agg(*cells("flag_rate", "mean", F.avg))
     certified = meta.withColumn("_c", F.col("certified").cast("bigint")).groupBy("arm").agg(*cells("_c", "certified", F.sum))
     return means.join(certified, "arm", "left")
 
@@ -79,8 +79,10 @@ def dose_table(rates: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def decile_profile(deciled: DataFrame, bad: str, demo: str, verdicts: DataFrame, ids: list[str]) -> DataFrame:
-    """F32: composition of each score decile, and its judges' rates."""
+def decile_profile(
+    deciled: DataFrame, bad: str, demo: str, verdicts: DataFrame, ids: list[str], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """F32: composition of each score decile, and its judges' rates (for each arm, with ``by``)."""
     from plumbline.operators.metrics import share
 
     comp = deciled.groupBy("decile").agg(
@@ -89,7 +91,7 @@ def decile_profile(deciled: DataFrame, bad: str, demo: str, verdicts: DataFrame,
     per_seed = (
         deciled.select("decile", *ids)
         .join(verdicts, ids)
-        .groupBy("decile", "judge", "seed")
+        .groupBy("decile", *by, "judge", "seed")
         .agg(share("flag").alias("flag_rate"))
     )
-    return comp.join(per_seed.groupBy("decile", "judge").agg(*mean_se("flag_rate")), "decile")
+    return comp.join(per_seed.groupBy("decile", *by, "judge").agg(*mean_se("flag_rate")), "decile")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame | pd.Series]
@@ -75,20 +75,33 @@ def tune_threshold(
 
     ``scored`` is long: one row per config and validation row. Thresholds are
     ``steps`` equal steps from the minimum, never the maximum; a row is flagged
-    when its score is above. The first best wins in config, then step order.
+    when its score is above. The first best wins in config, then step order. A
+    row is counted once, at the number of thresholds below its score; sums from above give all steps.
     """
     span = scored.groupBy(*configs).agg(F.min(score).alias("_a"), F.max(score).alias("_z"))
-    tau = F.col("_a") + (F.col("_z") - F.col("_a")) / steps * F.col("step")
-    tested = (
-        scored.join(span, configs)
-        .select(*configs, bad, score, "_a", "_z", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-        .withColumn("tau", tau)
+
+    def tau(step: Column) -> Column:
+        return F.col("_a") + (F.col("_z") - F.col("_a")) / steps * step
+
+    # how many thresholds lie below a score: from the step's arithmetic, then made exact by its neighbours
+    width = (F.col("_z") - F.col("_a")) / steps
+    about = F.floor((F.col(score) - F.col("_a")) / F.when(width > 0, width)).cast("int")
+    below = F.greatest(F.lit(0), F.coalesce(about, F.lit(0)) - 1)
+    for _ in range(3):
+        below = below + F.when((below < steps) & (tau(below) < F.col(score)), 1).otherwise(0)
+    counts = scored.join(span, configs).groupBy(*configs, "_a", "_z", below.alias("step")).agg(
+        F.count_if(F.col(bad)).alias("_bad"), F.count_if(~F.col(bad)).alias("_good")
+    )
+    # F1 changes only at steps where some score ends, so these are the candidates; at most steps + 1 rows a config
+    every = Window.partitionBy(*configs)
+    above = every.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *configs, "step", tau(F.col("step")).alias("tau"), F.coalesce(F.sum("_bad").over(above), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum("_good").over(above), F.lit(0)).alias("_fp"), F.sum("_bad").over(every).alias("_all"),
     )
-    hit = F.col(score) > F.col("tau")
-    tp = F.count_if(hit & F.col(bad))
-    wrong = F.count_if(hit != F.col(bad))
-    f1 = F.when(tp > 0, 2 * tp / (2 * tp + wrong)).otherwise(F.lit(0.0))
-    per_step = tested.groupBy(*configs, "step", "tau").agg(f1.alias("f1"))
+    tp = F.col("_tp")
+    f1 = F.when(tp > 0, 2 * tp / (tp + F.col("_fp") + F.col("_all"))).otherwise(F.lit(0.0))
+    per_step = counts.where(F.col("step") < steps).withColumn("f1", f1)
     best = F.min(F.struct((-F.col("f1")).alias("_f"), *configs, "step", "tau")).alias("_b")
     return per_step.agg(best).select(
         *[F.col(f"_b.{c}").alias(c) for c in configs],

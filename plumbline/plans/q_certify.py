@@ -424,7 +424,7 @@ TARGET = 0.5
 
 @query(
     "d16_n_star",
-    f"WITH {BASE}, {CELLS}, {pred_sql('range(10, 4001, 10)', '4000', 'WHERE margin > 0', 'n <= n_pool')} "
+    f"WITH {BASE}, {CELLS}, {pred_sql('CASE WHEN n_pool < 4000 THEN list_distinct(list_append(range(10, 4001, 10), n_pool)) ELSE range(10, 4001, 10) END', '4000', 'WHERE margin > 0', 'n <= n_pool')} "
     "SELECT c.*, s.n_star FROM cells c LEFT JOIN (SELECT pool, scorer, alpha, min(CASE WHEN pred >= 0.5 THEN n END)::BIGINT AS n_star FROM pred GROUP BY ALL) s USING (pool, scorer, alpha)",
     "u1 margin",
 )

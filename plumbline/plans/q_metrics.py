@@ -317,12 +317,12 @@ def f19(t):
     return M.tension(sel.join(p, "doc_id"), p, ["arm", "seed"], "unsafe", "req", 0.1)
 
 
-DOSED = "dosed AS (SELECT judge, seed, arm, CASE arm WHEN 'labels' THEN 0.1::DOUBLE WHEN 'certified' THEN 0.25::DOUBLE WHEN 'stratified' THEN 0.4::DOUBLE ELSE 0.54::DOUBLE END AS dose, flag_rate FROM rates WHERE arm <> 'full')"
+DOSED = "dosed AS (SELECT judge, seed, arm, CASE arm WHEN 'labels' THEN 0.1::DOUBLE WHEN 'certified' THEN 0.25::DOUBLE WHEN 'stratified' THEN 0.4::DOUBLE WHEN 'full' THEN 1.0::DOUBLE ELSE 0.54::DOUBLE END AS dose, flag_rate FROM rates)"
 
 
 def dosed(t: Tables):
-    dose = F.when(F.col("arm") == "labels", 0.1).when(F.col("arm") == "certified", 0.25).when(F.col("arm") == "stratified", 0.4).otherwise(0.54)
-    return rates(t).where("arm <> 'full'").withColumn("dose", dose)
+    dose = F.when(F.col("arm") == "labels", 0.1).when(F.col("arm") == "certified", 0.25).when(F.col("arm") == "stratified", 0.4)
+    return rates(t).withColumn("dose", dose.when(F.col("arm") == "full", 1.0).otherwise(0.54))
 
 
 @query(
@@ -388,14 +388,14 @@ RHO_SQL = "CASE WHEN seed = 0 THEN 'low' WHEN seed = 1 THEN 'mid' ELSE 'high' EN
 
 @query(
     "f26_lambda_sweep",
-    f"WITH {V.POOL}, {V.VERDICTS}, {RATES}, {SELECTIONS}, {META_SQL}, {REPORT_META}, r AS (SELECT *, {RHO_SQL} FROM rates WHERE judge = 'j1'), m AS (SELECT *, {RHO_SQL} FROM meta2), "
-    "a AS (SELECT arm, " + ", ".join(f"avg(CASE WHEN rho = '{x}' THEN flag_rate END) AS mean_{x}" for x in RHOS) + " FROM r GROUP BY arm), "
+    f"WITH {V.POOL}, {V.VERDICTS}, {RATES}, {SELECTIONS}, {META_SQL}, {REPORT_META}, r AS (SELECT *, {RHO_SQL} FROM rates), m AS (SELECT *, {RHO_SQL} FROM meta2), "
+    "a AS (SELECT arm, judge, " + ", ".join(f"avg(CASE WHEN rho = '{x}' THEN flag_rate END) AS mean_{x}" for x in RHOS) + " FROM r GROUP BY arm, judge), "
     "b AS (SELECT arm, " + ", ".join(f"sum(CASE WHEN rho = '{x}' THEN certified::INT END)::BIGINT AS certified_{x}" for x in RHOS) + " FROM m GROUP BY arm) SELECT * FROM a LEFT JOIN b USING (arm)",
     " ".join(f"mean_{x}" for x in RHOS),
 )
 def f26(t):
     rho = F.when(F.col("seed") == 0, "low").when(F.col("seed") == 1, "mid").otherwise("high")
-    return R.lambda_sweep(rates(t).where("judge = 'j1'").withColumn("rho", rho), report_meta(t).withColumn("rho", rho), list(RHOS))
+    return R.lambda_sweep(rates(t).withColumn("rho", rho), report_meta(t).withColumn("rho", rho), list(RHOS), by=("judge",))
 
 
 @query(
@@ -443,14 +443,14 @@ DECILES = f"dec AS (SELECT doc_id, unsafe, demo, (ntile(10) OVER (ORDER BY lex4
 @query(
     "f32_decile_profile",
     f"WITH {V.POOL}, {V.VERDICTS}, {DECILES}, c AS (SELECT decile, count(*) AS n, avg(unsafe::INT) AS bad_frac, avg(demo::INT) AS demo_share FROM dec GROUP BY decile), "
-    "s AS (SELECT decile, judge, seed, avg(flag::INT) AS r FROM dec JOIN verdicts ON item_no = doc_id WHERE arm = 'full' GROUP BY ALL), "
-    "j AS (SELECT decile, judge, avg(r) AS mean, stddev_samp(r) / sqrt(count(*)) AS se, count(*) AS n_seeds FROM s GROUP BY ALL) SELECT * FROM c JOIN j USING (decile)",
+    "s AS (SELECT decile, arm, judge, seed, avg(flag::INT) AS r FROM dec JOIN verdicts ON item_no = doc_id GROUP BY ALL), "
+    "j AS (SELECT decile, arm, judge, avg(r) AS mean, stddev_samp(r) / sqrt(count(*)) AS se, count(*) AS n_seeds FROM s GROUP BY ALL) SELECT * FROM c JOIN j USING (decile)",
     "bad_frac demo_share mean se",
 )
 def f32(t):
     dec = A.with_decile(V.pool(t), "lex4", V.IDS).select("doc_id", "unsafe", "demo", "decile")
-    v = V.verdicts(t).where("arm = 'full'").withColumnRenamed("item_no", "doc_id").select("doc_id", "judge", "seed", "flag")
-    return R.decile_profile(dec, "unsafe", "demo", v, V.IDS)
+    v = V.verdicts(t).withColumnRenamed("item_no", "doc_id").select("doc_id", "arm", "judge", "seed", "flag")
+    return R.decile_profile(dec, "unsafe", "demo", v, V.IDS, by=("arm",))
 
 
 # ---- lookups and audits
@@ -519,20 +519,30 @@ def h02l(t):
 
 
 def nested_json(t: Tables):
-    """Per event a nested document around its stored properties."""
+    """Per event a document around its stored properties: five levels deep, now and then a list of 70 numbers, and every 11th text cut short."""
+    many = F.when(F.col("event_id") % 50 == 0, 69).otherwise(0)
     j = F.concat(
         F.lit('{"props": '), F.col("props"), F.lit(', "user": {"id": '), F.col("user_id").cast("string"),
-        F.lit(', "ok": true, "name": "x1"}, "list": [1.5, [2, null], "3"]}'),
+        F.lit(', "ok": true, "name": "x1 [{"}, "list": [1.5, [2, null, {"deep": {"er": -3}}], "3"], "many": ['),
+        F.array_join(F.transform(F.sequence(F.lit(0), many), lambda i: (F.col("user_id") + i).cast("string")), ","), F.lit("]}"),
     )
-    return t.events.select("event_id", j.alias("json"))
+    return t.events.select("event_id", F.when(F.col("event_id") % 11 == 0, F.substring(j, 1, 30)).otherwise(j).alias("json"))
 
 
 @query(
     "h03_flatten_json",
-    "SELECT event_id AS file, unnest(['/props/k', '/user/id', '/list[0]', '/list[1][0]']) AS path, unnest([(props::JSON ->> '$.k')::DOUBLE, user_id::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS value FROM events",
+    "WITH fit AS (SELECT * FROM events WHERE event_id % 11 <> 0) "
+    "SELECT event_id AS file, unnest(['/props/k', '/user/id', '/list[0]', '/list[1][0]', '/list[1][2]/deep/er']) AS path, "
+    "unnest([(props::JSON ->> '$.k')::DOUBLE, user_id::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE, -3.0::DOUBLE]) AS value FROM fit "
+    "UNION ALL SELECT event_id, '/many[' || i || ']', (user_id + i)::DOUBLE FROM fit, range(0, 60) r(i) WHERE i = 0 OR event_id % 50 = 0",
 )
 def h03(t):
-    return H.flatten_json(nested_json(t), "event_id", "json")
+    return H.flatten_json(nested_json(t), "event_id", "json", list_limit=60)
+
+
+@query("h03_malformed_json", "SELECT event_id AS file, 'not JSON' AS error FROM events WHERE event_id % 11 = 0")
+def h03m(t):
+    return H.malformed_json(nested_json(t), "event_id", "json")
 
 
 # doubling every separator lets a plain pattern consume one on each side of a number
@@ -544,7 +554,20 @@ def h04(t):
     return H.extract_numbers(t.documents, ["doc_id"], "text", False).select("doc_id", "literal")
 
 
-@query("h04_extract_numbers_in_context", None)
+# the doubled text with a mark on each side of every number; a piece of it has whole pairs of separators only
+MARKED_SQL = "regexp_replace(regexp_replace(text, '([^\\w.\\-%])', '\\1\\1', 'g'), '(^|[^\\w.\\-])(\\d+\\.\\d+|\\d{2,})($|[^\\w.%])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+SETTINGS_SQL = ", ".join(f"'{x}'" for x in H.KNOWN_SETTINGS)
+
+
+@query(
+    "h04_extract_numbers_in_context",
+    rf"""WITH m AS (SELECT doc_id, text, string_split({MARKED_SQL}, chr(1)) AS p FROM documents),
+ l AS (SELECT doc_id, text, p, list_transform(p, lambda x: length(regexp_replace(replace(x, chr(2), ''), '([^\w.\-%])[^\w.\-%]', '\1', 'g'))) AS n FROM m),
+ e AS (SELECT doc_id, text, p, n, unnest(range(2, len(p) + 1)) AS i FROM l),
+ c AS (SELECT doc_id, text, list_sum(n[1:i - 1])::INT AS pos, string_split(p[i], chr(2))[1] AS literal FROM e)
+ SELECT doc_id, pos, literal FROM c WHERE literal NOT IN ({SETTINGS_SQL}) AND NOT (NOT contains(literal, '.') AND literal::DOUBLE > 1900 AND literal::DOUBLE < 2100)
+ AND NOT regexp_matches(substr(text, greatest(0, pos - 60) + 1, pos + length(literal) + 30 - greatest(0, pos - 60)), '{H.PROTOCOL_PATTERN}')""",
+)
 def h04c(t):
     return H.extract_numbers(t.documents, ["doc_id"], "text")
 
@@ -554,13 +577,32 @@ def h04c(t):
     f"WITH lit AS (SELECT unnest({NUM_SQL}) AS literal FROM documents), l AS (SELECT literal, count(*) AS n_uses, literal::DOUBLE AS x, "
     "CASE WHEN contains(literal, '.') THEN length(literal) - instr(literal, '.') ELSE 0 END AS k FROM lit GROUP BY literal), "
     "v AS (SELECT n_chars::DOUBLE AS value, count(*) AS n_values FROM documents GROUP BY n_chars) "
-    "SELECT literal, n_uses, value, n_values FROM l LEFT JOIN v ON k <= 4 AND (value = x OR (value * 100 = x AND x <= 100))",
+    "SELECT literal, n_uses, value, n_values FROM l LEFT JOIN v ON value = x OR (value * 100 = x AND x <= 100)",
 )
 def h05(t):
     lits = H.extract_numbers(t.documents, ["doc_id"], "text", False)
     return H.trace(lits, t.documents.select(F.col("n_chars").cast("double").alias("value")))
 
 
+@query(
+    "h05_trace_scoped",
+    f"""WITH d AS (SELECT doc_id, n_chars::DOUBLE AS value, coalesce(lang, '') AS lang, CASE WHEN lang IN ('en', 'de') THEN [lang] ELSE []::VARCHAR[] END AS names, text FROM documents),
+ v AS (SELECT DISTINCT lang, value FROM d), l AS (SELECT doc_id, names, unnest({NUM_SQL}) AS literal FROM d),
+ k AS (SELECT DISTINCT names, literal FROM l),
+ o AS (SELECT names, literal, max((len(names) = 0 OR list_contains(names, lang))::INT) AS own FROM k JOIN v
+  ON value = literal::DOUBLE OR (value * 100 = literal::DOUBLE AND literal::DOUBLE <= 100) GROUP BY ALL)
+ SELECT doc_id, literal, names, CASE WHEN own = 1 THEN 'matched' WHEN own = 0 THEN 'exists elsewhere' ELSE 'orphan' END AS outcome
+ FROM l LEFT JOIN o USING (names, literal)""",
+)
+def h05s(t):
+    """Numbers of texts against lengths of documents: of the language that the sentence names, elsewhere, or nowhere."""
+    docs = t.documents.withColumn("sentence", F.concat(F.lit("lang="), F.coalesce("lang", F.lit("?")), F.lit(";")))
+    found = H.extract_numbers(docs, ["doc_id", "sentence"], "text", False)
+    values = t.documents.select(F.concat_ws("_", "lang", "source").alias("key"), F.col("n_chars").cast("double").alias("value"))
+    scoped = H.trace_scoped(found, ["doc_id"], "sentence", values, "key", "value", {"lang=en;": ["en"], "lang=de;": ["de"]})
+    return scoped.withColumn("names", F.transform("names", lambda n: F.substring(n, 6, 2)))
+
+
 @query(
     "h06_value_conflicts",
     f"WITH {V.VERDICTS}, v AS (SELECT arm, judge, round(mean_score, 3) AS value FROM (SELECT arm, seed, judge, avg(score) AS mean_score FROM verdicts GROUP BY ALL)), "

@@ -449,11 +449,11 @@ def c03(t):
 
 @query(
     "c04_score_missing",
-    f"WITH {V.VERDICTS} SELECT model, judge, item_no, CASE WHEN judge = 'j1' AND seed < 2 THEN score ELSE 1 - score END AS score FROM verdicts WHERE judge IN ('j1', 'j2')",
+    f"WITH {V.VERDICTS} SELECT model, judge, item_no, CASE WHEN judge = 'j1' AND seed < 2 THEN score ELSE 1 - score END AS score FROM verdicts",
     "score",
 )
 def c04(t):
-    v = V.verdicts(t).where("judge in ('j1', 'j2')")
+    v = V.verdicts(t)
     cache = v.where("judge = 'j1' and seed < 2").select("model", "judge", "item_no", "score")
     return S.score_missing(v, cache, ["model", "judge"], lambda d: d.withColumn("score", 1 - F.col("score")))
 

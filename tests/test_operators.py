@@ -157,6 +157,67 @@ def test_numbers_with_context_and_tracing(spark):
     assert found == {("0.45", -0.4512), ("33.3", 0.333)}
 
 
+def test_json_nested_deep_with_brackets_in_strings(spark):
+    deep = {"a": [{"b": {"c": [[7]]}}, "[[[[{{", 'q"]'], "e": {}, "f": [], "n": None, "t": 0.5}
+    df = spark.createDataFrame([("f", json.dumps(deep)), ("g", "3"), ("bad", '{"x": 1')], "file string, json string")
+    got = {(r.file, r.path): r.value for r in H.flatten_json(df, "file", "json").collect()}
+    assert got == {("f", "/a[0]/b/c[0][0]"): 7.0, ("f", "/t"): 0.5, ("g", ""): 3.0}
+    assert H.flatten_json(df.where("file = 'bad'"), "file", "json").count() == 0
+
+
+def test_numbers_far_apart_many_and_among_wide_characters(spark):
+    import re
+
+    text = "😀 12.5 " + "é 77 \n" * 300 + "\u0001 and -31 32- 4.5% 1.2.3 v44 55 " + "😀" * 70 + " 6.25"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "no")], "id int, text string")
+    want = [(m.start(), m[1]) for m in re.finditer(r"(?<![\w.\-])(\d+\.\d+|\d{2,})(?![\w.%])", text, re.A)]
+    got = H.extract_numbers(df, ["id"], "text", False).collect()
+    assert sorted((r.pos, r.literal) for r in got) == want and len(want) > 300
+    assert sorted((r.pos, r.literal) for r in H.extract_numbers(df, ["id"], "text").collect()) == want
+    plan = H.extract_numbers(df, ["id"], "text")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("(?![") == 1
+
+
+def test_tracing_of_large_values_and_as_printed(spark):
+    literals = spark.createDataFrame([("12",), ("2.67",), ("2.68",), ("007",), ("0.12345678901234567",), ("27.6",), ("10000000000000000905969664",)], "literal string")
+    values = spark.createDataFrame([(12.0,), (1e25,), (2.675,), (-7.2,), (None,), (float("nan"),), (float("inf"),), (0.276,)], "value double")
+    got = {(r.literal, r.value) for r in H.trace(literals, values).collect()}
+    assert got == {("12", 12.0), ("2.67", 2.675), ("2.68", None), ("007", -7.2), ("0.12345678901234567", None), ("27.6", 0.276), ("10000000000000000905969664", 1e25)}
+
+
+def test_tracing_by_scope(spark):
+    rows = [(1, "Random reaches 0.45", "0.45"), (2, "certified reaches 0.45", "0.45"), (3, "Nothing named: 0.45", "0.45"), (4, "random 0.99", "0.99"),
+            (5, "certified and RANDOM 0.45", "0.45"), (5, "certified and RANDOM 0.45", "30"), (6, "top 0.45", "0.45")]
+    df = spark.createDataFrame(rows, "id int, sentence string, literal string")
+    values = spark.createDataFrame([("rand_s0", 0.45), ("randomised", 0.99), ("cert", 0.3), (None, 0.7)], "key string, value double")
+    names = {"random": ["rand"], "certified": ["cert"], "top": []}
+    got = {(r.id, r.literal): r.outcome for r in H.trace_scoped(df, ["id"], "sentence", values, "key", "value", names).collect()}
+    elsewhere = "exists elsewhere"
+    assert got == {(1, "0.45"): "matched", (2, "0.45"): elsewhere, (3, "0.45"): "matched", (4, "0.99"): elsewhere, (5, "0.45"): "matched", (5, "30"): "matched", (6, "0.45"): elsewhere}
+
+
+def test_threshold_sweep_against_trying_every_step(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, bool(rng.random() < 0.3), float(x)) for c, n in ((1, 400), (2, 30), (3, 5)) for x in np.round(rng.normal(size=n), 2)] + [(4, True, 1.0)]
+    best = None
+    for c in (1, 2, 3, 4):
+        s = np.array([x for k, _, x in rows if k == c])
+        y = np.array([b for k, b, _ in rows if k == c])
+        for step in range(100):
+            tau = s.min() + (s.max() - s.min()) / 100 * step
+            tp, wrong = int((y & (s > tau)).sum()), int((y != (s > tau)).sum())
+            f1 = 2 * tp / (2 * tp + wrong) if tp else 0.0
+            if best is None or f1 > best[3]:
+                best = (c, step, tau, f1)
+    got = S.tune_threshold(spark.createDataFrame(rows, "layer int, bad boolean, s double"), "bad", "s", ["layer"]).first()
+    assert (got.layer, got.step, got.tau, got.f1) == (best[0], best[1], pytest.approx(best[2]), pytest.approx(best[3]))
+
+
+def test_histogram_of_one_value(spark):
+    got = M.group_histogram(spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 2.0)], "g string, s double"), "g", "s").collect()
+    assert {(r.g, r.bin, r.n, r.density) for r in got} == {("a", 0, 2, 1.0), ("b", 0, 1, 1.0)}
+
+
 def test_best_cell_skips_self_scored_and_breaks_ties(spark):
     cells = spark.createDataFrame([("b", "j", 0.2), ("a", "j", 0.2), ("own", "j", 0.1), ("oracle", "j", 0.0)], "arm string, judge string, mean double")
     marked = Rep.mark_self_scored(cells, spark.createDataFrame([("own", "j")], "arm string, judge string"))

@@ -125,3 +125,12 @@ def test_false_certification_stays_below_delta(spark):
     seg = spark.createDataFrame(rows, "pool string, q100 int, n_pool bigint, n_sel bigint, k_sel bigint, lo bigint, seg bigint, seg_bad bigint")
     r = R.certification_rate(seg, ["pool"], [200], 400, [0.1], 0.1).first()
     assert r.false_rate == r.cert_rate and r.false_rate <= 0.13
+
+
+def test_the_whole_pool_is_a_budget(spark):
+    """Only labelling all 37 rows reaches the target; the chance is no more than 1."""
+    cells = spark.createDataFrame([("p", 37, 30, 4, 0.2, 1.0)], "cell string, n_pool long, n1 long, k1 long, alpha double, margin double")
+    chance = {r.n: r.pred for r in R.pr_certify(cells, ["cell"], 0.1, F.sequence(F.lit(1), F.lit(37))).collect()}
+    assert max(chance.values()) <= 1.0 and chance[37] == 1.0
+    target = (max(chance[10], chance[20], chance[30]) + 1.0) / 2
+    assert R.n_star(cells, ["cell"], 0.1, target).first().n_star == 37
