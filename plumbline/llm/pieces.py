@@ -9,8 +9,9 @@ prefix; a place from which no piece goes on is marked in a bitfield of failed
 positions and never tried again, and the piece before it is shortened. Work and memory are linear
 in the text, whatever its words look like.
 
-A text is first cut where no piece of the vocabulary can reach across: before white space that
-follows something else. The parts repeat, so each distinct one is encoded once. Characters outside the
+A text is first cut where no piece of the vocabulary reaches across (``_cut`` looks at all of them): before white
+space that follows something else, and between letters and other characters. The parts
+repeat, so each distinct one is encoded once. Characters outside the
 vocabulary are written as their bytes.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+from array import array
 from itertools import groupby
 
 import pyarrow as pa
@@ -59,8 +61,8 @@ class PieceEncoder:
         self.chars = frozenset(c for t in self.id for c in t)
         if not self.chars <= self.id.keys():
             raise ValueError("a character of a piece is no piece itself")
-        crosses = any(a != BLANK and b == BLANK for t in self.id for a, b in zip(t, t[1:]))
-        self.cut = None if crosses else re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.cut = self._cut()
+        self.length = [len(t) for t in self.text]
         self.longest = ahocorasick.Automaton()
         for t, i in self.id.items():
             self.longest.add_word(t, i)
@@ -69,6 +71,18 @@ class PieceEncoder:
         self.below: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    def _cut(self) -> re.Pattern | None:
+        """The parts of a text that no piece reaches across, each with the blanks before it; null if a piece goes on with a blank."""
+        beside = {(a, b) for t in self.id for a, b in zip(t, t[1:])}
+        if any(b == BLANK != a for a, b in beside):
+            return None
+        # ASCII characters that stand beside letters or others in some piece go with these; the rest stands apart from them
+        joined = {c for c in self.chars if c.isalpha() or not c.isascii()} - {BLANK}
+        while more := {c for pair in beside if joined.intersection(pair) for c in pair} - joined - {BLANK}:
+            joined |= more
+        apart = "".join(map(re.escape, sorted(self.chars - joined - {BLANK})))
+        return re.compile(f"{BLANK}*[{apart}]+|{BLANK}*[^{BLANK}{apart}]+|{BLANK}+")
+
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best pair again and again; of equal ones the leftmost."""
         parts = list(text)
@@ -111,27 +125,36 @@ class PieceEncoder:
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary."""
-        text, n = self.text, len(run)
+        length, pairs, n = self.length, self.pairs, len(run)
+        whole = self.id.get(run)
+        if whole is not None and self.reachable(whole):
+            return [whole]
         longest = [-1] * n
         for last, i in self.longest.iter(run):  # for each start, shorter matches come first
-            if self.reachable(i):
-                longest[last + 1 - len(text[i])] = i
+            if self.reached.get(i) or self.reachable(i):
+                longest[last + 1 - length[i]] = i
         failed = bytearray(n // 8 + 1)
         out: list[int] = []
-        pos, piece = 0, longest[0]
+        below = self.below
+        pos, piece, before = 0, longest[0], -1
         while pos < n:
-            end = pos + len(text[piece])
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                out.append(piece)
-                pos = end
-                piece = longest[pos] if pos < n else -1
-                continue
-            piece = self.shorter(piece)
+            end = pos + length[piece]
+            if not failed[end >> 3] >> (end & 7) & 1:
+                goes = before < 0 or pairs.get((before, piece))
+                if goes is None:
+                    goes = self.compatible(before, piece)
+                if goes:
+                    out.append(piece)
+                    pos, before = end, piece
+                    piece = longest[pos] if pos < n else -1
+                    continue
+            piece = below.get(piece) if piece in below else self.shorter(piece)
             while piece < 0:  # nothing goes on from here: shorten the piece before
                 failed[pos >> 3] |= 1 << (pos & 7)
-                before = out.pop()
-                pos -= len(text[before])
-                piece = self.shorter(before)
+                piece = out.pop()
+                pos -= length[piece]
+                piece = self.shorter(piece)
+                before = out[-1] if out else -1
         return out
 
     def parts(self, text: str) -> list[str]:
@@ -197,25 +220,27 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def work(batches):
         enc = PieceEncoder(path)
         begin, end = (i.to_bytes(4, "little") for i in (enc.begin, enc.end))
-        known: dict[str, tuple[bytes, bytes]] = {}
 
-        def coded(part: str) -> tuple[bytes, bytes]:
-            got = known.get(part)
-            if got is None:
+        class Coded(dict):
+            """part -> (ids, decoded text) as bytes, remembered if it is not long."""
+
+            def __missing__(self, part: str) -> tuple[bytes, bytes]:
                 ids = enc.encode_part(part)
-                got = b"".join(i.to_bytes(4, "little") for i in ids), enc.decode([enc.id[BLANK], *ids]).encode("utf-8", "surrogatepass")
+                text = part.replace(BLANK, " ") if enc.chars.issuperset(part) else enc.decode([enc.id[BLANK], *ids])
+                got = array("I", ids).tobytes(), text.encode("utf-8", "surrogatepass")
                 if len(part) <= KEEP_LONG:
-                    if len(known) >= KEEP_WORDS:
-                        known.clear()
-                    known[part] = got
-            return got
+                    if len(self) >= KEEP_WORDS:
+                        self.clear()
+                    self[part] = got
+                return got
 
+        known = Coded()
         for docs_of, texts in text_chunks(batches):
             rows = []
             for doc, text in zip(docs_of, texts):
-                got = [coded(p) for p in enc.parts(text)]
+                got = [known[p] for p in enc.parts(text)]
                 ids = b"".join([begin, *(a for a, _ in got), end])
-                decoded = b"".join([b for _, b in got])[1:]  # the blank that the model puts in front
+                decoded = b"".join([b for _, b in got])[1:]  # without the blank that the model puts in front
                 rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
         tidy()
