@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.batches import text_chunks, tidy
 
 BLANK = "▁"  # stands for a space
-KEEP_WORDS, KEEP_LONG = 400_000, 64  # parts that a task remembers, and the longest of them
+KEEP_WORDS, KEEP_LONG = 700_000, 64  # parts that a task remembers, and the longest of them
 KEEP_PAIRS = 1_000_000
 BROKEN = "�"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
