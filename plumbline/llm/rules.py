@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import settle
+from plumbline.session import pin, settle
 
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\r\u000b\f"
@@ -130,7 +130,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     """(lang, common, shares, longest): common words of each language, most common first, their shares and the rest's."""
     words = docs.filter("lang is not null").select("lang", F.explode(_plain_words(F.col("text"))).alias("word"))
     counts = settle(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
+    # pinned, as a join of unknown size would bring all words of a language into one task
+    totals = pin(counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS))
     often = counts.join(totals, "lang").filter(F.col("n") >= COMMON_SHARE * F.col("total"))
     lists = often.groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))  # at most 1 / COMMON_SHARE
     shares = F.transform("top", lambda t: -t["n"] / F.col("total"))
