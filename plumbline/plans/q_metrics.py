@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import arms as A
 from plumbline.operators import audit as H
+from plumbline.operators import certify as C
 from plumbline.operators import metrics as M
 from plumbline.operators import reports as R
+from plumbline.operators.sampling import calibration_draw
 from plumbline.plans import views as V
 from plumbline.plans.q_arms import META_SQL, SELECTIONS, meta, stored_selections
-from plumbline.plans.q_certify import scored_pools
+from plumbline.plans.q_certify import ALPHA, CAL_N, DELTA, scored_pools
 from plumbline.plans.q_pool import ANSWERS_SQL, GROUPED, REFUSAL_SQL, answers, grouped
 from plumbline.plans.registry import Tables, query
 
@@ -81,14 +84,53 @@ def f05(t):
     return R.arm_mean_se(rates(t))
 
 
-REPORT_META = "meta2 AS (SELECT CASE arm WHEN 'top' THEN 'certified' WHEN 'rejects' THEN 'stratified' ELSE arm END AS arm, seed, bad_frac, demo_share, bad_frac <= 0.1 AND n < 100 AS certified FROM meta)"
+# the calibration draws of three seeds as strata of one certificate, for the whole pool and for its parts
+SEEDED = (
+    "seeded AS (SELECT pool.*, seed FROM pool, unnest([0, 1, 2]) s(seed)), cal AS ("
+    + " UNION ALL ".join(f"SELECT * FROM (SELECT *, {x} AS seed FROM pool ORDER BY {V.keyed_sql('cal', x, 'doc_id')} LIMIT {CAL_N})" for x in (0, 1, 2))
+    + ")"
+)
+
+
+def _decided_sql(arm: str, delta: float, keys: tuple[str, ...]) -> str:
+    return (
+        f"SELECT '{arm}' AS arm, seed, bool_and(c) AS certified FROM (WITH {V.curve_sql('seeded', 'lex4', 'unsafe', keys)}, {V.audit_sql('cal', 'lex4', 'unsafe', keys)}, "
+        f"tests AS (SELECT *, {V.p_upper_sql('k', 'm', 'n_sel', str(ALPHA))} AS p FROM counts), {V.walk_sql('tests', f'p <= {delta}', keys)} "
+        f"SELECT {', '.join(keys)}, bool_or(deployed) AS c FROM audit GROUP BY ALL) GROUP BY seed"
+    )
+
+
+DECISIONS = f"{SEEDED}, decisions AS ({_decided_sql('certified', DELTA, ('seed',))} UNION ALL {_decided_sql('stratified', DELTA / 2, ('seed', 'req'))})"
+REPORT_META = (
+    f"{DECISIONS}, named AS (SELECT * REPLACE (CASE arm WHEN 'top' THEN 'certified' WHEN 'rejects' THEN 'stratified' ELSE arm END AS arm) FROM meta), "
+    "meta2 AS (SELECT arm, seed, bad_frac, demo_share, coalesce(certified, false) AS certified FROM named LEFT JOIN decisions USING (arm, seed))"
+)
+
+
+def decisions(t: Tables):
+    """Per certified arm and seed whether its certificate was given: in every stratum, where the arm has strata."""
+
+    def build():
+        p = V.pool(t).select("doc_id", "lex4", "unsafe", "req")
+        seeded = p.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEEDS])).alias("seed"))
+        cal = None
+        for s in V.SEEDS:
+            one = calibration_draw(p, CAL_N, s, V.IDS).withColumn("seed", F.lit(s))
+            cal = one if cal is None else cal.unionByName(one)
+        out = None
+        for arm, delta, strata in (("certified", DELTA, ["seed"]), ("stratified", DELTA / 2, ["seed", "req"])):
+            cuts = C.cutoffs(C.certify(seeded, cal, "lex4", "unsafe", ALPHA, delta, strata), strata)
+            part = cuts.groupBy(F.lit(arm).alias("arm"), "seed").agg(F.min("certified").alias("certified"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return t.stored("decisions", build)
 
 
 def report_meta(t: Tables):
     arm = F.when(F.col("arm") == "top", "certified").when(F.col("arm") == "rejects", "stratified").otherwise(F.col("arm"))
-    return meta(t).select(
-        arm.alias("arm"), "seed", "bad_frac", "demo_share", ((F.col("bad_frac") <= 0.1) & (F.col("n") < 100)).alias("certified")
-    )
+    named = meta(t).select(arm.alias("arm"), "seed", "bad_frac", "demo_share")
+    return named.join(decisions(t), ["arm", "seed"], "left").withColumn("certified", F.coalesce("certified", F.lit(False)))
 
 
 _J = ", ".join(f"max(CASE WHEN judge = '{j}' THEN mean END) AS {j}_mean, max(CASE WHEN judge = '{j}' THEN se END) AS {j}_se" for j in V.JUDGES)
@@ -122,17 +164,41 @@ def f07(t):
     return M.over_refusal(p, "label", "refusal", "harmful", ["model"])
 
 
-@query("f08_rouge_l", None, "rouge_l")
+# each match of a token is one position, descending within a token, so the longest increasing run of positions is the longest common
+# subsequence; the fold keeps the least last position of a run of each length
+PILES = "list_filter(acc, lambda p: p < e[1])"
+LCS_SQL = (
+    "len(list_reduce(list_prepend([]::BIGINT[], list_transform(flatten(list_transform(b, lambda y: list_reverse_sort(list_filter(range(1, len(a) + 1), lambda i: a[i] = y)))), lambda x: [x])), "
+    f"lambda acc, e: acc[1:len({PILES})] || e || acc[len({PILES}) + 2:]))"
+)
+TOKENS = "list_filter(string_split_regex(lower(coalesce({}, '')), '\\s+'), lambda x: x <> '')"
+
+
+@query(
+    "f08_rouge_l",
+    f"""WITH {V.QA}, g AS (SELECT conv_id, turn, unnest(['answer', 'echo']) AS model, unnest([response, prompt]) AS hyp FROM qa),
+ r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nr, response FROM qa),
+ p AS (SELECT model, g.conv_id, g.turn, {TOKENS.format('hyp')} AS a, {TOKENS.format('later.response')} AS b
+  FROM g JOIN r AS own ON own.conv_id = g.conv_id AND own.turn = g.turn JOIN r AS later ON later.conv_id = g.conv_id AND later.nr IN (own.nr + 1, own.nr + 2)),
+ s AS (SELECT *, {LCS_SQL} AS c FROM p),
+ best AS (SELECT model, conv_id, turn, max(CASE WHEN c > 0 THEN 2 * c / (len(a) + len(b)) ELSE 0.0 END) AS f FROM s GROUP BY ALL)
+ SELECT model, avg(f) AS rouge_l, count(*) AS n_prompts FROM best GROUP BY model""",
+    "rouge_l",
+)
 def f08(t):
-    """A conversation's first answer, and its first question, against its later answers; whole texts."""
+    """Every exchange's answer, and its question, against the answers of the next two exchanges of the conversation; whole texts."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
     qa = V.qa_pairs(t)
-    opening = qa.where("turn = 0")
+    # only ids and turns are numbered, so a long conversation's texts stay where they are
+    turns = qa.select("conv_id", "turn").select("*", *[F.lag("turn", k).over(order).alias(f"_{k}") for k in (1, 2)])
+    earlier = turns.select("conv_id", "turn", F.explode(F.array("_1", "_2")).alias("of")).where("of is not null")
+    key = lambda turn: F.concat_ws(":", "conv_id", turn).alias("exchange")
     sides = F.array(
         F.struct(F.lit("answer").alias("model"), "response"), F.struct(F.lit("echo").alias("model"), F.col("prompt").alias("response"))
     )
-    gens = opening.select("conv_id", F.inline(sides)).withColumn("item", F.col("conv_id"))
-    refs = qa.where("turn > 0").select("conv_id", "response")
-    return M.rouge_l(gens, refs, "conv_id", ["model"], "item")
+    gens = qa.select(key("turn"), F.inline(sides)).withColumn("item", F.col("exchange"))
+    refs = qa.join(earlier, ["conv_id", "turn"]).select(key("of"), "response")
+    return M.rouge_l(gens, refs, "exchange", ["model"], "item")
 
 
 @query(
