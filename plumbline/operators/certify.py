@@ -164,10 +164,39 @@ def certify(
     """
     strata = strata or []
     counts = audit_counts(pool, cal, score, {"k": _flag(bad)}, strata, grid)
+    return _tested(counts, alpha, delta, strata)
+
+
+def _tested(counts: DataFrame, alpha: float | Column, delta: float, strata: list[str]) -> DataFrame:
     audit = pin(counts.withColumn("_a", _number(alpha)).withColumn("p", p_upper("k", "m", "n_sel", "_a")).drop("_a"))
     return walk(audit, F.col("p") <= delta, strata)
 
 
+def certify_draws(
+    pool: DataFrame,
+    cal: DataFrame,
+    draw: str,
+    draws: list,
+    score: str,
+    bad: str,
+    alpha: float | Column,
+    delta: float,
+    strata: list[str] | None = None,
+    grid: tuple[int, ...] = GRID,
+) -> DataFrame:
+    """D4 for several calibration draws of one pool: one row per (draw, strata, grid point).
+
+    ``cal`` holds the rows of all draws, told apart by its column ``draw``; ``draws`` lists
+    the values wanted, so a draw without rows is refused rather than absent. The cutoffs
+    depend on the pool alone and are found once, whatever the number of draws.
+    """
+    keys = [draw, *(strata or [])]
+    taus = pin(grid_thresholds(pool, score, strata, grid)).withColumn(draw, F.explode(F.array(*[F.lit(d) for d in draws])))
+    labels = kept_counts(cal, score, taus, {"m": F.lit(1).cast("bigint"), "k": _flag(bad)}, keys, grid)
+    counts = taus.join(labels, [*keys, "q100"], "left").fillna({"m": 0, "k": 0})
+    return _tested(counts, alpha, delta, keys)
+
+
 def certify_first(
     pool: DataFrame, cal: DataFrame, score: str, bad: str, alpha: float | Column, delta: float,
     strata: list[str] | None = None,

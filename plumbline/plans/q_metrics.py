@@ -112,14 +112,14 @@ def decisions(t: Tables):
 
     def build():
         p = V.pool(t).select("doc_id", "lex4", "unsafe", "req")
-        seeded = p.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEEDS])).alias("seed"))
         cal = None
         for s in V.SEEDS:
             one = calibration_draw(p, CAL_N, s, V.IDS).withColumn("seed", F.lit(s))
             cal = one if cal is None else cal.unionByName(one)
         out = None
-        for arm, delta, strata in (("certified", DELTA, ["seed"]), ("stratified", DELTA / 2, ["seed", "req"])):
-            cuts = C.cutoffs(C.certify(seeded, cal, "lex4", "unsafe", ALPHA, delta, strata), strata)
+        for arm, delta, strata in (("certified", DELTA, []), ("stratified", DELTA / 2, ["req"])):
+            audit = C.certify_draws(p, cal, "seed", list(V.SEEDS), "lex4", "unsafe", ALPHA, delta, strata)
+            cuts = C.cutoffs(audit, ["seed", *strata])
             part = cuts.groupBy(F.lit(arm).alias("arm"), "seed").agg(F.min("certified").alias("certified"))
             out = part if out is None else out.unionByName(part)
         return out

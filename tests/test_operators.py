@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import audit as H
+from plumbline.operators import certify as C
 from plumbline.operators import metrics as M
 from plumbline.operators import pools as P
 from plumbline.operators import reports as Rep
@@ -261,3 +262,41 @@ def test_intermediates_leave_nothing(spark):
         path = kept.inputFiles()[0].removeprefix("file://")
         assert kept.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_certificates_of_several_draws_equal_single_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(0, 40)), bool(rng.random() < 0.1), "a" if i % 3 else "b") for i in range(400)]
+    pool = spark.createDataFrame(rows, "id int, s double, bad boolean, part string")
+    cals = {d: pool.where(F.col("id") % 5 == d) for d in (0, 1)}
+    cal = cals[0].withColumn("draw", F.lit(0)).unionByName(cals[1].withColumn("draw", F.lit(1)))
+    for strata in ([], ["part"]):
+        got = C.certify_draws(pool, cal, "draw", [0, 1, 7], "s", "bad", 0.25, 0.1, strata).toPandas()
+        order = [*strata, "q100"]
+        for d in (0, 1):
+            want = C.certify(pool, cals[d], "s", "bad", 0.25, 0.1, strata).toPandas()
+            one = got[got.draw == d].drop(columns="draw").sort_values(order).reset_index(drop=True)
+            want = want[one.columns].sort_values(order).reset_index(drop=True)
+            assert one.equals(want) and want.passed.any()
+        none = got[got.draw == 7]
+        assert len(none) == len(got) / 3 and not none.passed.any() and (none.m == 0).all()
+
+
+def test_rouge_of_hot_prompts_and_empty_texts(spark):
+    """One prompt with most of the rows, null and empty texts, and repeated references: as the table has it."""
+    rng = np.random.default_rng(7)
+    words = lambda: " ".join(rng.choice(list("abcde"), rng.integers(0, 9)))
+    gens = [("m", i, "hot" if i < 12 else "cold", words() if i % 5 else None) for i in range(16)]
+    refs = [("hot", words()) for _ in range(6)] + [("cold", ""), ("cold", None), ("cold", "a b"), ("cold", "a b")]
+
+    def f1(a, b):
+        a, b = (a or "").split(), (b or "").split()
+        c = dp_lcs(a, b) if a and b else 0
+        return 2 * c / (len(a) + len(b)) if c else 0.0
+
+    want = np.mean([max(f1(h, r) for q, r in refs if q == p) for _, _, p, h in gens])
+    got = M.rouge_l(
+        spark.createDataFrame(gens, "model string, item int, prompt string, response string"),
+        spark.createDataFrame(refs, "prompt string, response string"), "prompt", ["model"], "item",
+    ).first()
+    assert got.n_prompts == 16 and got.rouge_l == pytest.approx(want)
