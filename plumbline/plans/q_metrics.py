@@ -19,26 +19,15 @@ from plumbline.plans.q_pool import ANSWERS_SQL, GROUPED, REFUSAL_SQL, answers, g
 from plumbline.plans.registry import Tables, query
 
 
-def auroc_sql(src: str, score: str, label: str, keys: str = "") -> str:
-    part = f"PARTITION BY {keys}" if keys else ""
-    k = f"{keys}, " if keys else ""
-    g = f"GROUP BY {keys}" if keys else ""
-    return (
-        f"SELECT {k}(sum(CASE WHEN pos THEN r END) - np * (np + 1) / 2) / (np * nn) AS auroc FROM (SELECT {k}{label} AS pos, "
-        f"rank() OVER ({part} ORDER BY {score}) + (count(*) OVER ({'PARTITION BY ' + k + score}) - 1) / 2 AS r, "
-        f"sum(({label})::INT) OVER ({part})::DOUBLE AS np, sum((NOT {label})::INT) OVER ({part})::DOUBLE AS nn FROM {src}) {g + ', np, nn' if g else 'GROUP BY np, nn'}"
-    )
-
-
 SCORED_SAFE = "scored AS (SELECT 'docs' AS pool, 'lex4' AS scorer, lex4 AS score, NOT unsafe AS safe FROM pool UNION ALL SELECT 'docs', 'lex8', lex8, NOT unsafe FROM pool UNION ALL SELECT 'docs', 'len', len_score, NOT unsafe FROM pool UNION ALL SELECT 'events', 'value', score, NOT unsafe FROM big)"
 
 
-@query("f01_auroc", f"WITH {V.POOL}, {V.BIG}, {SCORED_SAFE} {auroc_sql('scored', 'score', 'safe', 'pool, scorer')}", "auroc")
+@query("f01_auroc", f"WITH {V.POOL}, {V.BIG}, {SCORED_SAFE} {V.auroc_sql('scored', 'score', 'safe', 'pool, scorer')}", "auroc")
 def f01(t):
     return M.auroc(scored_pools(t).withColumn("safe", ~F.col("unsafe")), "score", "safe", ["pool", "scorer"])
 
 
-@query("f01_auroc_lineitem", f"WITH {V.HUGE} {auroc_sql('huge', 'score', 'unsafe')}", "auroc")
+@query("f01_auroc_lineitem", f"WITH {V.HUGE} {V.auroc_sql('huge', 'score', 'unsafe')}", "auroc")
 def f01h(t):
     return M.auroc(V.pool_huge(t), "score", "unsafe")
 

@@ -462,16 +462,54 @@ def vecs(t: Tables):
     return t.embeddings.select("vec_id", "embedding", F.col("label").isin(0, 1).alias("unsafe"))
 
 
-@query("c05_spectral_scores", None, "s1 s2 s3 s4")
+def spectral_sql(layers: dict[str, str], k: int) -> str:
+    """``scores``: by repeated squaring of the covariance, whose columns become the leading direction, and deflation."""
+    union = " UNION ALL ".join(f"SELECT '{n}' AS layer, vec_id, label IN (0, 1) AS unsafe, {x} AS x FROM embeddings" for n, x in layers.items())
+    square = "list_transform(w, lambda a: list_transform(w, lambda b: list_dot_product(a, b)))"
+    scale = "list_max(list_transform(q, lambda a: list_max(a)))"
+    column = "w[list_position(diag, list_max(diag))]"
+    return f"""RECURSIVE vecs AS ({union}),
+cells AS (SELECT layer, vec_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM vecs),
+centred AS (SELECT layer, vec_id, i, a - avg(a) OVER (PARTITION BY layer, i) AS a FROM cells),
+cov AS (SELECT p.layer, p.i, q.i AS j, sum(p.a * q.a) AS s FROM centred p JOIN centred q USING (layer, vec_id) GROUP BY ALL),
+start AS (SELECT layer, list(r ORDER BY i) AS b FROM (SELECT layer, i, list(s ORDER BY j) AS r FROM cov GROUP BY layer, i) GROUP BY layer),
+walk(layer, step, b, w, found) AS (
+ SELECT layer, 0, b, b, []::DOUBLE[][] FROM start
+ UNION ALL
+ SELECT layer, step + 1, b, CASE WHEN v IS NULL THEN list_transform(q, lambda a: list_transform(a, lambda y: y / top)) ELSE b END, found
+ FROM (SELECT layer, step, v, q, {scale} AS top, CASE WHEN v IS NULL THEN found ELSE list_append(found, v) END AS found,
+   CASE WHEN v IS NULL THEN b ELSE list_transform(b, lambda a, i: list_transform(a, lambda y, j: y - size * v[i] * v[j])) END AS b
+  FROM (SELECT *, CASE WHEN v IS NOT NULL THEN list_dot_product(v, list_transform(b, lambda a: list_dot_product(a, v))) END AS size,
+    CASE WHEN v IS NULL THEN {square} END AS q
+   FROM (SELECT *, CASE WHEN (step + 1) % 41 = 0 THEN list_transform(c, lambda y: y / len_) END AS v
+    FROM (SELECT *, sqrt(list_dot_product(c, c)) AS len_
+     FROM (SELECT *, {column} AS c FROM (SELECT *, list_transform(w, lambda a, i: a[i]) AS diag FROM walk WHERE step < {41 * k}))))))),
+dots AS (SELECT layer, vec_id, g.j, sum(a * found[g.j][i]) AS z FROM centred JOIN (SELECT layer, found FROM walk WHERE step = {41 * k}) USING (layer), range(1, {k + 1}) g(j) GROUP BY ALL),
+scores AS (SELECT layer, vec_id, unsafe, j AS k, sum(z * z) OVER (PARTITION BY layer, vec_id ORDER BY j) / j AS score FROM dots JOIN vecs USING (layer, vec_id))"""
+
+
+@query(
+    "c05_spectral_scores",
+    f"WITH {spectral_sql({'values': 'embedding::DOUBLE[]'}, 4)} SELECT vec_id, unsafe, "
+    + ", ".join(f"max(score) FILTER (k = {k}) AS s{k}" for k in range(1, 5)) + " FROM scores GROUP BY vec_id, unsafe",
+    "s1 s2 s3 s4",
+)
 def c05(t):
     return X.spectral_scores(vecs(t), "embedding", 4).select("vec_id", "unsafe", "s1", "s2", "s3", "s4")
 
 
-@query("c06_spectral_auc", None, "auroc")
+SQUARES_SQL = "list_transform(embedding::DOUBLE[], lambda y: y * y)"
+
+
+@query(
+    "c06_spectral_auc",
+    f"WITH {spectral_sql({'values': 'embedding::DOUBLE[]', 'squares': SQUARES_SQL}, 4)} {V.auroc_sql('scores', 'score', 'unsafe', 'layer, k')}",
+    "auroc",
+)
 def c06(t):
-    full = vecs(t)
-    squares = full.withColumn("embedding", F.transform("embedding", lambda x: x * x))
-    return X.spectral_auc({"values": full, "squares": squares}, "embedding", "unsafe", ["vec_id"], [1, 2, 3, 4])
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    both = vecs(t).withColumn("squares", F.transform(x, lambda v: v * v))
+    return X.spectral_auc(both, {"values": "embedding", "squares": "squares"}, "unsafe", [1, 2, 3, 4])
 
 
 @query(

@@ -55,6 +55,28 @@ def test_spectral_scores_match_svd(spark):
         assert np.allclose(got[f"s{k}"], ((c @ vt[:k].T) ** 2).sum(1) / k)
 
 
+def test_spectral_layers_in_one_pass_with_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(200, 6)) @ np.diag([4, 3, 2, 1, 0.5, 0.2]) + 1000
+    y = rng.normal(size=(200, 4)) @ np.diag([3, 2, 1, 0.5])
+    rows = [(i, i % 3 == 0, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(z, y))]
+    odd = [(200, True, None, None), (201, False, [float("nan")] * 6, [1.0, None, 1.0, 1.0]), (202, True, [float("inf")] * 6, None)]
+    df = spark.createDataFrame(rows + odd, "id int, bad boolean, v array<double>, w array<double>").repartition(5)
+    got = X.layer_scores(df, {"a": "v", "b": "w"}, 2, ["id"]).toPandas().set_index(["layer", "k", "id"]).score
+    assert len(got) == 2 * 2 * 203
+    for name, x in (("a", z), ("b", y)):
+        c = x - x.mean(0)
+        vt = np.linalg.svd(c, full_matrices=False)[2]
+        for k in (1, 2):
+            one = got[name][k].sort_index()
+            assert np.allclose(one[:200], ((c @ vt[:k].T) ** 2).sum(1) / k) and one[200:].isna().all()
+    auc = X.spectral_auc(df, {"a": "v", "b": "w"}, "bad", [1, 2])
+    assert auc.count() == 4 and auc.where("auroc between 0 and 1").count() == 4
+    empty = df.where("id < 0")
+    assert X.spectral_scores(empty, "v", 2).count() == 0
+    assert X.spectral_scores(df.where("id = 200"), "v", 2).first().s1 is None
+
+
 def test_pluggable_scorer_sees_batches(spark):
     df = spark.range(50).withColumn("text", F.col("id").cast("string"))
 
