@@ -46,20 +46,33 @@ def kept_segments(
     return pin(out.withColumn("lo", F.col("n_sel") - F.col("seg")))
 
 
-def draw_positions(n_pool: Column, n: Column, draw: Column, size: Column | None = None) -> Column:
-    """``size`` (``n`` unless given) distinct uniform positions in [0, n_pool) by Floyd's method.
-
-    Position j of the loop takes a hashed number in [0, j], or j itself when
-    that number is taken, which gives every n-subset the same chance. The cost
-    depends on the number of labels, not on the pool.
-    """
+def _floyd(n_pool: Column, n: Column, draw: Column, size: Column) -> Column:
+    """Distinct positions by Floyd's method: number j of the loop, or j itself when its number is taken."""
 
     def add(chosen: Column, j: Column) -> Column:
-        pick = hex_number(draw_key("mc", draw, n, j)) % (j + 1)
-        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, pick), j).otherwise(pick)))
+        number = hex_number(draw_key("floyd", draw, n, j)) % (j + 1)
+        return F.array_append(chosen, F.when(F.array_contains(chosen, number), j).otherwise(number))
 
     empty = F.lit([]).cast("array<bigint>")
-    return F.aggregate(F.sequence(n_pool - (n if size is None else size), n_pool - 1), empty, add)
+    return F.when(size > 0, F.aggregate(F.sequence(n_pool - size, n_pool - 1), empty, add)).otherwise(empty)
+
+
+def draw_positions(n_pool: Column, n: Column, draw: Column, size: Column | None = None) -> Column:
+    """``size`` (``n`` unless given) distinct uniform positions in [0, n_pool).
+
+    The first distinct ones of a stream of hashed numbers, which gives every subset
+    the same chance. The cost is linear in the labels and does not depend on the pool. The stream is as long
+    as half a pool can need; where it comes short, for larger parts of a pool above all,
+    Floyd's method draws, at the square of the labels.
+    """
+    size = (n if size is None else size).cast("bigint")
+    share = F.least(size / n_pool, F.lit(0.5))
+    need = F.ceil(8 * F.sqrt(size.cast("double")) - n_pool * F.log1p(-share)) + 32
+    stream = F.transform(F.sequence(F.lit(0).cast("bigint"), need - 1), lambda i: hex_number(draw_key("mc", draw, n, i)) % n_pool)
+    return F.transform(
+        F.array(F.array_distinct(stream)),
+        lambda a: F.when(F.size(a) >= size, F.slice(a, F.lit(1), size.cast("int"))).otherwise(_floyd(n_pool, n, draw, size)),
+    )[0]
 
 
 def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws: int) -> DataFrame:
@@ -68,7 +81,8 @@ def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws:
     A draw only matters through how many of its rows, and of its bad rows, each
     kept set holds. So positions are drawn against the counted segments instead
     of the pool: exactly the same distribution, and the pool is never
-    multiplied by the number of draws. A size above the pool draws the whole pool.
+    multiplied by the number of draws. A size above the pool draws the whole pool. Of a size above
+    half the pool the rows left out are drawn, so the cost is linear in the smaller part.
     """
     spark = segments.sparkSession
     pools = segments.select(*keys, "n_pool").distinct()
@@ -81,13 +95,16 @@ def simulated_counts(segments: DataFrame, keys: list[str], ns: list[int], draws:
     drawn = (
         jobs.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
         .repartition(parts, *keys, "n", "draw")
-        .withColumn("_at", draw_positions(F.col("n_pool"), F.col("n"), F.col("draw"), F.least("n", "n_pool")))
+        .withColumn("_left", F.greatest(F.col("n_pool") - F.col("n"), F.lit(0)))
+        .withColumn("_few", F.least(F.col("n"), F.col("_left")))
+        .withColumn("_at", draw_positions(F.col("n_pool"), F.col("n"), F.col("draw"), F.col("_few")))
         .drop("n_pool")
     )
 
     def within(size: str) -> Column:
         hi = F.col("lo") + F.col(size)
-        return F.size(F.filter("_at", lambda p: (p >= F.col("lo")) & (p < hi))).cast("bigint")
+        hits = F.size(F.filter("_at", lambda p: (p >= F.col("lo")) & (p < hi))).cast("bigint")
+        return F.when(F.col("_left") < F.col("n"), F.col(size) - hits).otherwise(hits)
 
     deep = (
         Window.partitionBy(*keys, "n", "draw")

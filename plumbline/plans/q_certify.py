@@ -298,14 +298,20 @@ BASE = f"{V.POOL}, {V.BIG}, {SCORED}, {SEGMENTS}"
 
 
 def draws_sql(ns=NS, draws=DRAWS) -> str:
-    pick = "(('0x' || substr(md5('mc:' || draw || ':' || n || ':' || j), 1, 15))::BIGINT % (j + 1))"
-    return f"""jobs AS (SELECT DISTINCT pool, scorer, n_pool, n, draw FROM segs, unnest({list(ns)}) a(n), range(0, {draws}) b(draw)),
-drawn AS (SELECT *, list_reduce(range(n_pool - least(n, n_pool), n_pool), lambda c, j: list_append(c, CASE WHEN list_contains(c, {pick}) THEN j ELSE {pick} END), []::BIGINT[]) AS at FROM jobs),
+    pick = "('0x' || substr(md5('mc:' || draw || ':' || n || ':' || i), 1, 15))::BIGINT % n_pool"
+    need = "(ceil(8 * sqrt(few) - n_pool * ln(1 - least(few / n_pool, 0.5))) + 32)::BIGINT"
+
+    def within(size: str) -> str:
+        hits = f"len(list_filter(d.picks, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel - s.seg + s.{size}))"
+        return f"CASE WHEN d.few < d.n THEN s.{size} - {hits} ELSE {hits} END"
+
+    return f"""jobs AS (SELECT *, least(n, greatest(n_pool - n, 0)) AS few FROM (SELECT DISTINCT pool, scorer, n_pool, n, draw FROM segs, unnest({list(ns)}) a(n), range(0, {draws}) b(draw))),
+stream AS (SELECT *, {pick} AS p FROM (SELECT *, unnest(range(0, {need})) AS i FROM jobs)),
+firsts AS (SELECT pool, scorer, n, draw, few, p, min(i) AS i FROM stream GROUP BY pool, scorer, n, draw, few, p),
+taken AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY pool, scorer, n, draw ORDER BY i) <= few),
+drawn AS (SELECT jobs.*, coalesce(picks, []::BIGINT[]) AS picks FROM jobs LEFT JOIN (SELECT pool, scorer, n, draw, list(p) AS picks FROM taken GROUP BY ALL) USING (pool, scorer, n, draw)),
 hits AS (SELECT s.pool, s.scorer, d.n, d.draw, s.q100, s.n_pool, s.n_sel, s.k_sel,
- len(list_filter(d.at, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel)) AS m0,
- len(list_filter(d.at, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel - s.seg + s.seg_bad)) AS k0,
- len(list_filter(d.at, lambda p: p >= s.n_sel - s.seg AND p < s.n_sel - s.seg + s.seg_wanted)) AS w0
- FROM segs s JOIN drawn d USING (pool, scorer)),
+ {within("seg")} AS m0, {within("seg_bad")} AS k0, {within("seg_wanted")} AS w0 FROM segs s JOIN drawn d USING (pool, scorer)),
 sims AS (SELECT *, (sum(m0) OVER w)::BIGINT AS m, (sum(k0) OVER w)::BIGINT AS k, (sum(w0) OVER w)::BIGINT AS w FROM hits
  WINDOW w AS (PARTITION BY pool, scorer, n, draw ORDER BY q100 DESC ROWS UNBOUNDED PRECEDING))"""
 

@@ -111,14 +111,40 @@ def test_exact_power(spark):
         assert got[n] == pytest.approx(want, abs=1e-9)
 
 
-def test_floyd_positions_are_distinct_and_cover_the_pool(spark):
-    df = spark.range(400).select(R.draw_positions(F.lit(20).cast("bigint"), F.lit(5).cast("bigint"), F.col("id")).alias("p"))
+@pytest.mark.parametrize("draw", [R.draw_positions, R._floyd])
+def test_positions_are_distinct_and_cover_the_pool(spark, draw):
+    five = F.lit(5).cast("bigint")
+    df = spark.range(400).select(draw(F.lit(20).cast("bigint"), five, F.col("id"), five).alias("p"))
     seen = [tuple(r.p) for r in df.collect()]
     assert all(len(set(p)) == 5 and min(p) >= 0 and max(p) < 20 for p in seen)
     counts = [sum(x in p for p in seen) for x in range(20)]
     assert min(counts) > 60 and max(counts) < 140  # 100 expected
 
 
+def test_positions_of_every_size(spark):
+    """The whole pool, none of it, and parts for which the stream may come short."""
+    sizes = spark.createDataFrame([(n, k) for n in (1, 2, 7, 40) for k in {0, 1, n // 2, n - 1, n}], "n bigint, k bigint")
+    got = sizes.select("n", "k", R.draw_positions(F.col("n"), F.lit(3), F.lit(5), F.col("k")).alias("p")).collect()
+    assert all(len(set(r.p)) == len(r.p) == r.k and set(r.p) <= set(range(r.n)) for r in got)
+
+
+def test_large_draws_are_linear_and_follow_the_exact_chance(spark):
+    """20,000 and 90,000 labels of a pool of 100,000; rates lie around the exact probability."""
+    rows = [("p", 85, 100_000, 30_000, 2_940, 0, 30_000, 2_940)]
+    seg = spark.createDataFrame(rows, "pool string, q100 int, n_pool bigint, n_sel bigint, k_sel bigint, lo bigint, seg bigint, seg_bad bigint")
+    counts = R.simulated_counts(seg, ["pool"], [20_000, 90_000, 200_000], 60).toPandas()
+    for n, spread in ((20_000, 58), (90_000, 44), (200_000, 0)):
+        m = counts[counts.n == n].m
+        assert len(m) == 60 and abs(m.mean() - min(n, 100_000) * 0.3) <= 4 * spread / 60**0.5 and m.std() <= 1.5 * spread
+        k = counts[counts.n == n].k
+        assert abs(k.mean() - min(n, 100_000) * 0.0294) <= 4 * 24 / 60**0.5
+    small = spark.createDataFrame([("p", 85, 900, 300, 24, 0, 300, 24)], seg.schema)
+    rate = {r.n: r.cert_rate for r in R.certification_rate(small, ["pool"], [200, 600], 500, [0.1], 0.1).collect()}
+    exact = {r.n: r.pred for r in R.pr_certify(R.first_cells(small, ["pool"], [0.1]), ["pool", "alpha"], 0.1, F.array(F.lit(200), F.lit(600))).collect()}
+    for n in (200, 600):
+        assert abs(rate[n] - exact[n]) <= 4 * (exact[n] * (1 - exact[n]) / 500) ** 0.5 + 0.01
+
+
 def test_false_certification_stays_below_delta(spark):
     """A pool just above the target: certificates are false, and rarer than delta."""
     rows = [("p", 85, 2000, 300, 31, 0, 300, 31), ("p", 50, 2000, 1000, 105, 300, 700, 74)]
