@@ -2,11 +2,12 @@
 
 A window over a whole pool, or over a stratum that may hold a third of it, puts
 all those rows into one task. Everything here reaches the same exact answer in
-two narrow passes:
+narrow passes:
 
 1. count rows per value bucket (map-side combined, a few thousand rows out),
    and find by running totals which bucket holds each wanted rank;
-2. look inside those few buckets only.
+2. look inside those few buckets only; one with too many distinct values for a
+   task is cut into buckets again.
 
 Equal values are one row after the first aggregation, so ties cost nothing;
 where a cut falls inside a group of ties, the group is split by a hash key in
@@ -33,6 +34,7 @@ from plumbline.session import pin, settle
 
 BUCKETS = 1024
 ROWS_PER_BUCKET = 50_000
+MOST = 2_000_000  # distinct values one task orders; larger buckets are cut again
 PREFIX = 4  # hex digits: 65,536 buckets of a uniform key
 ONE = "_all"
 
@@ -126,19 +128,58 @@ def _count() -> Column:
     return F.count(F.lit(1)).alias("_n")
 
 
+def _cut_again(
+    values: DataFrame, hit: DataFrame, keys: list[str], col: str, most: int, buckets: int
+) -> tuple[DataFrame, DataFrame]:
+    """Part the buckets with more than ``most`` distinct values until none is left.
+
+    Edges are quantiles of a bucket's distinct values, not of its rows, so ties
+    cannot keep a bucket whole. Only the parts that hold a wanted rank go on to the next level.
+    """
+    on = [*keys, "_b"]
+    path = F.col("_b").cast("string")
+    values, hit = settle(values.withColumn("_b", path)), pin(hit.withColumn("_b", path))
+    probs = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
+    sketch = F.expr(f"percentile_approx(`{col}`, array({probs}), {4 * buckets})").alias("_edges")
+    while True:
+        sizes = values.groupBy(*on).agg(F.count(F.lit(1)).alias("_distinct"), sketch)
+        big = pin(sizes.where(F.col("_distinct") > most).drop("_distinct"))
+        if big.isEmpty():
+            return values, hit
+        place = F.size(F.filter("_edges", lambda e: e < F.col(col)))
+        parts = values.join(big, on).withColumn("_part", place).drop("_edges")
+        counts = _running(parts.groupBy(*on, "_part").agg(F.sum("_n").alias("_n")), on, "_part")
+        deeper = F.concat_ws("/", "_b", F.col("_part").cast("string"))
+        moved = (
+            counts.join(hit, on)
+            .where((F.col("rank") - F.col("_base") > F.col("_lo")) & (F.col("rank") - F.col("_base") <= F.col("_hi")))
+            .withColumn("_base", F.col("_base") + F.col("_lo"))
+            .withColumn("_b", deeper)
+            .select(*hit.columns)
+        )
+        still = hit.join(big.select(*on), on, "left_anti").select(*hit.columns)
+        moved = pin(moved)
+        inner = parts.withColumn("_b", deeper).join(moved.select(*on).distinct(), on, "left_semi").select(*values.columns)
+        values = settle(values.join(big.select(*on), on, "left_anti").select(*values.columns).unionByName(inner))
+        hit = pin(still.unionByName(moved))
+
+
 def value_cuts(
     df: DataFrame,
     col: str,
     cuts: Cuts,
     strata: list[str] | None = None,
     edges: list[float] | None = None,
+    most: int = MOST,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The value at each wanted rank (1 = smallest).
 
     ``cuts``: (strata, cut, rank), or a function of the per-stratum totals.
     Returns (strata, cut, rank, value, below, ties): rows strictly below the
     value, and rows equal to it. Ranks outside 1..n give no row; further
-    columns of ``cuts`` are passed on.
+    columns of ``cuts`` are passed on. A bucket with more than ``most`` distinct
+    values is cut into ``buckets`` parts again, whatever the number of levels.
     """
     strata = strata or []
     slim, keys = with_strata(df.select(*strata, col).where(rankable(df, col)), strata)
@@ -150,13 +191,17 @@ def value_cuts(
         _running(counts, keys, "_b")
         .join(want, keys)
         .where(_inside("rank"))
-        .select(*keys, "_b", "cut", "rank", *extra, F.col("_lo").alias("_base"))
+        .select(*keys, "_b", "cut", "rank", *extra, F.col("_lo").alias("_base"), F.col("_n").alias("_rows"))
     )
     values = (
         rows.join(hit.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
         .groupBy(*keys, "_b", col)
         .agg(_count())
     )
+    large = not hit.where(F.col("_rows") > most).isEmpty()
+    hit = hit.drop("_rows")
+    if large:
+        values, hit = _cut_again(values, hit, keys, col, most, buckets)
     found = (
         _running(values, [*keys, "_b"], col)
         .join(hit.withColumn("_r", F.col("rank") - F.col("_base")), [*keys, "_b"])

@@ -201,3 +201,18 @@ def test_error_is_split_over_all_strata_and_none_may_lack(spark):
     assert {r.g: (r.certified, r.tau) for r in three.collect()} == one
     with pytest.raises(ValueError, match="without a stratum"):
         C.certified_selection(pool.withColumn("g", F.when(F.col("g") > 0, F.col("g"))), cal, "score", "bad", 0.1, 0.1, ["id"], ["g"])
+
+
+def test_large_buckets_are_cut_again(spark):
+    """Eight buckets over 10^5 distinct values, and huge groups of ties: several levels give the same cuts as one."""
+    value = F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") * 7919 % 100_003).cast("double"))
+    df = spark.range(150_000).select((F.col("id") % 2).cast("string").alias("s"), value.alias("v"))
+    cuts = R.cuts_of((0, "1"), (1, "n_total div 2"), (2, "n_total div 2 + 1"), (3, "n_total"), (4, "n_total + 1"), (5, "n_total * 9 div 10"))
+    for strata in ([], ["s"]):
+        want = sorted(map(tuple, R.value_cuts(df, "v", cuts, strata).collect()))
+        edges = R.value_edges(df, "v", 8, rows_each=1)
+        got = sorted(map(tuple, R.value_cuts(df, "v", cuts, strata, edges, most=100, buckets=8).collect()))
+        assert got == want and len(got) == 5 * (2 if strata else 1)
+    pdf = df.toPandas().v.sort_values().to_numpy()
+    median = R.value_cuts(df, "v", R.cuts_of((0, "n_total div 2")), [], edges, most=100, buckets=8).first()
+    assert median.value == pdf[75_000 - 1]
