@@ -485,7 +485,7 @@ walk(layer, step, b, w, found) AS (
     FROM (SELECT *, sqrt(list_dot_product(c, c)) AS len_
      FROM (SELECT *, {column} AS c FROM (SELECT *, list_transform(w, lambda a, i: a[i]) AS diag FROM walk WHERE step < {41 * k}))))))),
 dots AS (SELECT layer, vec_id, g.j, sum(a * found[g.j][i]) AS z FROM centred JOIN (SELECT layer, found FROM walk WHERE step = {41 * k}) USING (layer), range(1, {k + 1}) g(j) GROUP BY ALL),
-scores AS (SELECT layer, vec_id, unsafe, j AS k, sum(z * z) OVER (PARTITION BY layer, vec_id ORDER BY j) / j AS score FROM dots JOIN vecs USING (layer, vec_id))"""
+scores AS (SELECT layer, vec_id, unsafe, j::INT AS k, sum(z * z) OVER (PARTITION BY layer, vec_id ORDER BY j) / j AS score FROM dots JOIN vecs USING (layer, vec_id))"""
 
 
 @query(
